@@ -8,6 +8,8 @@ unit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,14 +59,19 @@ def block_cyclic_loads(units: DataFrame, ps: list[int], chunk: int) -> DataFrame
 
 # -------------------------------------------------------------- cut positions
 class Workload:
-    """Prefix sums of one unit table with its totals as plain numbers."""
+    """Prefix sums of one unit table with its totals as plain numbers.
+
+    The prefix sums are read by every stage of a cut, so they are written once.
+    """
 
     def __init__(self, units: DataFrame):
-        self.units = units
-        self.cum = cumulative_counts(units)
-        row = units.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-        self.n_units, self.total, self.largest = (row[0], row[1], row[2])
         self.spark: SparkSession = units.sparkSession
+        self.cum = cut_lineage(cumulative_counts(units))
+        self.units = self.cum.select("idx", "n")
+        row = self.cum.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))
+        ).first()
+        self.n_units, self.total, self.largest = (row[0], row[1], row[2])
 
     def boundary_sums(self, cuts: DataFrame, row_bound: int) -> DataFrame:
         """Adds ``cs``, the records before boundary ``cut``, to ``cuts``."""
@@ -311,8 +318,8 @@ def greedy_loads(units: DataFrame, ps: list[int]) -> DataFrame:
     state = {int(p): [0] * int(p) for p in ps}
     schema = "p bigint, worker bigint, load bigint"
 
-    def deal(carried: dict[int, list[int]]):
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def deal(carried: dict[int, list[int]]) -> Callable:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             p = int(key[0])
             loads = np.array(carried[p], dtype=np.int64)
             for size, copies in pdf.sort_values("n", ascending=False)[["n", "f"]].itertuples(index=False):
@@ -335,3 +342,106 @@ def greedy_loads(units: DataFrame, ps: list[int]) -> DataFrame:
         rows = [(p, w, 0) for p in state for w in range(p)]
         return spark.createDataFrame(rows, schema)
     return result
+
+
+# ----------------------------------------------- optimal contiguous partition
+class _KnownSums:
+    """Prefix sums fetched so far and which gaps between them hide others."""
+
+    def __init__(self, total: int):
+        self.points = np.array([0, total], dtype=np.int64)
+        self.open_after = np.array([True, False])
+
+    def add(self, low: np.ndarray, high: np.ndarray, hidden: np.ndarray, span: np.ndarray) -> None:
+        """Merge fetched buckets; everything inside ``span`` ranges is now known."""
+        inside = np.zeros(len(self.points), dtype=bool)
+        for a, b in span:
+            inside |= (self.points >= a) & (self.points < b)
+        state = dict(zip(self.points.tolist(), (self.open_after & ~inside).tolist()))
+        for a, b, h in zip(low.tolist(), high.tolist(), hidden.tolist()):
+            state[a] = bool(h)
+            state.setdefault(b, False)
+        self.points = np.array(sorted(state), dtype=np.int64)
+        self.open_after = np.array([state[x] for x in self.points.tolist()])
+
+    def walk(self, cap: int, p: int, optimistic: bool) -> list[int]:
+        """Greedy cut positions; pessimistic ones use known sums only."""
+        x, path = 0, [0]
+        for _ in range(p):
+            reach = min(x + cap, int(self.points[-1]))
+            at = int(np.searchsorted(self.points, reach, side="right")) - 1
+            x = reach if optimistic and self.open_after[at] else int(self.points[at])
+            path.append(x)
+        return path
+
+    def smallest_cap(self, low: int, high: int, p: int, optimistic: bool) -> int:
+        end = int(self.points[-1])
+        while low < high:
+            mid = (low + high) // 2
+            if self.walk(mid, p, optimistic)[-1] >= end:
+                high = mid
+            else:
+                low = mid + 1
+        return low
+
+
+def contiguous_optimal(load: Workload, p: int, points: int = 1 << 18) -> DataFrame:
+    """Cuts of the contiguous partition with the smallest largest load.
+
+    A greedy walk for one cap looks at p positions only, so the driver keeps a
+    bounded sample of prefix sums. Known sums bracket the optimal cap from
+    both sides; each round a distributed pass fetches finer sums where some
+    cut of a cap in the bracket may fall, until none is hidden. The result is
+    exact. Returns (p, i, cut, cs).
+    """
+    total, spark = int(load.total), load.spark
+    known = _KnownSums(total)
+    floor_cap = max(int(load.largest), -(-total // p))
+    spans = [(0, total)] if total else []
+    positive = load.cum.filter("n > 0")
+    best, path = 0, [0] * (p + 1)
+    while total:
+        width = max(1, -(-sum(b - a for a, b in spans) // points))
+        wanted = spark.createDataFrame([(int(a // width), int(b // width)) for a, b in spans], "a bigint, b bigint")
+        ids = wanted.select(F.explode(F.sequence("a", "b")).alias("bucket")).distinct()
+        fetched = (
+            positive.withColumn("bucket", F.floor(F.col("cs") / width))
+            .join(broadcast_if_bounded(ids, points + 2 * len(spans)), "bucket")
+            .groupBy("bucket")
+            .agg(F.min("cs").alias("lo"), F.max("cs").alias("hi"), (F.count(F.lit(1)) > 2).alias("hidden"))
+            .toPandas()  # at most `points` rows plus the span ends
+        )
+        covered = [(a // width * width, (b // width + 1) * width) for a, b in spans]
+        known.add(fetched["lo"].to_numpy(), fetched["hi"].to_numpy(), fetched["hidden"].to_numpy(), np.array(covered))
+        high = known.smallest_cap(floor_cap, total, p, optimistic=False)
+        low = known.smallest_cap(floor_cap, high, p, optimistic=True)
+        first, last = known.walk(low, p, optimistic=False), known.walk(high, p, optimistic=True)
+        spans = []
+        for a, b in zip(first, last):
+            i = int(np.searchsorted(known.points, a, side="right")) - 1
+            j = int(np.searchsorted(known.points, b, side="left"))
+            for s in range(i, max(j, i + 1)):
+                if known.open_after[s]:
+                    spans.append((int(known.points[s]), int(known.points[s + 1])))
+        spans = sorted(set(spans))
+        if not spans:
+            best, path = low, known.walk(low, p, optimistic=False)
+            break
+    steps = spark.createDataFrame(
+        [(p, i, int(x)) for i, x in enumerate(path)], "p bigint, i bigint, cs bigint"
+    )
+    ends = load.cum.groupBy("cs").agg((F.max("idx") + 1).alias("cut"))
+    joined = steps.join(ends.join(F.broadcast(steps.select("cs").distinct()), "cs", "left_semi"), "cs", "left")
+    cut = F.when(F.col("i") == 0, F.lit(0)).when(F.col("cs") == total, F.lit(load.n_units)).otherwise(
+        F.coalesce("cut", F.lit(0))
+    )
+    return joined.select("p", "i", cut.cast("long").alias("cut"), "cs").withColumn("cap", F.lit(best).cast("long"))
+
+
+def scaled_work(work: DataFrame, rho_hundredths: int = 531) -> DataFrame:
+    """(idx, n) with n = 100 * records + 531 * whitelisted records.
+
+    Cuts and imbalance do not depend on the scale; integers keep the prefix
+    sums exact in any summation order.
+    """
+    return work.select("idx", (100 * F.col("n") + rho_hundredths * F.col("k")).alias("n"))

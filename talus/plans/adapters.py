@@ -64,7 +64,7 @@ RELATIONS: dict[str, str] = {
                CAST(1000 + CAST(substr(p_brand, 7) AS INT) AS INT) AS itemid,
                plus[o_orderdate|CAST(floor(1200 * l_quantity * l_linenumber) AS INT)] AS charttime,
                CASE WHEN l_returnflag = 'N' AND l_discount > 0.05 THEN NULL
-                    ELSE round(l_extendedprice / l_quantity, 3) END AS valuenum,
+                    ELSE floor(100 * l_extendedprice / l_quantity) / 1e2 END AS valuenum,
                CASE WHEN l_tax >= 0.07 THEN 1 ELSE 0 END AS warning
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "labevents": """
@@ -75,9 +75,9 @@ RELATIONS: dict[str, str] = {
                CASE WHEN value < 5 THEN NULL ELSE value END AS valuenum
         FROM events JOIN orders ON event_id = o_orderkey""",
     "varmap": """
-        SELECT concat('v', CAST((itemid - 1000) % 9 AS VARCHAR(20))) AS variable, itemid, 'chart' AS src,
-               CASE WHEN (itemid - 1000) % 9 < 5 THEN 'core' ELSE 'pool' END AS tier,
-               CASE WHEN (itemid - 1000) % 9 < 5 THEN 0 ELSE (itemid - 1000) % 9 END AS pref,
+        SELECT concat('v', CAST((itemid - 1000) % 5 AS VARCHAR(20))) AS variable, itemid, 'chart' AS src,
+               CASE WHEN (itemid - 1000) % 5 < 3 THEN 'core' ELSE 'pool' END AS tier,
+               CASE WHEN (itemid - 1000) % 5 < 3 THEN 0 ELSE (itemid - 1000) % 5 END AS pref,
                CASE WHEN category = 'PROMO' THEN 5e-1 ELSE 1e0 END AS vscale,
                CASE WHEN category = 'PROMO' THEN -17e0 ELSE 0e0 END AS voffset,
                1000e0 + itemid - 1000 AS raw_lo, 1950e0 AS raw_hi
@@ -140,7 +140,7 @@ RELATIONS: dict[str, str] = {
                CASE WHEN min(l_suppkey) % 16 >= 8 THEN 1 ELSE 0 END AS socket,
                count(*) AS n_stays,
                CAST(floor(1000 * sum(l_quantity)) AS BIGINT) AS n_records,
-               round(sum(l_extendedprice), 2) / 1e5 AS secs
+               CAST(CAST(sum(CAST(100 * l_extendedprice AS BIGINT)) AS BIGINT) AS DOUBLE) / 1e7 AS secs
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "predictions": """
         SELECT partitioner, p, 1e0 + 1e-2 * length(partitioner) + p / 1e3 AS pred_imb
