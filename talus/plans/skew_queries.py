@@ -361,9 +361,9 @@ _GREEDY_SQL = _CUM_SQL + f""",
 ordered AS (SELECT n, row_number() OVER (ORDER BY n DESC, idx) AS r FROM units),
 dealt AS (
   WITH RECURSIVE g(p, step, loads) AS (
-    SELECT p, 0::BIGINT, list_transform(range(p), x -> 0::BIGINT) FROM {_GRID_P}
+    SELECT p, 0::BIGINT, list_transform(range(p), lambda x: 0::BIGINT) FROM {_GRID_P}
     UNION ALL
-    SELECT p, step + 1, list_transform(loads, (v, i) -> CASE WHEN i = list_position(loads, list_min(loads)) THEN v + n ELSE v END)
+    SELECT p, step + 1, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + n ELSE v END)
     FROM g JOIN ordered ON r = step + 1)
   SELECT p, loads FROM g WHERE step = (SELECT count(*) FROM units)),
 greedy AS (SELECT p, unnest(range(p)) AS worker, unnest(loads) AS load FROM dealt)"""
