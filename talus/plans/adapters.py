@@ -140,7 +140,7 @@ RELATIONS: dict[str, str] = {
                CASE WHEN min(l_suppkey) % 16 >= 8 THEN 1 ELSE 0 END AS socket,
                count(*) AS n_stays,
                CAST(floor(1000 * sum(l_quantity)) AS BIGINT) AS n_records,
-               CAST(CAST(sum(CAST(100 * l_extendedprice AS BIGINT)) AS BIGINT) AS DOUBLE) / 1e7 AS secs
+               CAST(sum(CAST(floor(100 * l_extendedprice) AS BIGINT)) AS DOUBLE) / 1e7 AS secs
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "predictions": """
         SELECT partitioner, p, 1e0 + 1e-2 * length(partitioner) + p / 1e3 AS pred_imb

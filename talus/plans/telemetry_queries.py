@@ -74,6 +74,7 @@ def run_problems(spark, d):
         tile, pred_eff, seams, exp, variant, nodes FROM m""",
     doubles="mrec mrec_ghz rec_per_cycle contam l3_per_rec l3_miss_rate ipc ins_per_rec pred_eff",
     ints="p tile seams nodes",
+    digits=10,
 )
 def derived_measures(spark, d):
     return measured(spark, d).select(
