@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions.scalars import safe_ratio
 from talus.operators.partitioners import Workload, imbalance
+from talus.session import literal_rows
 
 # Measured effect sizes and defaults of the scaling study.
 PLACEMENT_RUNG = 0.084
@@ -84,7 +85,7 @@ def advise(load: Workload, ps: list[int], threads: int = THREADS_PER_RANK, p_sta
     star = find_p_star(load, threads) if p_star is None else p_star
     asked = [(int(p), *split_cores(p, threads)) for p in ps]
     pairs = sorted({(r, t) for _, r, t in asked if r * t <= load.n_units // 2})
-    requests = spark.createDataFrame(asked, "p bigint, r bigint, t bigint")
+    requests = literal_rows(spark, asked, "p bigint, r bigint, t bigint")
     if pairs:
         gains = ceilings(load, pairs).select("r", "t", "ceiling")
         joined = requests.join(gains, ["r", "t"], "left")
@@ -106,7 +107,7 @@ def advise(load: Workload, ps: list[int], threads: int = THREADS_PER_RANK, p_sta
 
 def summary_advice(spark, n_units: int, n_records: int, largest: int, ps: list[int]) -> DataFrame:
     """Regime when only totals are known: p_atom is exact, p* is transferred."""
-    rows = spark.createDataFrame([(int(p),) for p in ps], "p bigint")
+    rows = literal_rows(spark, [(int(p),) for p in ps], "p bigint")
     p_atom = F.lit(n_records / largest)
     code = regime(F.col("p"), F.lit(TRANSFERRED_P_STAR), p_atom)
     return rows.select(

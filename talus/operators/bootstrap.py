@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talus.functions.scalars import hash_order, safe_ratio
 from talus.operators.prefix import block_scan
 from talus.operators.quantiles import grouped_quantiles
+from talus.session import literal_rows
 
 # Seed, band outside which the canonical order is flagged.
 BOOT_SEED = 20260728
@@ -93,16 +94,16 @@ def expected_max_normal(p: int, steps: int = 20_001, reach: float = 9.0) -> floa
     x = np.linspace(-reach, reach, steps)
     phi = 0.5 * (1.0 + np.array([math.erf(v / math.sqrt(2.0)) for v in x]))
     top = phi**p
-    positive = x >= 0
-    upper = np.trapezoid(1.0 - top[positive], x[positive])
-    lower = np.trapezoid(top[~positive], x[~positive])
+    middle = steps // 2  # x = 0 belongs to both halves
+    upper = np.trapezoid(1.0 - top[middle:], x[middle:])
+    lower = np.trapezoid(top[: middle + 1], x[: middle + 1])
     return float(upper - lower)
 
 
 def forecasts(spark: SparkSession, units: DataFrame, ps: list[int]) -> DataFrame:
     """Asymptotic and finite-p efficiency forecasts from the spread alone."""
     rows = [(int(p), expected_max_normal(int(p)) if p > 1 else 0.0) for p in ps]
-    grid = spark.createDataFrame(rows, "p bigint, emax double")
+    grid = literal_rows(spark, rows, "p bigint, emax double")
     stats = units.agg(
         F.count(F.lit(1)).alias("n_units"), safe_ratio(F.stddev_pop("n"), F.avg("n")).alias("cv")
     )

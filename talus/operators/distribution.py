@@ -4,14 +4,16 @@ Every statistic is computed from the histogram of unit sizes, one row per
 distinct size. Distinct non-negative integers that add up to N number at most
 sqrt(2N) + 1, so the histogram of 10^13 records has under five million rows,
 however many units there are and however often one size repeats.
+
+Functions take a unit table with a size column ``n`` and optional ``by``
+columns, so that many workloads are analysed in one job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.scalars import safe_ratio
 from talus.operators.prefix import block_scan
 
 # Reporting quantiles, tail fractions and the heavy-tail gate.
@@ -23,139 +25,129 @@ GATE_P99_OVER_MEDIAN = 10.0
 _VALUE_BLOCK = 4096
 
 
-def size_histogram(units: DataFrame) -> DataFrame:
-    """(n, f, cf, cw): size, units of that size, running units and records."""
-    sizes = units.groupBy("n").agg(F.count(F.lit(1)).alias("f"))
+def _sizes(units: DataFrame, by: list[str]) -> DataFrame:
+    return units.groupBy(*by, "n").agg(F.expr("count(1) AS f"))
+
+
+def size_histogram(units: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, n, f, cf, cw): size, units of that size, running units and records."""
     return block_scan(
-        sizes,
-        F.floor(F.col("n") / _VALUE_BLOCK),
+        _sizes(units, by or []),
+        F.expr(f"floor(n / {_VALUE_BLOCK})"),
         [F.col("n")],
-        {"cf": F.col("f"), "cw": F.col("n") * F.col("f")},
+        {"cf": F.col("f"), "cw": F.expr("n * f")},
+        by=by,
     )
 
 
-def totals(units: DataFrame) -> DataFrame:
-    """One row: unit count, record count, extremes, empties and spread."""
-    return units.agg(
-        F.count(F.lit(1)).alias("n_units"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
-        F.count_if(F.col("n") == 0).alias("n_empty"),
-        F.count_if(F.col("n") > 0).alias("n_pos"),
-        F.min("n").alias("min_unit"),
-        F.max("n").alias("max_unit"),
-        F.avg("n").alias("mean_unit"),
-        F.stddev_samp("n").alias("std_samp"),
-        F.stddev_pop("n").alias("std_pop"),
+def totals(units: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row per group: unit count, record count, extremes and empties."""
+    return _sizes(units, by or []).groupBy(*(by or [])).agg(
+        F.expr("coalesce(sum(f), 0) AS n_units"),
+        F.expr("coalesce(sum(n * f), 0) AS n_records"),
+        F.expr("coalesce(sum(f) FILTER (WHERE n = 0), 0) AS n_empty"),
+        F.expr("coalesce(sum(f) FILTER (WHERE n > 0), 0) AS n_pos"),
+        F.expr("min(n) AS min_unit"),
+        F.expr("max(n) AS max_unit"),
+        F.expr("sum(n * f) / sum(f) AS mean_unit"),
     )
 
 
-def _value_at(position: Column) -> Column:
-    hit = (F.col("cf") - F.col("f") <= position) & (position < F.col("cf"))
-    return F.max(F.when(hit, F.col("n"))).cast("double")
+def with_totals(units: DataFrame, by: list[str] | None = None) -> DataFrame:
+    sums = totals(units, by)
+    histogram = size_histogram(units, by)
+    # without groups the right side is a single row
+    return histogram.join(sums, by) if by else histogram.crossJoin(F.broadcast(sums))
 
 
-def _quantile(q: float) -> Column:
-    at = F.lit(q) * (F.max("n_units") - 1)
-    # The position is constant over the rows; aggregate both neighbours and blend.
-    pos = F.lit(q) * (F.col("n_units") - 1)
-    low, high = _value_at(F.floor(pos)), _value_at(F.ceil(pos))
-    return low + (high - low) * (at - F.floor(at))
+# Columns of a histogram row: cf - f units are smaller, n_units - cf are larger.
+def _value_at(position: str) -> str:
+    return f"max(n) FILTER (WHERE cf - f <= {position} AND {position} < cf)"
 
 
-def _gini() -> Column:
-    rank_sum = F.col("f") * (F.col("cf") - F.col("f")) + F.col("f") * (F.col("f") + 1) / 2
-    weighted = F.sum(F.col("n").cast("double") * rank_sum)
-    n, total = F.max("n_units").cast("double"), F.max("n_records").cast("double")
-    raw = F.lit(2.0) * weighted / (n * F.nullif(total, F.lit(0.0))) - (n + 1) / n
-    return F.coalesce(raw, F.lit(0.0))
+def _quantile(q: float) -> str:
+    at = f"{q}D * (n_units - 1)"
+    low, high = _value_at(f"floor({at})"), _value_at(f"ceil({at})")
+    return f"{low} + ({high} - {low}) * max({at} - floor({at}))"
 
 
-def _taken_from_top(k: Column) -> Column:
+def _taken_from_top(k: str) -> str:
     """How many units of this size are among the k largest."""
-    larger = F.col("n_units") - F.col("cf")
-    return F.greatest(F.lit(0), F.least(F.col("f"), k - larger))
-
-
-def _top_share() -> Column:
-    k = F.greatest(F.lit(1), F.floor(F.col("n_units") / 100))
-    return safe_ratio(F.sum(_taken_from_top(k) * F.col("n")), F.max("n_records"))
-
-
-def _hill(fraction: float) -> Column:
-    k = F.greatest(F.lit(2), F.floor(F.lit(fraction) * F.col("n_pos")))
-    larger = F.col("n_units") - F.col("cf")
-    below = (larger <= k) & (k < larger + F.col("f"))
-    threshold = F.max(F.when(below & (F.col("n") > 0), F.ln(F.col("n").cast("double"))))
-    logs = F.sum(F.when(F.col("n") > 0, _taken_from_top(k) * F.ln(F.col("n").cast("double"))))
-    kk, n_pos = F.max(k), F.max("n_pos")
-    mean_excess = logs / kk - threshold
-    return F.when(kk < n_pos, 1.0 / F.when(mean_excess > 1e-15, mean_excess))
-
-
-def with_totals(units: DataFrame) -> DataFrame:
-    # the right side is a single aggregate row
-    return size_histogram(units).crossJoin(F.broadcast(totals(units)))
-
-
-def describe(units: DataFrame) -> DataFrame:
-    """One-row summary of a (idx, n) unit table."""
-    aggregates = [
-        _gini().alias("gini"),
-        _top_share().alias("top1pct_share"),
-        *[_quantile(q).alias(name) for name, q in QUANTILES.items()],
-        *[_hill(f).alias(f"hill_{f:g}".replace(".", "_")) for f in HILL_FRACTIONS],
-    ]
-    scalars = ["n_units", "n_records", "n_empty", "min_unit", "max_unit", "mean_unit", "std_samp", "std_pop"]
-    summary = with_totals(units).groupBy().agg(*[F.max(c).alias(c) for c in scalars], *aggregates)
-    return (
-        summary.withColumn("cv_samp", safe_ratio(F.col("std_samp"), F.col("mean_unit")))
-        .withColumn("cv_pop", safe_ratio(F.col("std_pop"), F.col("mean_unit")))
-        .withColumn("p99_over_median", safe_ratio(F.col("p99"), F.col("p50")))
-        .withColumn("max_over_median", safe_ratio(F.col("max_unit"), F.col("p50")))
-        .withColumn("max_over_mean", safe_ratio(F.col("max_unit"), F.col("mean_unit")))
-        .withColumn("p_atom", safe_ratio(F.col("n_records"), F.col("max_unit")))
+    return f"greatest(0, least(f, {k} - (n_units - cf)))"
+
+
+_GINI = (
+    "coalesce(2D * sum(CAST(n AS DOUBLE) * (f * (cf - f) + f * (f + 1) / 2D)) "
+    "/ (max(n_units) * nullif(CAST(max(n_records) AS DOUBLE), 0D)) "
+    "- (max(n_units) + 1) / CAST(max(n_units) AS DOUBLE), 0D)"
+)
+_TOP_SHARE = (
+    f"sum({_taken_from_top('greatest(1, floor(n_units / 100))')} * n) / nullif(CAST(max(n_records) AS DOUBLE), 0D)"
+)
+
+
+def _hill_k(fraction: float) -> str:
+    return f"greatest(2, floor({fraction}D * n_pos))"
+
+
+def _hill(fraction: float) -> str:
+    """1 / mean log excess of the k largest over the next one below."""
+    k = _hill_k(fraction)
+    threshold = f"max(ln(n)) FILTER (WHERE n > 0 AND n_units - cf <= {k} AND {k} < n_units - cf + f)"
+    logs = f"sum({_taken_from_top(k)} * ln(n)) FILTER (WHERE n > 0)"
+    excess = f"({logs} / max({k}) - {threshold})"
+    return f"CASE WHEN max({k}) < max(n_pos) AND {excess} > 1e-15 THEN 1D / {excess} END"
+
+
+def hill_name(fraction: float) -> str:
+    return f"hill_{fraction:g}".replace(".", "_")
+
+
+def describe(units: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Summary of a unit table, one row per group."""
+    scalars = ["n_units", "n_records", "n_empty", "min_unit", "max_unit", "mean_unit"]
+    aggregates = [f"max({c}) AS {c}" for c in scalars]
+    aggregates += [f"{_GINI} AS gini", f"{_TOP_SHARE} AS top1pct_share"]
+    aggregates += [f"{_quantile(q)} AS {name}" for name, q in QUANTILES.items()]
+    aggregates += [f"{_hill(f)} AS {hill_name(f)}" for f in HILL_FRACTIONS]
+    aggregates.append("sum(f * power(n - mean_unit, 2)) AS squares")
+    rows = with_totals(units, by).groupBy(*(by or [])).agg(*[F.expr(a) for a in aggregates])
+    spread = rows.selectExpr(
+        "*", "sqrt(squares / nullif(n_units - 1, 0)) AS std_samp", "sqrt(squares / nullif(n_units, 0)) AS std_pop"
+    ).drop("squares")
+    return spread.selectExpr(
+        "*",
+        "std_samp / nullif(mean_unit, 0) AS cv_samp",
+        "std_pop / nullif(mean_unit, 0) AS cv_pop",
+        "p99 / nullif(p50, 0) AS p99_over_median",
+        "max_unit / nullif(p50, 0) AS max_over_median",
+        "max_unit / nullif(mean_unit, 0) AS max_over_mean",
+        "n_records / nullif(CAST(max_unit AS DOUBLE), 0) AS p_atom",
     )
 
 
 def heavy_tail_gate(summary: DataFrame) -> DataFrame:
     """Adds the verdict of the pre-registered heavy-tail gate (strict bounds)."""
-    passed = (F.col("gini") > GATE_GINI) & (F.col("p99_over_median") > GATE_P99_OVER_MEDIAN)
-    return summary.withColumn("heavy_tailed", passed)
+    return summary.withColumn(
+        "heavy_tailed", F.expr(f"gini > {GATE_GINI} AND p99_over_median > {GATE_P99_OVER_MEDIAN}")
+    )
 
 
-def ccdf(units: DataFrame) -> DataFrame:
+def ccdf(units: DataFrame, by: list[str] | None = None) -> DataFrame:
     """P(size >= x) over the positive units, one row per distinct size."""
-    return (
-        with_totals(units)
-        .filter(F.col("n") > 0)
-        .select(
-            F.col("n").alias("x"),
-            F.col("f").alias("n_units_at"),
-            (1.0 - (F.col("cf") - F.col("f") - F.col("n_empty")) / F.col("n_pos")).alias("ccdf"),
-        )
+    return with_totals(units, by).filter("n > 0").selectExpr(
+        *(by or []), "n AS x", "f AS n_units_at", "1D - (cf - f - n_empty) / n_pos AS ccdf"
     )
 
 
-def lorenz(units: DataFrame) -> DataFrame:
+def lorenz(units: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Cumulative share of units against cumulative share of records."""
-    return with_totals(units).select(
-        F.col("n").alias("x"),
-        (F.col("cf") / F.col("n_units")).alias("unit_share"),
-        safe_ratio(F.col("cw"), F.col("n_records")).alias("record_share"),
+    return with_totals(units, by).selectExpr(
+        *(by or []), "n AS x", "cf / n_units AS unit_share", "cw / nullif(CAST(n_records AS DOUBLE), 0) AS record_share"
     )
 
 
 def hill_series(units: DataFrame, fractions: tuple[float, ...] = HILL_FRACTIONS) -> DataFrame:
     """Long form of the tail index: one row per tail fraction."""
-    row = with_totals(units).groupBy().agg(
-        F.max("n_pos").alias("n_pos"), *[_hill(f).alias(f"h{i}") for i, f in enumerate(fractions)]
-    )
-    pairs = [
-        F.struct(
-            F.lit(f).alias("fraction"),
-            F.greatest(F.lit(2), F.floor(F.lit(f) * F.col("n_pos"))).alias("k"),
-            F.col(f"h{i}").alias("hill"),
-        )
-        for i, f in enumerate(fractions)
-    ]
-    return row.select(F.inline(F.array(*pairs)))
+    cells = [F.expr(f"struct({f}D AS fraction, max({_hill_k(f)}) AS k, {_hill(f)} AS hill)") for f in fractions]
+    return with_totals(units).groupBy().agg(F.array(*cells).alias("cells")).select(F.inline("cells"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions.scalars import harmonise, safe_ratio
 from talus.operators.quantiles import grouped_quantiles
+from talus.session import cut_lineage
 
 # Coverage floor of filled slots, their number, clip quantiles,
 # coverage warnings, size of the resolved variable set, open bound.
@@ -221,3 +222,45 @@ def specification_checks(chosen: DataFrame, ranges: DataFrame, lookup: DataFrame
         ).alias("n_bad_ranges")
     )
     return on_lookup.crossJoin(on_chosen).crossJoin(on_ranges)  # one row each
+
+
+class Specification:
+    """The stages of the specification over one set of inputs.
+
+    The joined training records feed four fits, and each fitted table is small
+    and read by several later stages, so every stage is written once, on first
+    use, like a published artifact.
+    """
+
+    def __init__(self, cohort: DataFrame, items: DataFrame, records: DataFrame, varmap: DataFrame):
+        self.base, self.items, self.records, self.varmap = cohort, items, records, varmap
+        self.checked = check_varmap(varmap, items)
+        self.train = cohort.filter("split = 'train'")
+        self._stages: dict[str, DataFrame] = {}
+
+    def _stage(self, name: str, build) -> DataFrame:
+        if name not in self._stages:
+            self._stages[name] = cut_lineage(build())
+        return self._stages[name]
+
+    @property
+    def training(self) -> DataFrame:
+        return self._stage("training", lambda: training_records(self.records, self.train, self.checked))
+
+    def coverage(self) -> DataFrame:
+        return self._stage("coverage", lambda: coverage(self.training, self.train, self.varmap))
+
+    def chosen(self) -> DataFrame:
+        return self._stage("chosen", lambda: choose(self.coverage()))
+
+    def ranges(self) -> DataFrame:
+        return self._stage("ranges", lambda: clip_ranges(self.training, self.chosen()))
+
+    def fallback(self) -> DataFrame:
+        return self._stage("fallback", lambda: fallback_ranges(self.training, self.chosen()))
+
+    def lookup(self) -> DataFrame:
+        slots = assign_slots(self.chosen())
+        return self._stage(
+            "lookup", lambda: kernel_lookup(self.items, self.checked, slots, self.ranges(), self.fallback())
+        )

@@ -107,13 +107,20 @@ def whitelist_none(lookup: DataFrame) -> DataFrame:
     return lookup.withColumn("slot", F.lit(-1))
 
 
-def feature_differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Cells of two long feature tables that are not identical (NULL/NaN safe)."""
+def feature_differences(left: DataFrame, right: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Cells of two long feature tables that differ (NULL/NaN safe).
+
+    Sums of doubles depend on the order partial results meet, so runs with
+    other partitionings agree up to a relative ``tolerance`` only.
+    """
     a, b = left.alias("a"), right.alias("b")
-    cond = (F.col("a.row_index") == F.col("b.row_index")) & (F.col("a.slot") == F.col("b.slot"))
-    same = F.lit(True)
-    for name in AGGREGATES:
-        same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
+    cond = F.expr("a.row_index = b.row_index AND a.slot = b.slot")
+    same = F.expr(
+        " AND ".join(
+            f"(a.{n} <=> b.{n} OR coalesce(abs(a.{n} - b.{n}) <= {tolerance}D * greatest(1D, abs(a.{n})), false))"
+            for n in AGGREGATES
+        )
+    )
     return a.join(b, cond, "full").filter(~same).select(
         F.coalesce("a.row_index", "b.row_index").alias("row_index"),
         F.coalesce("a.slot", "b.slot").alias("slot"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from talus.operators.distribution import size_histogram
 from talus.operators.prefix import cumulative_counts
-from talus.session import broadcast_if_bounded, cut_lineage
+from talus.session import broadcast_if_bounded, cut_lineage, literal_rows
 
 MAX_VALUE_BUCKETS = 1 << 24
 
@@ -91,7 +91,7 @@ def part_loads(cuts: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
 
 
 def _grid(spark: SparkSession, pairs: list[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame([(int(r), int(t)) for r, t in pairs], "r bigint, t bigint")
+    return literal_rows(spark, [(int(r), int(t)) for r, t in pairs], "r bigint, t bigint")
 
 
 def _row_bound(pairs: list[tuple[int, int]]) -> int:
@@ -111,7 +111,7 @@ def block_cuts_two_stage(load: Workload, pairs: list[tuple[int, int]]) -> DataFr
 
 def linspace_cuts(load: Workload, ps: list[int]) -> DataFrame:
     """Boundaries int(j * (n / p)) in double arithmetic, keyed by p."""
-    grid = load.spark.createDataFrame([(int(p), load.n_units / p) for p in ps], "p bigint, step double")
+    grid = literal_rows(load.spark, [(int(p), load.n_units / p) for p in ps], "p bigint, step double")
     parts = grid.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p"))))
     cut = F.when(F.col("i") == F.col("p"), F.lit(load.n_units)).otherwise(F.floor(F.col("i") * F.col("step")))
     return load.boundary_sums(parts.select("p", "i", cut.cast("long").alias("cut")), sum(ps) + len(ps))
@@ -188,7 +188,7 @@ def nearest_cuts(load: Workload, segments: DataFrame, keys: list[str], row_bound
 
 def whole_segments(load: Workload, ks: list[int], key: str) -> DataFrame:
     rows = [(int(k), 0, load.n_units, 0, int(load.total), int(k)) for k in ks]
-    return load.spark.createDataFrame(rows, f"{key} bigint, lo bigint, hi bigint, base bigint, tot bigint, k bigint")
+    return literal_rows(load.spark, rows, f"{key} bigint, lo bigint, hi bigint, base bigint, tot bigint, k bigint")
 
 
 def balanced_cuts(load: Workload, ps: list[int], rule: str = "strict") -> DataFrame:
@@ -254,7 +254,7 @@ def block_sorted_loads(load: Workload, ps: list[int]) -> DataFrame:
     of sorted positions and emits the cuts that fall into its range.
     """
     n, total = load.n_units, load.total
-    grid = load.spark.createDataFrame([(int(p), n / p) for p in ps], "p bigint, step double")
+    grid = literal_rows(load.spark, [(int(p), n / p) for p in ps], "p bigint, step double")
     sizes = size_histogram(load.units).select(
         F.col("n"),
         (F.lit(n) - F.col("cf")).alias("above"),
@@ -352,17 +352,14 @@ class _KnownSums:
         self.points = np.array([0, total], dtype=np.int64)
         self.open_after = np.array([True, False])
 
-    def add(self, low: np.ndarray, high: np.ndarray, hidden: np.ndarray, span: np.ndarray) -> None:
-        """Merge fetched buckets; everything inside ``span`` ranges is now known."""
-        inside = np.zeros(len(self.points), dtype=bool)
-        for a, b in span:
-            inside |= (self.points >= a) & (self.points < b)
-        state = dict(zip(self.points.tolist(), (self.open_after & ~inside).tolist()))
-        for a, b, h in zip(low.tolist(), high.tolist(), hidden.tolist()):
-            state[a] = bool(h)
-            state.setdefault(b, False)
+    def add(self, spans: list[tuple[int, int]], low: np.ndarray, high: np.ndarray, hidden: np.ndarray) -> None:
+        """Merge the fetched buckets of open gaps; only bucket insides stay open."""
+        state = dict(zip(self.points.tolist(), self.open_after.tolist()))
+        state.update({a: False for a, _ in spans})
+        state.update({b: False for b in high.tolist()})
+        state.update(zip(low.tolist(), hidden.tolist()))
         self.points = np.array(sorted(state), dtype=np.int64)
-        self.open_after = np.array([state[x] for x in self.points.tolist()])
+        self.open_after = np.array([state[x] for x in self.points.tolist()], dtype=bool)
 
     def walk(self, cap: int, p: int, optimistic: bool) -> list[int]:
         """Greedy cut positions; pessimistic ones use known sums only."""
@@ -402,17 +399,18 @@ def contiguous_optimal(load: Workload, p: int, points: int = 1 << 18) -> DataFra
     best, path = 0, [0] * (p + 1)
     while total:
         width = max(1, -(-sum(b - a for a, b in spans) // points))
-        wanted = spark.createDataFrame([(int(a // width), int(b // width)) for a, b in spans], "a bigint, b bigint")
-        ids = wanted.select(F.explode(F.sequence("a", "b")).alias("bucket")).distinct()
+        wanted = literal_rows(spark, spans, "a bigint, b bigint").select(
+            "a", "b", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("bucket")
+        )
         fetched = (
             positive.withColumn("bucket", F.floor(F.col("cs") / width))
-            .join(broadcast_if_bounded(ids, points + 2 * len(spans)), "bucket")
-            .groupBy("bucket")
+            .join(broadcast_if_bounded(wanted, points + 2 * len(spans)), "bucket")
+            .filter("a < cs AND cs < b")
+            .groupBy("a", "bucket")
             .agg(F.min("cs").alias("lo"), F.max("cs").alias("hi"), (F.count(F.lit(1)) > 2).alias("hidden"))
             .toPandas()  # at most `points` rows plus the span ends
         )
-        covered = [(a // width * width, (b // width + 1) * width) for a, b in spans]
-        known.add(fetched["lo"].to_numpy(), fetched["hi"].to_numpy(), fetched["hidden"].to_numpy(), np.array(covered))
+        known.add(spans, fetched["lo"].to_numpy(), fetched["hi"].to_numpy(), fetched["hidden"].to_numpy())
         high = known.smallest_cap(floor_cap, total, p, optimistic=False)
         low = known.smallest_cap(floor_cap, high, p, optimistic=True)
         first, last = known.walk(low, p, optimistic=False), known.walk(high, p, optimistic=True)
@@ -427,9 +425,7 @@ def contiguous_optimal(load: Workload, p: int, points: int = 1 << 18) -> DataFra
         if not spans:
             best, path = low, known.walk(low, p, optimistic=False)
             break
-    steps = spark.createDataFrame(
-        [(p, i, int(x)) for i, x in enumerate(path)], "p bigint, i bigint, cs bigint"
-    )
+    steps = literal_rows(spark, [(p, i, int(x)) for i, x in enumerate(path)], "p bigint, i bigint, cs bigint")
     ends = load.cum.groupBy("cs").agg((F.max("idx") + 1).alias("cut"))
     joined = steps.join(ends.join(F.broadcast(steps.select("cs").distinct()), "cs", "left_semi"), "cs", "left")
     cut = F.when(F.col("i") == 0, F.lit(0)).when(F.col("cs") == total, F.lit(load.n_units)).otherwise(

@@ -30,21 +30,17 @@ def block_scan(
     """
     by = by or []
     keys = [*by, "_block"]
-    tagged = df.withColumn("_block", block)
-    for name, expr in sums.items():
-        tagged = tagged.withColumn(f"_in_{name}", expr)
-    totals = tagged.groupBy(*keys).agg(*[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in sums])
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(
-        *keys,
-        *[F.coalesce(F.sum(f"_tot_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in sums],
-    )
+    tagged = df.select("*", block.alias("_block"), *[expr.alias(f"_in_{name}") for name, expr in sums.items()])
+    totals = tagged.groupBy(*keys).agg(*[F.expr(f"sum(_in_{n}) AS _tot_{n}") for n in sums])
+    group = f"PARTITION BY {', '.join(f'`{c}`' for c in by)}" if by else ""
+    before = f"({group} ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    bases = totals.selectExpr(*keys, *[f"coalesce(sum(_tot_{n}) OVER {before}, 0) AS _base_{n}" for n in sums])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    scanned = tagged.join(bases, keys)
-    for name in sums:
-        scanned = scanned.withColumn(name, F.col(f"_base_{name}") + F.sum(f"_in_{name}").over(inside))
-    drop = ["_block"] + [f"{p}{n}" for n in sums for p in ("_in_", "_base_")]
-    return scanned.drop(*drop)
+    joined = tagged.join(bases, keys)
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[(F.col(f"_base_{n}") + F.sum(f"_in_{n}").over(inside)).alias(n) for n in sums],
+    )
 
 
 def dense_index_by_id(df: DataFrame, key: str, name: str = "idx", width: int = BLOCK_ROWS) -> DataFrame:

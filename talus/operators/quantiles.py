@@ -33,8 +33,7 @@ def grouped_quantiles(
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= one_buffer_rows:
         percentiles = [
-            F.percentile(F.col(column).cast("double"), F.lit(q)).alias(name)
-            for name, (column, q) in wanted.items()
+            F.expr(f"percentile(CAST(`{column}` AS DOUBLE), {q}D) AS `{name}`") for name, (column, q) in wanted.items()
         ]
         return df.groupBy(*keys).agg(*aggregates, *percentiles)
     parts = [df.groupBy(*keys).agg(*aggregates)] if aggregates else [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).drop("_n")]

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.functions.scalars import note_value, null_if_sentinel, relative_pct, safe_ratio
+from talus.functions.scalars import null_if_sentinel, relative_pct, safe_ratio
 from talus.operators.quantiles import grouped_quantiles, medians
 
 # Closed sets and rules of the telemetry schema, version 2.
@@ -75,29 +75,32 @@ def problem_counts(runs: DataFrame) -> DataFrame:
 
 def measured(runs: DataFrame) -> DataFrame:
     """Runs without warm-up, with the derived measures used by the reducers."""
-    ghz = null_if_sentinel(F.col("achieved_ghz").cast("double"))
-    l3 = null_if_sentinel(F.col("l3_tcm"))
-    notes = F.col("notes")
-    return (
-        runs.filter("warmup = 0")
-        .withColumn("mrec", F.col("throughput_rec_s") / 1e6)
-        .withColumn("mrec_ghz", F.col("mrec") / ghz)
-        .withColumn("rec_per_cycle", F.col("throughput_rec_s") / (ghz * 1e9))
-        .withColumn("contam", F.col("time_imbalance") / F.col("work_imbalance"))
-        .withColumn("p", F.col("n_ranks") * F.col("n_threads"))
-        .withColumn("seam_expected", F.col("n_threads") > CORES_PER_SOCKET)
-        .withColumn("l3_per_rec", l3 / F.col("n_records"))
-        .withColumn("l3_miss_rate", l3 / F.nullif(F.col("l3_tca"), F.lit(0)))
-        .withColumn("ipc", F.col("tot_ins") / F.nullif(F.col("tot_cyc"), F.lit(0)))
-        .withColumn("ins_per_rec", F.col("tot_ins") / F.col("n_records"))
-        .withColumn("tile", note_value(notes, "tile").cast("int"))
-        .withColumn("pred_eff", note_value(notes, "pred_eff").cast("double"))
-        .withColumn("seams", note_value(notes, "seams").cast("int"))
-        .withColumn("exp", note_value(notes, "exp"))
-        .withColumn("variant", note_value(notes, "variant"))
-        .withColumn("nodes", note_value(notes, "nodes").cast("int"))
-        .withColumn("per_rank", note_value(notes, "per_rank_csr").cast("int"))
-    )
+    notes = F.expr("str_to_map(notes, ';', '=')")
+    kept = runs.filter("warmup = 0").withColumn("_note", notes).selectExpr(
+        "*",
+        "throughput_rec_s / 1e6 AS mrec",
+        "CASE WHEN achieved_ghz <> -1 THEN CAST(achieved_ghz AS DOUBLE) END AS _ghz",
+        "CASE WHEN l3_tcm <> -1 THEN l3_tcm END AS _l3",
+    )
+    return kept.selectExpr(
+        "*",
+        "mrec / _ghz AS mrec_ghz",
+        "throughput_rec_s / (_ghz * 1e9) AS rec_per_cycle",
+        "time_imbalance / work_imbalance AS contam",
+        "n_ranks * n_threads AS p",
+        f"n_threads > {CORES_PER_SOCKET} AS seam_expected",
+        "_l3 / n_records AS l3_per_rec",
+        "_l3 / nullif(l3_tca, 0) AS l3_miss_rate",
+        "tot_ins / nullif(tot_cyc, 0) AS ipc",
+        "tot_ins / n_records AS ins_per_rec",
+        "CAST(_note['tile'] AS INT) AS tile",
+        "CAST(_note['pred_eff'] AS DOUBLE) AS pred_eff",
+        "CAST(_note['seams'] AS INT) AS seams",
+        "_note['exp'] AS exp",
+        "_note['variant'] AS variant",
+        "CAST(_note['nodes'] AS INT) AS nodes",
+        "CAST(_note['per_rank_csr'] AS INT) AS per_rank",
+    ).drop("_note", "_ghz", "_l3")
 
 
 # -------------------------------------------------------------- thread layout

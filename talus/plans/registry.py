@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -23,14 +22,14 @@ def normalise(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """
     columns = []
     for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
+        c = f"`{field.name}`"
         if isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("long")
+            c = f"CAST({c} AS BIGINT)"
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            d = c.cast("double")
-            c = F.when(~F.isnan(d), F.round(d, digits) + F.lit(0.0))
-        columns.append(c.alias(field.name))
-    return df.select(*columns)
+            d = f"CAST({c} AS DOUBLE)"
+            c = f"CASE WHEN NOT isnan({d}) THEN round({d}, {digits}) + 0D END"
+        columns.append(f"{c} AS `{field.name}`")
+    return df.selectExpr(*columns)
 
 
 def normalise_sql(sql: str, doubles: str, ints: str, digits: int = DIGITS) -> str:

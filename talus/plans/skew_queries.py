@@ -14,7 +14,7 @@ from talus.operators.kernel import unit_work
 from talus.operators.prefix import dense_index_by_id
 from talus.plans.adapters import table
 from talus.plans.cohort_queries import RECORD_SQL, cohort, raw_records
-from talus.plans.feature_queries import SPEC_SQL, Specification
+from talus.plans.feature_queries import SPEC_SQL, specification
 from talus.plans.registry import query
 from talus.operators import records as rec
 from talus.session import cut_lineage
@@ -24,30 +24,32 @@ SWEEP = [8, 16, 32, 64, 80, 96]
 PAIRS = [(p // 8, 8) for p in SWEEP]
 
 
-def doc_units(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n"))
-    return dense_index_by_id(docs, "doc_id").select("idx", "n")
+def doc_sizes(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n"))
 
 
-def page_units(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("n"))
-    return dense_index_by_id(pages, "page_id").select("idx", "n")
+def page_sizes(spark, d):
+    return table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("n"))
 
 
-def customer_units(spark, d):
+def customer_sizes(spark, d):
+    """Lines per customer: lines are counted per order before the join."""
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("m"))
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     counts = orders.join(lines, "o_orderkey").groupBy("c_custkey").agg(F.sum("m").alias("n"))
-    customers = table(spark, d, "customer").select("c_custkey").join(counts, "c_custkey", "left").na.fill(0, ["n"])
-    return dense_index_by_id(customers, "c_custkey").select("idx", "n")
+    return table(spark, d, "customer").select("c_custkey").join(counts, "c_custkey", "left").na.fill(0, ["n"])
+
+
+def user_sizes(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def event_units(spark, d):
-    counts = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return dense_index_by_id(counts, "user_id").select("idx", "n")
+VECTORS = {"documents": doc_sizes, "pages": page_sizes, "customers": customer_sizes, "users": user_sizes}
 
 
-VECTORS = {"documents": doc_units, "pages": page_units, "customers": customer_units, "users": event_units}
+def doc_units(spark, d):
+    return dense_index_by_id(doc_sizes(spark, d), "doc_id").select("idx", "n")
+
 
 UNITS_SQL = "WITH units AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, n_chars AS n FROM documents)"
 VECTORS_SQL = """WITH vectors AS (
@@ -61,8 +63,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY vector ORDER BY n) AS r,
              count(*) OVER (PARTITION BY vector) AS nn, count(*) FILTER (WHERE n > 0) OVER (PARTITION BY vector) AS np FROM vectors)"""
 
 
-def per_vector(spark, d, fn):
-    parts = [fn(units(spark, d)).withColumn("vector", F.lit(name)) for name, units in VECTORS.items()]
+def all_vectors(spark, d):
+    """All unit vectors as one (vector, n) relation."""
+    parts = [sizes(spark, d).select(F.lit(name).alias("vector"), "n") for name, sizes in VECTORS.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -99,7 +102,7 @@ _DESCRIBE_SQL = VECTORS_SQL + f""" SELECT vector, count(*) AS n_units, sum(n) AS
     ints="n_records min_unit max_unit",
 )
 def skew_describe(spark, d):
-    return per_vector(spark, d, lambda u: di.heavy_tail_gate(di.describe(u)))
+    return di.heavy_tail_gate(di.describe(all_vectors(spark, d), ["vector"]))
 
 
 @query(
@@ -109,7 +112,7 @@ def skew_describe(spark, d):
     doubles="gini",
 )
 def gini(spark, d):
-    return di.describe(doc_units(spark, d)).select("gini")
+    return di.describe(doc_sizes(spark, d)).select("gini")
 
 
 @query(
@@ -122,7 +125,7 @@ def gini(spark, d):
     ints="k",
 )
 def hill(spark, d):
-    return di.hill_series(doc_units(spark, d))
+    return di.hill_series(doc_sizes(spark, d))
 
 
 @query(
@@ -132,7 +135,7 @@ def hill(spark, d):
     doubles="top1pct_share",
 )
 def top1_share(spark, d):
-    return di.describe(doc_units(spark, d)).select("top1pct_share")
+    return di.describe(doc_sizes(spark, d)).select("top1pct_share")
 
 
 @query(
@@ -143,7 +146,7 @@ def top1_share(spark, d):
     doubles="ccdf",
 )
 def ccdf(spark, d):
-    return di.ccdf(doc_units(spark, d))
+    return di.ccdf(doc_sizes(spark, d))
 
 
 @query(
@@ -153,7 +156,7 @@ def ccdf(spark, d):
     doubles="unit_share record_share",
 )
 def lorenz(spark, d):
-    return di.lorenz(doc_units(spark, d))
+    return di.lorenz(doc_sizes(spark, d))
 
 
 # ----------------------------------------------------------------- partitioners
@@ -492,13 +495,8 @@ def floor_audit(spark, d):
 def window_regimes(spark, d):
     base = cohort(spark, d)
     wide = cut_lineage(rec.unit_counts(base, raw_records(spark, d, base)))
-    parts = [
-        di.describe(wide.select("idx", F.col(w).alias("n"))).select(
-            F.lit(w).alias("variant"), "n_units", "n_records", "max_unit", "p_atom", "cv_pop"
-        )
-        for w in ("W24", "Wfull")
-    ]
-    return parts[0].unionByName(parts[1])
+    long = wide.unpivot(["idx"], ["W24", "Wfull"], "variant", "n")
+    return di.describe(long, ["variant"]).select("variant", "n_units", "n_records", "max_unit", "p_atom", "cv_pop")
 
 
 _WORK_SQL = SPEC_SQL + """, w AS (SELECT c.row_index AS idx, count(r.t) AS n, count(l.dense_id) AS k FROM cohort c
@@ -506,9 +504,9 @@ _WORK_SQL = SPEC_SQL + """, w AS (SELECT c.row_index AS idx, count(r.t) AS n, co
 
 
 def work_units(spark, d):
-    s = Specification(spark, d)
+    s = specification(spark, d)
     units = s.base.select(F.col("row_index").alias("idx"))
-    return cut_lineage(unit_work(units, s.records, s.lookup()[2]).select("idx", "n", "k"))
+    return cut_lineage(unit_work(units, s.records, s.lookup()).select("idx", "n", "k"))
 
 
 @query(

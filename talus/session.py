@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "talus", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,14 +53,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files.
+    """Write ``df`` to the shared checkpoint folder and continue from the table.
 
-    Used where a later step must see exactly the same rows in the same
-    partitions (range partitioning picks its bounds by sampling) even after
-    executors were lost.
+    Used where several later steps read the same rows, or must see exactly the
+    same rows in the same partitions (range partitioning picks its bounds by
+    sampling) even after executors were lost. A Parquet table keeps column
+    pruning, filter pushdown and size statistics, which checkpoint files lose.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small relation of numbers known on the driver.
+
+    Inline VALUES give the optimizer the exact size; long lists are
+    parallelised instead.
+    """
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    types = [f.dataType.simpleString() for f in T.StructType.fromDDL(schema).fields]
+    if not rows or len(rows) > 2_000:
+        return spark.createDataFrame(rows, schema)
+    cells = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"CAST(`{n}` AS {t}) AS `{n}`" for n, t in zip(names, types))
+    return spark.sql(f"SELECT {casts} FROM VALUES {cells} AS v({', '.join(f'`{n}`' for n in names)})")
 
 
 def broadcast_if_bounded(df: DataFrame, row_bound: int, limit: int = 1_000_000) -> DataFrame:
