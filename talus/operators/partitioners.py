@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.operators.distribution import size_histogram
-from talus.operators.prefix import cumulative_counts
+from talus.operators.prefix import cumulative_counts, indexed_counts
 from talus.session import broadcast_if_bounded, cut_lineage, literal_rows
 
 MAX_VALUE_BUCKETS = 1 << 24
@@ -64,9 +64,10 @@ class Workload:
     The prefix sums are read by every stage of a cut, so they are written once.
     """
 
-    def __init__(self, units: DataFrame):
+    def __init__(self, units: DataFrame, key: str | None = None):
+        """``units`` is (idx, n) with a dense idx, or (key, n) in key order."""
         self.spark: SparkSession = units.sparkSession
-        self.cum = cut_lineage(cumulative_counts(units))
+        self.cum = cut_lineage(indexed_counts(units, key) if key else cumulative_counts(units))
         self.units = self.cum.select("idx", "n")
         row = self.cum.agg(
             F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))
@@ -75,9 +76,9 @@ class Workload:
 
     def boundary_sums(self, cuts: DataFrame, row_bound: int) -> DataFrame:
         """Adds ``cs``, the records before boundary ``cut``, to ``cuts``."""
-        sums = self.cum.select((F.col("idx") + 1).alias("cut"), "cs")
-        found = sums.join(broadcast_if_bounded(cuts.filter("cut > 0"), row_bound), "cut")
-        return found.unionByName(cuts.filter("cut = 0").withColumn("cs", F.lit(0).cast(sums.schema["cs"].dataType)))
+        start = literal_rows(self.spark, [(0, 0)], "cut bigint, cs bigint")
+        sums = self.cum.select((F.col("idx") + 1).alias("cut"), "cs").unionByName(start)
+        return sums.join(broadcast_if_bounded(cuts, row_bound), "cut")
 
 
 def part_loads(cuts: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
@@ -157,8 +158,11 @@ def nearest_cuts(load: Workload, segments: DataFrame, keys: list[str], row_bound
     Returns (keys, i, cut, cs) with i = 0..k.
     """
     targets = _targets(segments)
-    hit = locate(load, targets.select(*keys, "i", "target"), row_bound).select(*keys, "i", "unit", "cs_prev", "cs")
-    placed = targets.join(broadcast_if_bounded(hit, row_bound), [*keys, "i"], "left")
+    # a segment without records has no unit to hit; its cuts start at lo
+    nowhere = targets.filter("tot = 0").selectExpr(
+        "*", "CAST(NULL AS BIGINT) AS unit", "CAST(NULL AS BIGINT) AS cs_prev", "CAST(NULL AS BIGINT) AS cs"
+    )
+    placed = locate(load, targets.filter("tot > 0"), row_bound).unionByName(nowhere)
     nseg = F.col("hi") - F.col("lo")
     above = F.greatest(F.lit(0), F.least(nseg, F.coalesce(F.col("unit") + 1, F.col("lo")) - F.col("lo")))
     lower_is_nearer = F.abs(F.col("cs_prev") - F.col("target")) <= F.abs(F.col("cs") - F.col("target"))
@@ -213,7 +217,8 @@ def rank_segments(rank_cuts: DataFrame, pairs: DataFrame) -> DataFrame:
 def balanced_cuts_two_stage(load: Workload, pairs: list[tuple[int, int]], rule: str = "strict") -> DataFrame:
     """Record-balanced ranks, then record-balanced threads inside each rank."""
     ranks = sorted({r for r, _ in pairs})
-    first = nearest_cuts(load, whole_segments(load, ranks, "r"), ["r"], sum(ranks) + len(ranks), rule)
+    # the rank cuts are read by every branch of the thread stage: write them once
+    first = cut_lineage(nearest_cuts(load, whole_segments(load, ranks, "r"), ["r"], sum(ranks) + len(ranks), rule))
     segments = rank_segments(first, _grid(load.spark, pairs))
     return nearest_cuts(load, segments, ["r", "t", "rank"], _row_bound(pairs), rule)
 

@@ -53,7 +53,7 @@ def dense_index_by_id(df: DataFrame, key: str, name: str = "idx", width: int = B
 
 
 def dense_index_by_hash(
-    df: DataFrame, key: str, seed: int, name: str = "row_index", digits: int = 4
+    df: DataFrame, key: str, seed: int, name: str = "row_index", digits: int = 3
 ) -> DataFrame:
     """0-based dense index of a reproducible random permutation.
 
@@ -99,3 +99,11 @@ def cumulative_counts(units: DataFrame) -> DataFrame:
     block = F.floor(F.col("idx") / BLOCK_ROWS)
     scanned = block_scan(units.select("idx", "n"), block, [F.col("idx")], {"cs": F.col("n")})
     return scanned.select("idx", "n", (F.col("cs") - F.col("n")).alias("cs_prev"), "cs")
+
+
+def indexed_counts(sizes: DataFrame, key: str) -> DataFrame:
+    """(key, n) with a unique integer key -> (idx, n, cs_prev, cs) in one scan."""
+    one = F.lit(1).cast("long")
+    block = F.floor(F.col(key) / BLOCK_ROWS)
+    scanned = block_scan(sizes.select(key, "n"), block, [F.col(key)], {"pos": one, "cs": F.col("n")})
+    return scanned.selectExpr("pos - 1 AS idx", "n", "cs - n AS cs_prev", "cs")

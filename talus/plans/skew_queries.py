@@ -51,6 +51,10 @@ def doc_units(spark, d):
     return dense_index_by_id(doc_sizes(spark, d), "doc_id").select("idx", "n")
 
 
+def doc_load(spark, d):
+    return pt.Workload(doc_sizes(spark, d), "doc_id")
+
+
 UNITS_SQL = "WITH units AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, n_chars AS n FROM documents)"
 VECTORS_SQL = """WITH vectors AS (
   SELECT 'documents' AS vector, n_chars AS n FROM documents UNION ALL
@@ -188,7 +192,7 @@ def block_cyclic_loads(spark, d):
     ints="p worker load",
 )
 def block_loads(spark, d):
-    load = pt.Workload(doc_units(spark, d))
+    load = doc_load(spark, d)
     return pt.loads_by_rule(load.units, PS, lambda i, p: pt.worker_block(i, F.lit(load.n_units), p))
 
 
@@ -208,7 +212,7 @@ cuts AS (SELECT p, i, CASE WHEN i = p THEN n ELSE floor(i * (n::DOUBLE / p)) END
     ints="p worker load",
 )
 def block_linspace_loads(spark, d):
-    load = pt.Workload(doc_units(spark, d))
+    load = doc_load(spark, d)
     return pt.part_loads(pt.linspace_cuts(load, PS), ["p"])
 
 
@@ -221,7 +225,7 @@ def block_linspace_loads(spark, d):
     ints="p worker load",
 )
 def block_sorted_loads(spark, d):
-    return pt.block_sorted_loads(pt.Workload(doc_units(spark, d)), PS)
+    return pt.block_sorted_loads(doc_load(spark, d), PS)
 
 
 def nearest_sql(grid: str, room: bool) -> str:
@@ -248,7 +252,7 @@ cuts AS (
     ints="p i cut cs",
 )
 def nz_cuts(spark, d):
-    return pt.balanced_cuts(pt.Workload(doc_units(spark, d)), PS)
+    return pt.balanced_cuts(doc_load(spark, d), PS)
 
 
 @query(
@@ -257,7 +261,7 @@ def nz_cuts(spark, d):
     ints="p i cut cs",
 )
 def nz_monotone_cuts(spark, d):
-    return pt.balanced_cuts(pt.Workload(doc_units(spark, d)), PS, "monotone")
+    return pt.balanced_cuts(doc_load(spark, d), PS, "monotone")
 
 
 @query(
@@ -269,7 +273,7 @@ def nz_monotone_cuts(spark, d):
     ints="p i cut cs",
 )
 def nz_floor_cuts(spark, d):
-    return pt.balanced_cuts(pt.Workload(doc_units(spark, d)), PS, "floor")
+    return pt.balanced_cuts(doc_load(spark, d), PS, "floor")
 
 
 _TWO_STAGE = _CUM_SQL + """,
@@ -317,7 +321,7 @@ _CURVE_COLUMNS = """ SELECT p, r AS n_ranks, t AS n_threads, imb_block, imb_bala
     ints="r t rank worker load",
 )
 def nz_loads_two_stage(spark, d):
-    load = pt.Workload(doc_units(spark, d))
+    load = doc_load(spark, d)
     return pt.part_loads(pt.balanced_cuts_two_stage(load, PAIRS), ["r", "t", "rank"])
 
 
@@ -328,7 +332,7 @@ def nz_loads_two_stage(spark, d):
     ints="r t p",
 )
 def ceiling_sweep(spark, d):
-    return ad.ceilings(pt.Workload(doc_units(spark, d)), PAIRS)
+    return ad.ceilings(doc_load(spark, d), PAIRS)
 
 
 @query(
@@ -343,7 +347,7 @@ def ceiling_sweep(spark, d):
     ints="p",
 )
 def regime_advice(spark, d):
-    load = pt.Workload(doc_units(spark, d))
+    load = doc_load(spark, d)
     star = ad.first_crossing(ad.ceilings(load, [(r, t) for r, t in PAIRS if r * t <= load.n_units // 2])).first()[0]
     return ad.advise(load, SWEEP, p_star=star).drop("advice")
 
@@ -355,7 +359,7 @@ def regime_advice(spark, d):
     ints="n_units p_star",
 )
 def p_star(spark, d):
-    load = pt.Workload(doc_units(spark, d))
+    load = doc_load(spark, d)
     star = ad.find_p_star(load)
     return load.units.agg(F.count(F.lit(1)).alias("n_units")).withColumn("p_star", F.lit(star).cast("long"))
 
@@ -396,7 +400,7 @@ SELECT strategy, p, max_load, total::DOUBLE / max_load AS speedup, total::DOUBLE
     ints="p max_load",
 )
 def imbalance_table(spark, d):
-    load = pt.Workload(doc_units(spark, d))
+    load = doc_load(spark, d)
     rules = {
         "block": pt.part_loads(pt.linspace_cuts(load, PS), ["p"]),
         "nzbalanced": pt.part_loads(pt.balanced_cuts(load, PS, "floor"), ["p"]),
@@ -426,7 +430,7 @@ def greedy_loads(spark, d):
 
 @query("contig_opt_cuts")
 def contig_opt_cuts(spark, d):
-    load = pt.Workload(doc_units(spark, d))
+    load = doc_load(spark, d)
     return reduce(lambda a, b: a.unionByName(b), [pt.contiguous_optimal(load, p) for p in (16, 80)])
 
 
@@ -444,7 +448,7 @@ def _pairs_sql(pairs) -> str:
     ints="p n_ranks n_threads",
 )
 def imbalance_curve(spark, d):
-    return ad.curve(pt.Workload(doc_units(spark, d)), ad.factorisations(_CURVE_P))
+    return ad.curve(doc_load(spark, d), ad.factorisations(_CURVE_P))
 
 
 @query(
@@ -455,7 +459,7 @@ def imbalance_curve(spark, d):
     ints="noise rung span",
 )
 def curve_crossings(spark, d):
-    points = ad.curve(pt.Workload(doc_units(spark, d)), PAIRS)
+    points = ad.curve(doc_load(spark, d), PAIRS)
     return ad.crossings(points, {"noise": ad.NOISE_FLOOR, "rung": ad.PLACEMENT_RUNG, "span": ad.PLACEMENT_SPAN})
 
 
@@ -467,7 +471,7 @@ def curve_crossings(spark, d):
     ints="p",
 )
 def factorisation_spread(spark, d):
-    return ad.factorisation_spread(ad.curve(pt.Workload(doc_units(spark, d)), ad.factorisations([16, 32, 64, 96])))
+    return ad.factorisation_spread(ad.curve(doc_load(spark, d), ad.factorisations([16, 32, 64, 96])))
 
 
 @query(
@@ -477,7 +481,7 @@ def factorisation_spread(spark, d):
     doubles="min_slack",
 )
 def floor_audit(spark, d):
-    load = pt.Workload(doc_units(spark, d))
+    load = doc_load(spark, d)
     return ad.floor_audit(ad.curve(load, PAIRS), load)
 
 
