@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from talus.functions.scalars import harmonise, safe_ratio
 from talus.operators.quantiles import grouped_quantiles
-from talus.session import cut_lineage
+from talus.operators.skew import salted_join
+from talus.session import broadcast_counted, cut_lineage
 
 # Coverage floor of filled slots, their number, clip quantiles,
 # coverage warnings, size of the resolved variable set, open bound.
@@ -44,10 +45,8 @@ def training_records(records: DataFrame, train: DataFrame, checked: DataFrame) -
     mapping = checked.filter("dict_hit = 1").select(
         "dense_id", "variable", "itemid", "vscale", "voffset", "raw_lo", "raw_hi"
     )
-    return (
-        records.join(F.broadcast(mapping), "dense_id")  # the variable map is a short list
-        .join(train.select("row_index"), "row_index", "left_semi")
-    )
+    mapped = records.join(broadcast_counted(mapping), "dense_id")
+    return salted_join(mapped, train.select("row_index"), "row_index", ["t", "dense_id", "value"])
 
 
 def coverage(training: DataFrame, train: DataFrame, varmap: DataFrame, hours: float = COVERAGE_HOURS) -> DataFrame:
@@ -90,7 +89,7 @@ def assign_slots(chosen: DataFrame) -> DataFrame:
 
 
 def _fit(training: DataFrame, chosen: DataFrame) -> DataFrame:
-    kept = training.join(F.broadcast(chosen.select("variable")), "variable", "left_semi")
+    kept = training.join(broadcast_counted(chosen.select("variable")), "variable", "left_semi")
     return kept.filter(plausible()).withColumn(
         "h", harmonise(F.col("value"), F.col("vscale"), F.col("voffset"))
     )
@@ -132,7 +131,7 @@ def fallback_items(checked: DataFrame, ranges: DataFrame, fallback: DataFrame) -
 
 def gate_rejects(training: DataFrame, chosen: DataFrame) -> DataFrame:
     """How many training records the plausibility gate refuses per item."""
-    kept = training.join(F.broadcast(chosen.select("variable")), "variable", "left_semi")
+    kept = training.join(broadcast_counted(chosen.select("variable")), "variable", "left_semi")
     return (
         kept.groupBy("variable", "itemid", "raw_lo", "raw_hi")
         .agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(~plausible()).alias("n_rejected"))
@@ -143,7 +142,7 @@ def gate_rejects(training: DataFrame, chosen: DataFrame) -> DataFrame:
 def warning_agreement(chartevents: DataFrame, ranges: DataFrame) -> DataFrame:
     """Do the source's warning flags agree with the fitted clip range?"""
     bounds = ranges.select("variable", "itemid", "vscale", "voffset", "lo", "hi")
-    rows = chartevents.filter(F.col("valuenum").isNotNull()).join(F.broadcast(bounds), "itemid")
+    rows = chartevents.filter(F.col("valuenum").isNotNull()).join(broadcast_counted(bounds), "itemid")
     outside = ~harmonise(F.col("valuenum"), F.col("vscale"), F.col("voffset")).between(F.col("lo"), F.col("hi"))
     warned = F.col("warning") == 1
     return (
@@ -234,7 +233,7 @@ class Specification:
 
     def __init__(self, cohort: DataFrame, items: DataFrame, records: DataFrame, varmap: DataFrame):
         self.base, self.items, self.records, self.varmap = cohort, items, records, varmap
-        self.checked = check_varmap(varmap, items)
+        self.checked = cut_lineage(check_varmap(varmap, items))
         self.train = cohort.filter("split = 'train'")
         self._stages: dict[str, DataFrame] = {}
 

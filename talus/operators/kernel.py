@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.scalars import clip
+from talus.session import broadcast_counted
 
 # Aggregate order of the feature matrix and the cost model.
 AGGREGATES = ("count", "mean", "min", "max", "std", "first", "last", "slope")
@@ -20,11 +21,11 @@ def _as_stored(name: str) -> Column:
 def slotted(records: DataFrame, lookup: DataFrame) -> DataFrame:
     """Records of kept variables with harmonised, clipped values.
 
-    Only lookup rows with a slot are broadcast; they come from the variable map.
+    Only lookup rows with a slot take part; they are counted before a broadcast.
     """
     kept = lookup.filter("slot >= 0").select("dense_id", "slot", "vscale", "voffset", "lo", "hi")
     value = _as_stored("value") * _as_stored("vscale") + _as_stored("voffset")
-    return records.join(F.broadcast(kept), "dense_id").select(
+    return records.join(broadcast_counted(kept), "dense_id").select(
         "row_index",
         "slot",
         F.col("t").alias("t_exact"),
@@ -87,7 +88,7 @@ def unit_work(units: DataFrame, records: DataFrame, lookup: DataFrame, rho: floa
     """(idx, n, k, work): records, whitelisted records, n + rho * k."""
     kept = lookup.filter("slot >= 0").select("dense_id", F.lit(1).alias("hit"))
     counts = (
-        records.join(F.broadcast(kept), "dense_id", "left")
+        records.join(broadcast_counted(kept), "dense_id", "left")
         .groupBy(F.col("row_index").alias("idx"))
         .agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("k"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talus.session import cut_lineage
 
 # Up to this many rows in the largest group Spark's own exact percentile is used.
-ONE_BUFFER_ROWS = 2_000_000
+ONE_BUFFER_ROWS = 500_000
 
 
 def grouped_quantiles(

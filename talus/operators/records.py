@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from talus.functions.scalars import hours_between, is_finite
 from talus.operators.distribution import size_histogram
-from talus.operators.prefix import BLOCK_ROWS, block_scan
-from talus.session import broadcast_if_bounded
+from talus.operators.prefix import BLOCK_ROWS, block_scan, dense_index
+from talus.operators.skew import salted_join
+from talus.session import broadcast_counted
 
 # Observation windows in hours, trims in percent, record size.
 WINDOWS = {"W6": 6.0, "W12": 12.0, "W24": 24.0, "W48": 48.0, "Wfull": None}
@@ -21,7 +22,7 @@ def in_stay(source: DataFrame, cohort: DataFrame, key: str, name: str) -> DataFr
     stays = cohort.select(key, "row_index", "intime", "outtime")
     rows = source.filter(F.col("valuenum").isNotNull()).select(key, "itemid", "charttime", "valuenum")
     return (
-        rows.join(stays, key)
+        salted_join(rows, stays, key, ["charttime", "itemid", "valuenum"])
         .filter(F.col("charttime").between(F.col("intime"), F.col("outtime")))
         .select(
             "row_index",
@@ -63,7 +64,7 @@ def dictionary(records: DataFrame, d_items: DataFrame, d_labitems: DataFrame) ->
 def encode(records: DataFrame, items: DataFrame) -> DataFrame:
     """(row_index, dense_id, t, value); the item list is counted before it is broadcast."""
     ids = items.select("source", "itemid", "dense_id")
-    return records.join(broadcast_if_bounded(ids, ids.count()), ["source", "itemid"]).select(
+    return records.join(broadcast_counted(ids), ["source", "itemid"]).select(
         "row_index", "dense_id", "t", "value"
     )
 
@@ -185,6 +186,18 @@ def csr_order(records: DataFrame) -> DataFrame:
     return records.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def csr_positions(records: DataFrame) -> DataFrame:
+    """Position of every record inside its unit, from one global numbering.
+
+    No window per unit: a unit of any size is numbered by the range sort, and
+    only the first number of each unit is joined back.
+    """
+    numbered = dense_index(records, [F.col(c) for c in ("row_index", "t", "dense_id", "value")], "pos")
+    starts = numbered.groupBy("row_index").agg(F.min("pos").alias("start"))
+    joined = salted_join(numbered, starts, "row_index", ["pos"])
+    return joined.withColumn("rn", F.col("pos") - F.col("start") + 1).drop("pos", "start")
+
+
 def prefix_violations(full: DataFrame, window: DataFrame, hours: float) -> DataFrame:
     """Per unit: records that break "window variant = prefix of the full one".
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from talus.functions.scalars import null_if_sentinel, relative_pct, safe_ratio
 from talus.operators.quantiles import grouped_quantiles, medians
+from talus.operators.skew import lag_within
 
 # Closed sets and rules of the telemetry schema, version 2.
 SUPPORTED_VERSIONS = [1, 2]
@@ -106,24 +107,16 @@ def measured(runs: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- thread layout
 def thread_layout(threads: DataFrame) -> DataFrame:
     """Per run: thread count, socket changes in tid order, layout name."""
-    in_order = Window.partitionBy("run_id").orderBy("tid")
-    changed = (F.col("socket") != F.lag("socket").over(in_order)).cast("int")
-    transitions = F.coalesce(F.sum("changed"), F.lit(0))
-    per_run = (
-        threads.withColumn("changed", changed)
-        .groupBy("run_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_tids"),
-            F.count_distinct("socket").alias("n_sockets"),
-            transitions.alias("transitions"),
-        )
+    ordered = lag_within(threads, "run_id", "tid", "socket", "before")
+    per_run = ordered.groupBy("run_id").agg(
+        F.expr("count(1) AS n_tids"),
+        F.expr("min(socket) <> max(socket) AS spans_sockets"),
+        F.expr("count_if(socket <> before) AS transitions"),
     )
-    layout = (
-        F.when((F.col("n_tids") < 2) | (F.col("n_sockets") < 2), "single")
-        .when(F.col("transitions") <= 1, "grouped")
-        .otherwise("alternating")
+    return per_run.selectExpr(
+        "*",
+        "CASE WHEN NOT spans_sockets THEN 'single' WHEN transitions <= 1 THEN 'grouped' ELSE 'alternating' END AS layout",
     )
-    return per_run.withColumn("layout", layout)
 
 
 def with_layout(runs: DataFrame, threads: DataFrame) -> DataFrame:
@@ -318,9 +311,10 @@ def share_correlation(runs: DataFrame, threads: DataFrame) -> DataFrame:
 
 def half_thread_ratio(runs: DataFrame, threads: DataFrame) -> DataFrame:
     """Median rate of the upper half of the tids over the lower half."""
-    joined = threads.join(runs.select("run_id", "n_threads"), "run_id")
-    count = F.max("tid").over(Window.partitionBy("run_id")) + 1
-    halves = joined.withColumn("rate", F.col("n_records") / F.col("secs")).withColumn("upper", F.col("tid") >= count / 2)
+    last = threads.groupBy("run_id").agg(F.max("tid").alias("last"))
+    joined = threads.join(runs.select("run_id", "n_threads").join(last, "run_id"), "run_id")
+    upper = F.col("tid") >= (F.col("last") + 1) / 2
+    halves = joined.withColumn("rate", F.col("n_records") / F.col("secs")).withColumn("upper", upper)
     rated = halves.withColumn("lo", F.when(~F.col("upper"), F.col("rate"))).withColumn("hi", F.when(F.col("upper"), F.col("rate")))
     return medians(rated, ["n_threads"], {"lower": "lo", "upper": "hi"}).withColumn(
         "ratio", safe_ratio(F.col("upper"), F.col("lower"))

@@ -40,9 +40,9 @@ m AS (SELECT *, mrec / ghz AS mrec_ghz, throughput_rec_s / (ghz * 1e9) AS rec_pe
              tot_ins::DOUBLE / n_records AS ins_per_rec FROM base),
 rated AS (SELECT *, n_records / secs AS rate FROM threads),
 shape AS (
-  SELECT run_id, count(*) AS n_tids, count(DISTINCT socket) AS n_sockets, coalesce(sum(CASE WHEN socket <> prev THEN 1 ELSE 0 END), 0) AS transitions
+  SELECT run_id, count(*) AS n_tids, count(DISTINCT socket) > 1 AS spans_sockets, coalesce(sum(CASE WHEN socket <> prev THEN 1 ELSE 0 END), 0) AS transitions
   FROM (SELECT *, lag(socket) OVER (PARTITION BY run_id ORDER BY tid) AS prev FROM threads) GROUP BY run_id),
-layout AS (SELECT *, CASE WHEN n_tids < 2 OR n_sockets < 2 THEN 'single' WHEN transitions <= 1 THEN 'grouped' ELSE 'alternating' END AS layout FROM shape)"""
+layout AS (SELECT *, CASE WHEN NOT spans_sockets THEN 'single' WHEN transitions <= 1 THEN 'grouped' ELSE 'alternating' END AS layout FROM shape)"""
 
 
 @query(

@@ -87,3 +87,8 @@ def broadcast_if_bounded(df: DataFrame, row_bound: int, limit: int = 1_000_000)
     the side at run time and shuffles it when it is large.
     """
     return F.broadcast(df) if row_bound <= limit else df
+
+
+def broadcast_counted(df: DataFrame) -> DataFrame:
+    """Count a lookup side, then hint a broadcast if it is small enough."""
+    return broadcast_if_bounded(df, df.count())
