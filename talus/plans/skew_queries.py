@@ -428,10 +428,29 @@ def greedy_loads(spark, d):
     return pt.greedy_loads(doc_units(spark, d), PS)
 
 
-@query("contig_opt_cuts")
+_OPT_P = (16, 80)
+# Smallest largest load by dynamic programming over the number of parts, then
+# the greedy walk at that load.
+_OPT_SQL = _CUM_SQL + f""",
+opt AS (
+  WITH RECURSIVE dp(k, j, best) AS (
+    SELECT 1, j, cs FROM cum
+    UNION ALL
+    SELECT dp.k + 1, b.j, min(greatest(dp.best, b.cs - a.cs))
+    FROM dp JOIN cum a ON a.j = dp.j JOIN cum b ON b.j >= a.j WHERE dp.k < {max(_OPT_P)} GROUP BY dp.k + 1, b.j)
+  SELECT k AS p, best AS cap FROM dp, tot WHERE j = tot.n AND k IN {_OPT_P}),
+walk AS (
+  WITH RECURSIVE w(p, i, cut, cs, cap) AS (
+    SELECT p, 0, 0, 0::HUGEINT, cap FROM opt
+    UNION ALL
+    SELECT w.p, w.i + 1, max(c.j), max(c.cs), w.cap FROM w JOIN cum c ON c.cs <= w.cs + w.cap WHERE w.i < w.p GROUP BY w.p, w.i, w.cap)
+  SELECT * FROM w)"""
+
+
+@query("contig_opt_cuts", oracle=_OPT_SQL + " SELECT p, i, cut, cs, cap FROM walk", ints="p i cut cs cap")
 def contig_opt_cuts(spark, d):
     load = doc_load(spark, d)
-    return reduce(lambda a, b: a.unionByName(b), [pt.contiguous_optimal(load, p) for p in (16, 80)])
+    return reduce(lambda a, b: a.unionByName(b), [pt.contiguous_optimal(load, p) for p in _OPT_P])
 
 
 _CURVE_P = list(range(2, 33)) + [48, 64, 80, 96]
@@ -589,7 +608,24 @@ def forecast_asymptotic(spark, d):
     return bs.forecasts(spark, doc_units(spark, d), [8, 16, 96]).drop("finite_p")
 
 
-@query("forecast_finite")
+# Normal distribution function by summing the density on a fine grid.
+_FINITE_SQL = UNITS_SQL + """,
+grid AS (SELECT x, exp(0 - x * x / 2) / sqrt(2 * pi()) AS d FROM (SELECT (i - 10000) * 0.0009::DOUBLE AS x FROM range(20001) r(i))),
+phi AS (SELECT x, least(1.0::DOUBLE, sum((d + coalesce(pd, d)) / 2 * 0.0009::DOUBLE) OVER (ORDER BY x)) AS f
+        FROM (SELECT x, d, lag(d) OVER (ORDER BY x) AS pd FROM grid)),
+emax AS (SELECT p, sum(CASE WHEN x > 0 THEN 1 - f ** p WHEN x < 0 THEN -(f ** p) ELSE 0.5 - f ** p END) * 0.0009::DOUBLE AS e
+         FROM phi, (VALUES (8), (16), (96)) AS g(p) GROUP BY p),
+st AS (SELECT count(*) AS nu, stddev_pop(n) / avg(n) AS cv FROM units)"""
+
+
+@query(
+    "forecast_finite",
+    oracle=_FINITE_SQL + """ SELECT p, nu::DOUBLE / p AS m, cv, 1 / (1 + cv / sqrt(nu::DOUBLE / p) * sqrt(2 * ln(p))) AS asymptotic,
+        1 / (1 + cv / sqrt(nu::DOUBLE / p) * e) AS finite_p FROM emax, st""",
+    doubles="m cv asymptotic finite_p",
+    ints="p",
+    digits=4,
+)
 def forecast_finite(spark, d):
     return bs.forecasts(spark, doc_units(spark, d), [8, 16, 96])
 
