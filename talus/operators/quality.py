@@ -134,12 +134,12 @@ def dense_permutation(df: DataFrame, column: str = "row_index") -> DataFrame:
 
 
 def reproduction(measured: DataFrame, expected: DataFrame, key: str, tolerances: dict[str, float]) -> DataFrame:
-    """Measured against registered values with a tolerance per column."""
+    """Measured against registered values with a relative tolerance per column."""
     wanted = expected.select(key, *[F.col(c).alias(f"want_{c}") for c in tolerances])
     joined = measured.join(wanted, key, "full")
     ok = F.lit(True)
     for column, tolerance in tolerances.items():
-        ok = ok & F.coalesce(F.abs(F.col(column) - F.col(f"want_{column}")) <= tolerance, F.lit(False))
+        ok = ok & F.coalesce(F.expr(f"abs({column} - want_{column}) <= {tolerance}D * abs(want_{column})"), F.lit(False))
     return joined.withColumn("ok", ok)
 
 

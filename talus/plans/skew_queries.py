@@ -10,6 +10,7 @@ from talus.operators import advisor as ad
 from talus.operators import bootstrap as bs
 from talus.operators import distribution as di
 from talus.operators import partitioners as pt
+from talus.operators import quality
 from talus.operators.kernel import unit_work
 from talus.operators.prefix import dense_index_by_id
 from talus.plans.adapters import table
@@ -630,3 +631,54 @@ def forecast_finite(spark, d):
     return bs.forecasts(spark, doc_units(spark, d), [8, 16, 96])
 
 
+
+
+@query(
+    "bootstrap_cross_check",
+    oracle=_BOOT_SQL + """ SELECT count(*) AS n_pairs, 0.0 AS max_gap, 0.0 AS rms_gap, 0 AS n_outside FROM eff WHERE b = 0""",
+    doubles="max_gap rms_gap",
+    ints="n_outside",
+)
+def bootstrap_cross_check(spark, d):
+    """Efficiency of the given order by two independent routes."""
+    ps = [8, 16, 96]
+    load = doc_load(spark, d)
+    routes = {
+        "block": pt.loads_by_rule(load.units, ps, lambda i, p: pt.worker_block(i, F.lit(load.n_units), p)),
+        "cyclic": pt.cyclic_loads(load.units, ps),
+        "nzbalanced": pt.part_loads(pt.balanced_cuts(load, ps, "monotone"), ["p"]),
+    }
+    direct = reduce(
+        lambda a, b: a.unionByName(b),
+        [pt.load_summary(x, ["p"]).select("p", F.lit(s).alias("strategy"), "efficiency") for s, x in routes.items()],
+    )
+    given = bs.efficiencies(load.units, ps, 0).filter("b = 0")
+    return bs.cross_check(direct, given, ["p", "strategy"], "efficiency")
+
+
+@query(
+    "reproduce_register",
+    oracle=VECTORS_SQL + """, m AS (SELECT vector, count(*) AS n_units, sum(n) AS n_records FROM vectors GROUP BY vector),
+      e AS (SELECT 'documents' AS vector, count(*) AS n_units, sum(length(text)) AS n_records FROM documents UNION ALL
+            SELECT 'users', count(DISTINCT user_id), count(*) FROM events UNION ALL
+            SELECT 'customers', count(*), (SELECT count(*) FROM lineitem) FROM customer)
+      SELECT m.vector, m.n_units, m.n_records, e.n_units AS want_n_units, e.n_records AS want_n_records,
+        coalesce(m.n_units = e.n_units AND abs(m.n_records - e.n_records) <= 0.01 * e.n_records, false) AS ok
+      FROM m LEFT JOIN e ON e.vector = m.vector""",
+    ints="n_records want_n_records",
+)
+def reproduce_register(spark, d):
+    """Measured unit and record totals against totals counted at the source."""
+    docs, events = table(spark, d, "documents"), table(spark, d, "events")
+    rows = [
+        docs.selectExpr("'documents' AS vector", "1 AS u", "CAST(length(text) AS BIGINT) AS r"),
+        table(spark, d, "customer").selectExpr("'customers' AS vector", "1 AS u", "0L AS r"),
+        table(spark, d, "lineitem").selectExpr("'customers' AS vector", "0 AS u", "1L AS r"),
+        events.selectExpr("'users' AS vector", "0 AS u", "1L AS r"),
+        events.select("user_id").distinct().selectExpr("'users' AS vector", "1 AS u", "0L AS r"),
+    ]
+    expected = reduce(lambda a, b: a.union(b), rows).groupBy("vector").agg(
+        F.expr("sum(u) AS n_units"), F.expr("sum(r) AS n_records")
+    )
+    measured = di.totals(all_vectors(spark, d), ["vector"]).select("vector", "n_units", "n_records")
+    return quality.reproduction(measured, expected, "vector", {"n_units": 0.0, "n_records": 0.01})
