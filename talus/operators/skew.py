@@ -11,16 +11,22 @@ SALTS = 16
 ONE_TASK_ROWS = 1_000_000
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, spread: list[str], salts: int = SALTS) -> DataFrame:
+def salted_join(
+    big: DataFrame, small: DataFrame, key: str, spread: list[str], salts: int = SALTS, broadcast_rows: int = 1_000_000
+) -> DataFrame:
     """Inner join of many rows per ``key`` with one row per ``key``.
 
-    The rows of a key are spread over ``salts`` join keys by a hash of the
-    ``spread`` columns (a function of the row, so a recomputed task places it
-    the same way) and the unique side is copied once per salt. AQE's own skew
-    split does not help here: an aggregation by the same key would reuse the
-    join's partitioning and pin a hot key to one task. With the salt in the
-    join key the aggregation gets its own map-side combine and shuffle.
+    A unique side counted to be small is broadcast, which moves no row of the
+    other side. Otherwise the rows of a key are spread over ``salts`` join keys
+    by a hash of the ``spread`` columns (a function of the row, so a recomputed
+    task places it the same way) and the unique side is copied once per salt.
+    AQE's own skew split does not help there: an aggregation by the same key
+    would reuse the join's partitioning and pin a hot key to one task. With the
+    salt in the join key the aggregation gets its own map-side combine and
+    shuffle.
     """
+    if small.count() <= broadcast_rows:
+        return big.join(F.broadcast(small), key)
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")

@@ -3,10 +3,11 @@ import pytest
 from talus.operators.skew import lag_within, salted_join
 
 
-def test_salted_join_keeps_every_row(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_salted_join_keeps_every_row(spark, limit):
     big = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 50 END AS k")
     small = spark.range(49).selectExpr("id AS k", "id * 10 AS v")  # key 49 has no partner
-    got = sorted((r["id"], r["k"], r["v"]) for r in salted_join(big, small, "k", ["id"]).collect())
+    got = sorted((r["id"], r["k"], r["v"]) for r in salted_join(big, small, "k", ["id"], broadcast_rows=limit).collect())
     want = sorted((r["id"], r["k"], r["v"]) for r in big.join(small, "k").collect())
     assert got == want
 
@@ -16,7 +17,7 @@ def test_hot_key_is_spread_before_an_aggregation(spark):
     small = spark.range(5).selectExpr("id AS k", "id AS v")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = salted_join(big, small, "k", ["id"]).groupBy("k").count()
+        plan = salted_join(big, small, "k", ["id"], broadcast_rows=0).groupBy("k").count()
         text = plan._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
