@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import minhash
+from talus.llm import language, minhash, suffix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +19,17 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_edits(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op8_language": op8_language,
+    "op9_repeats": op9_repeats,
+}
 ORACLES: dict[str, str] = {}
