@@ -29,7 +29,7 @@ WORDS = 1 << 16
 GRAMS = 1 << 16
 MAX_GRAM = 4
 SMOOTHING = 0.5
-COUNT_BYTES = 8 << 20
+COUNT_BYTES = 2 << 20
 
 
 @dataclass

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import language, minhash, suffix
+from talus.llm import brown, chosen_path, language, minhash, packing, pii, quality_net, suffix
+from talus.llm.tokenizer_files import tokenizer_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,26 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_edits(documents(spark, sf_dir))
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -29,6 +50,11 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_brown": op2_brown,
+    "op3_quality": op3_quality,
+    "op4_jaccard": op4_jaccard,
+    "op5_packing": op5_packing,
+    "op7_personal": op7_personal,
     "op8_language": op8_language,
     "op9_repeats": op9_repeats,
 }
