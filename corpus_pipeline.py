@@ -1,12 +1,69 @@
-"""Corpus pipeline; its stages follow."""
+"""Corpus pipeline: rules, near copies, personal data, mixture, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and
+returns a DataFrame; all but the last keep the columns of documents. Empty
+tables pass through. No stage after the first depends on SQL-expressible rules
+alone, so there is no SQL for the result; tests hold it against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talus.llm import chosen_path, mixing, packing, pii, rules
+from talus.llm.tokenizer_files import tokenizer_path
+from talus.session import cut_lineage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the base rules or the learned decision list reject (operator 6)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    _, learned = rules.judge(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
+    judged = rules.text_statistics(rows, "_text")
+    return judged.where(~rules.base_failed() & rules.verdict(learned)).select("_row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, that with the smallest id (operator 4)."""
+    heads = chosen_path.near_classes(docs).where("stays")
+    heads = heads.select(F.coalesce("doc_id", F.lit(chosen_path.NO_ID)).alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    keys = {"_k1": F.coalesce("doc_id", F.lit(chosen_path.NO_ID)), "_k2": F.xxhash64(F.coalesce("text", F.lit("")))}
+    kept = docs.withColumns(keys).join(heads, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind (operator 7)."""
+    return pii.mask(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw every source to its target, in shuffled shards (operator 10)."""
+    return mixing.materialise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenized documents, placed in sequences (operator 5)."""
+    return packing.pack_documents(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mixture),
+    ("best-fit packing", packed),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's rows are written before the next reads them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut_lineage(docs)
+    return docs

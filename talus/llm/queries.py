@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talus.llm import brown, chosen_path, language, minhash, packing, pii, quality_net, suffix
+from talus.llm import brown, chosen_path, language, minhash, mixing, packing, pii, quality_net, rules, suffix
 from talus.llm.tokenizer_files import tokenizer_path
 
 
@@ -36,6 +37,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -48,14 +53,21 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = F.transform("draws", lambda d: d["shard"]).alias("shards")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", shards)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_brown": op2_brown,
     "op3_quality": op3_quality,
     "op4_jaccard": op4_jaccard,
     "op5_packing": op5_packing,
+    "op6_rules": op6_rules,
     "op7_personal": op7_personal,
     "op8_language": op8_language,
     "op9_repeats": op9_repeats,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
