@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talus.llm.frequent import most_frequent
 from talus.llm.text import by_slices, fold, ragged_ranges, span_hashes
 from talus.session import cut_lineage
 
@@ -142,7 +143,7 @@ def learn(docs: DataFrame) -> Model:
     prior = np.log(np.array([n for _, n in shares]) / sum(n for _, n in shares))
     code = {lang: i for i, lang in enumerate(langs)}
     counts = cut_lineage(word_counts(labelled))
-    top = counts.groupBy("word").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "word").limit(WORDS).select("word")
+    top = most_frequent(counts.groupBy("word").agg(F.sum("n").alias("t")), "t", WORDS).select("word")
     rows = counts.join(F.broadcast(top), "word").toPandas()  # WORDS x languages
     runs = letter_runs(pa.array(rows["word"], pa.string()))
     hashes = span_hashes(runs.points, runs.start, runs.end) if len(rows) else np.zeros(0, np.uint64)
@@ -152,7 +153,7 @@ def learn(docs: DataFrame) -> Model:
     )
     for size in range(1, MAX_GRAM + 1):
         own = grams.where(F.col("size") == size)
-        top = own.groupBy("gram").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "gram").limit(GRAMS).select("gram")
+        top = most_frequent(own.groupBy("gram").agg(F.sum("n").alias("t")), "t", GRAMS).select("gram")
         rows = own.join(F.broadcast(top), "gram").select("gram", "lang", "n").toPandas()
         keys = rows["gram"].to_numpy(np.int64).view(np.uint64)
         tables.append(_table(keys, rows["lang"].map(code).to_numpy(np.int64), rows["n"].to_numpy(float), len(langs)))
@@ -160,7 +161,7 @@ def learn(docs: DataFrame) -> Model:
 
 
 def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known, _ = table
+    known = table[0]
     if not len(known):
         return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)

@@ -18,6 +18,7 @@ packed each. Further columns are ignored; an empty table gives no piece.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -35,9 +36,10 @@ GROUPS = 256
 ROUNDS = 400
 SMALL = 16
 PULL = 0.5
-TOKEN_BYTES = 4 << 20
+TOKEN_BYTES = 1 << 20
 CACHED = 1 << 20
-LIST = 512
+LIST = 256
+LISTS = 8
 
 
 class WordTokenizer:
@@ -48,6 +50,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,18 +63,18 @@ class WordTokenizer:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        lists = [chunks[i : i + LIST] for i in range(0, len(chunks), LIST)]
+        """Encode new chunks (ascending ``hashes``), a few thousand at a time."""
         lengths, ids = [], []
-        for own, coded in zip(lists, self.tokenizer.encode_batch(lists, is_pretokenized=True, add_special_tokens=False)):
-            ids.append(np.array(coded.ids, np.uint32))
-            lengths.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(own)))
+        for at in range(0, len(chunks), LIST * LISTS):
+            lists = [chunks[i : i + LIST] for i in range(at, min(at + LIST * LISTS, len(chunks)), LIST)]
+            for own, coded in zip(lists, self.tokenizer.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)):
+                ids.append(np.array(coded.ids, np.uint32))
+                lengths.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(own)))
         length = np.concatenate(lengths)
-        start = np.cumsum(length) - length + len(self.ids)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known = known[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.length = np.concatenate([self.length, length])[order]
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.start = np.insert(self.start, place, np.cumsum(length) - length + len(self.ids))
+        self.length = np.insert(self.length, place, length)
         self.ids = np.concatenate([self.ids, *ids])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.brown import summed_blocks
-from talus.llm.text import by_slices, fold, slices, span_hashes, split_words
+from talus.llm.text import LOWER, by_slices, fold, slices, span_hashes, split_words
 
 WORD_ROWS = 1 << 14
 SHAPE_ROWS = 1 << 12
 ROWS = WORD_ROWS + SHAPE_ROWS
-DIM = 64
-NONZERO = 4
+DIM = 32
+NONZERO = 3
 REACH = 2
 SAMPLE = 20_000
 HIDDEN = 32
@@ -63,7 +63,7 @@ def token_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = split_words(column)
     if not len(words.start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), words.first
-    lowered = split_words(column, lower=True).hashes()
+    lowered = span_hashes(LOWER[words.data], words.start, words.end)
     kinds = _KIND[words.data]
     # Upper-case accented letters: the second byte of U+00C0 to U+00DE.
     high = np.flatnonzero((words.data[1:] >= 0x80) & (words.data[1:] <= 0x9E) & (words.data[:-1] == 0xC3))
@@ -75,40 +75,45 @@ def token_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shape = span_hashes(kinds[kept], place[words.start] - 1, place[words.end - 1])
     same = np.zeros(len(lowered), np.uint64)
     inner = words.doc[1:] == words.doc[:-1]
-    # In a three-word window met before in the same text.
+    # In a three-word window met before in the same text: among equal hashes all places but the first.
     if len(lowered) > 2:
         triple = (lowered[:-2] * np.uint64(0x9E3779B97F4A7C15) + lowered[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + lowered[2:]
         triple += words.doc[:-2].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-        _, at = np.unique(triple, return_index=True)
-        again = np.ones(len(triple), bool)
-        again[at] = False
-        again &= words.doc[:-2] == words.doc[2:]
+        bits = np.uint64(int(len(triple)).bit_length())
+        packed = np.sort(triple >> bits << bits | np.arange(len(triple), dtype=np.uint64))
+        later = packed[1:][packed[1:] >> bits == packed[:-1] >> bits]
+        at = (later & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        at = at[words.doc[at] == words.doc[at + 2]]
         for k in range(3):
-            same[k : len(again) + k][again] = 1
+            same[at + k] = 1
     same[1:][inner & (lowered[1:] == lowered[:-1])] = 2
     shapes = (shape + same * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SHAPE_ROWS)
     return (lowered % np.uint64(WORD_ROWS)).astype(np.int64), shapes.astype(np.int64) + WORD_ROWS, words.first
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = index_vectors().astype(np.int32)
+    index = index_vectors()
     total = np.zeros((ROWS, DIM), np.int64)
     for batch in batches:
         for part in slices(batch, "text", POOL_BYTES):
             word, shape, first = token_rows(part.column("text"))
-            if not len(word):
+            n = len(word)
+            if not n:
                 continue
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            own = index[word] + index[shape]
+            # REACH empty places before, between and after the documents: no neighbour lies in another one.
+            gap = np.repeat(np.arange(1, len(first)), np.diff(first)) * REACH
+            own = np.zeros((n + len(first) * REACH, DIM), np.int8)
+            own[np.arange(n) + gap] = index[word] + index[shape]
             near = np.zeros_like(own)
             for d in range(1, REACH + 1):
-                inside = (doc[d:] == doc[:-d])[:, None]
-                near[d:] += own[:-d] * inside
-                near[:-d] += own[d:] * inside
+                near[d:] += own[:-d]
+                near[:-d] += own[d:]
+            near = near[np.arange(n) + gap]
             for rows in (word, shape):
-                order = np.argsort(rows, kind="stable")
-                values, begin = np.unique(rows[order], return_index=True)
-                total[values] += np.add.reduceat(near[order], begin)
+                order = np.argsort(rows.astype(np.uint16), kind="stable")
+                ordered = rows[order]
+                begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+                total[ordered[begin]] += np.add.reduceat(near[order], begin, dtype=np.int32)
     if total.any():
         yield pa.RecordBatch.from_pydict(
             {"part": pa.array(range(PARTS), pa.int32()), "cells": pa.array([c.tobytes() for c in np.array_split(total.reshape(-1), PARTS)], pa.binary())}

@@ -17,8 +17,8 @@ SHINGLE_WORDS = 5
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -92,7 +92,7 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
     """Runs of bytes other than blank, tab, line feed, \\v, \\f and carriage return."""
     data, offsets = text_bytes(column)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     inside = ~_SPACE[data]
     begin, finish = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
