@@ -8,9 +8,10 @@ of each group share a sequence; the linear program asks for the fewest
 configurations that cover all groups. It is solved by multiplicative weights:
 each round a knapsack dynamic program finds the configuration of the largest
 total weight, it is taken a fixed integral number of times, and groups that
-lag behind gain weight exponentially. Pieces of a sixteenth of a sequence or
-less are left out of the program; they and what the rounding leaves are packed
-best fit into the true room of the planned sequences, by runs of alike ones.
+lag behind gain weight exponentially. Pieces of a third of a sequence (1 in
+``SMALL``) or less are left out of the program; they and what the rounding
+leaves are packed best fit into the true room of the planned sequences, by
+runs of alike ones.
 
 Null text counts as empty: one piece with the end id only. Repeated rows are
 packed each. Further columns are ignored; an empty table gives no piece.
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.llm.text import ragged_ranges, slices, split_words
+from talus.llm.text import LOWER, Words, ragged_ranges, slices, split_words
 from talus.session import cut_lineage
 
 CAPACITY = 2048
 END = 0
-GROUPS = 256
-ROUNDS = 400
-SMALL = 16
+GROUPS = 512
+ROUNDS = 800
+SMALL = 3
 PULL = 0.5
 TOKEN_BYTES = 1 << 20
 CACHED = 1 << 20
@@ -42,11 +43,20 @@ LIST = 256
 LISTS = 8
 
 
+STOPS = b".,;:!?"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(STOPS)] = True
+
+
 class WordTokenizer:
     """Ids of texts from ids of their white-space separated chunks.
 
-    The tokenizer never joins characters across white space, so every distinct
-    chunk is encoded once and looked up afterwards.
+    The tokenizer never joins characters across white space, nor a letter and a
+    stop (``STOPS``) after it, and lowers case; so chunks also end before such
+    stops, ASCII capitals are lowered unless a special token may be meant, and
+    every distinct chunk is encoded once and looked up afterwards.
     """
 
     def __init__(self, path: str):
@@ -80,6 +90,11 @@ class WordTokenizer:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): ids of all texts end to end, each text followed by END."""
         words = split_words(column)
+        data = words.data if b"<|" in words.data.tobytes() else LOWER[words.data]
+        cut = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
+        starts = np.sort(np.concatenate([words.start, cut]))
+        ends = np.sort(np.concatenate([words.end, cut]))
+        words = Words(data, starts, ends, words.doc, np.searchsorted(starts, np.append(words.start, len(data))[words.first]))
         if len(self.known) > CACHED:
             self.forget()
         hashes, at, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
