@@ -33,7 +33,7 @@ from talus.llm.text import by_slices, mix64, power_table, ragged_ranges, slices,
 from talus.session import cut_lineage
 
 WINDOW = 35
-GRAM = 8
+GRAM = 6
 GROUP = 1 << 16
 _STEP = 0xD1342543DE82EF95
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
