@@ -9,83 +9,58 @@ from pyspark.sql import functions as F
 
 from talus.session import cut_lineage
 
-# Up to this many rows in the largest group Spark's own exact percentile is used.
-ONE_BUFFER_ROWS = 500_000
-
-
 def grouped_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    wanted: dict[str, tuple[str, float]],
-    aggregates: list[Column] | None = None,
-    one_buffer_rows: int = ONE_BUFFER_ROWS,
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], aggregates: list[Column] | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, next to other aggregates.
 
-    ``wanted`` maps result names to (column, quantile); NULLs are ignored.
-    Spark's ``percentile`` keeps all distinct values of a group in one buffer,
-    so it only serves groups whose size was measured. Larger groups go through
-    a value histogram that is range partitioned on (keys, value), which splits
-    even a group holding most of the rows.
+    ``wanted`` maps result names to (column, quantile); NULLs are ignored, NaN
+    is the largest value. One histogram of all columns, (keys, column, value)
+    with a count, is range partitioned on all three, which splits even a group
+    holding most of the rows, and written once; places and quantiles come from
+    it. Spark's ``percentile`` would keep all values of a group in one buffer.
     """
-    aggregates = aggregates or []
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= one_buffer_rows:
-        percentiles = [
-            F.expr(f"percentile(CAST(`{column}` AS DOUBLE), {q}D) AS `{name}`") for name, (column, q) in wanted.items()
-        ]
-        return df.groupBy(*keys).agg(*aggregates, *percentiles)
-    parts = [df.groupBy(*keys).agg(*aggregates)] if aggregates else [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).drop("_n")]
-    for column in dict.fromkeys(c for c, _ in wanted.values()):
-        of_column = {name: q for name, (c, q) in wanted.items() if c == column}
-        parts.append(_ranged_quantiles(df, keys, column, of_column))
-    return reduce(lambda left, right: join_null_safe(left, right, keys), parts)
-
-
-def medians(df: DataFrame, keys: list[str], columns: dict[str, str], aggregates: list[Column] | None = None) -> DataFrame:
-    """Medians of several columns per group; ``columns`` maps result -> source."""
-    return grouped_quantiles(df, keys, {name: (c, 0.5) for name, c in columns.items()}, aggregates)
-
-
-def _ranged_quantiles(df: DataFrame, keys: list[str], column: str, quantiles: dict[str, float]) -> DataFrame:
-    present = df.select(*keys, F.col(column).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    histogram = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f"))
-    placed = cut_lineage(
-        histogram.repartitionByRange(*[F.col(k) for k in keys], F.col("_v")).withColumn(
-            "_part", F.spark_partition_id()
-        )
-    )
-    totals = placed.groupBy(*keys, "_part").agg(F.sum("_f").alias("_t"))
-    whole = Window.partitionBy(*keys)
+    columns = list(dict.fromkeys(column for column, _ in wanted.values()))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]))
+    present = df.select(*keys, cells.alias("_x")).select(*keys, "_x._c", "_x._v").where("_v IS NOT NULL")
+    histogram = present.groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_f"))
+    ordered = histogram.repartitionByRange(*[F.col(k) for k in keys], F.col("_c"), F.col("_v"))
+    placed = cut_lineage(ordered.withColumn("_part", F.spark_partition_id()))
+    group = [*keys, "_c"]
+    totals = placed.groupBy(*group, "_part").agg(F.sum("_f").alias("_t"))
+    whole = Window.partitionBy(*group)
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
-        *keys,
-        "_part",
-        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"),
-        F.sum("_t").over(whole).alias("_n"),
+        *group, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"), F.sum("_t").over(whole).alias("_n")
     )
-    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        join_null_safe(placed, bases, [*keys, "_part"], "inner")
+        join_null_safe(placed, bases, [*group, "_part"], "inner")
         .withColumn("_hi", F.col("_base") + F.sum("_f").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_f"))
     )
     picks = []
-    for i, q in enumerate(quantiles.values()):
+    for i, (column, q) in enumerate(wanted.values()):
+        own = F.col("_c") == columns.index(column)
         at = F.lit(q) * (F.col("_n") - 1)
         for side, pos in (("a", F.floor(at)), ("b", F.ceil(at))):
-            hit = (F.col("_lo") <= pos) & (pos < F.col("_hi"))
+            hit = own & (F.col("_lo") <= pos) & (pos < F.col("_hi"))
             picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"_w{i}"))
+        picks.append(F.max(F.when(own, at - F.floor(at))).alias(f"_w{i}"))
     found = ranked.groupBy(*keys).agg(*picks)
-    return found.select(
-        *keys,
-        *[
-            (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_w{i}")).alias(name)
-            for i, name in enumerate(quantiles)
-        ],
-    )
+    results = [_between(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_w{i}")).alias(name) for i, name in enumerate(wanted)]
+    base = df.groupBy(*keys).agg(*(aggregates or [F.count(F.lit(1)).alias("_n")]))
+    return join_null_safe(base if aggregates else base.drop("_n"), found.select(*keys, *results), keys)
+
+
+def _between(a: Column, b: Column, weight: Column) -> Column:
+    """Linear interpolation that leaves equal ends, infinite ones too, as they are."""
+    return F.when(a == b, a).otherwise(a * (1 - weight) + b * weight)
+
+
+def medians(df: DataFrame, keys: list[str], columns: dict[str, str], aggregates: list[Column] | None = None) -> DataFrame:
+    """Medians of several columns per group; ``columns`` maps result -> source."""
+    return grouped_quantiles(df, keys, {name: (c, 0.5) for name, c in columns.items()}, aggregates)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

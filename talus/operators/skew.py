@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators.prefix import dense_index
+from talus.session import BROADCAST_BYTES, row_bytes
 
 SALTS = 16
-ONE_TASK_ROWS = 1_000_000
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, key: str, spread: list[str], salts: int = SALTS, broadcast_rows: int = 1_000_000
+    big: DataFrame, small: DataFrame, key: str, spread: list[str], salts: int | None = None, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Inner join of many rows per ``key`` with one row per ``key``.
 
@@ -23,26 +23,24 @@ def salted_join(
     AQE's own skew split does not help there: an aggregation by the same key
     would reuse the join's partitioning and pin a hot key to one task. With the
     salt in the join key the aggregation gets its own map-side combine and
-    shuffle.
+    shuffle. By default there are as many salts as shuffle partitions, so that
+    one key can use all tasks.
     """
-    if small.count() <= broadcast_rows:
+    if small.count() * row_bytes(small.schema) <= broadcast_bytes:
         return big.join(F.broadcast(small), key)
+    salts = salts or max(SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")
 
 
-def lag_within(df: DataFrame, key: str, order: str, column: str, name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Previous value of ``column`` in ``order`` within ``key``.
+def lag_within(df: DataFrame, key: str, order: str, column: str, name: str) -> DataFrame:
+    """Previous value of ``column`` in ``order`` within ``key``; NULL keys form one group.
 
-    A plain window serves keys whose size was measured; beyond that the rows
-    are numbered by a range sort and each meets its predecessor by number.
+    The rows are numbered by a range sort and each meets its predecessor by
+    number, so a key may hold any share of them.
     """
-    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= one_task_rows:
-        return df.withColumn(name, F.lag(column).over(Window.partitionBy(key).orderBy(order)))
     numbered = dense_index(df, [F.col(key), F.col(order)], "_i")
-    before = numbered.select((F.col("_i") + 1).alias("_i"), F.col(key).alias("_k"), F.col(column).alias("_v"))
-    return numbered.join(before, "_i", "left").withColumn(name, F.when(F.col("_k") == F.col(key), F.col("_v"))).drop(
-        "_i", "_k", "_v"
-    )
+    before = numbered.select((F.col("_i") + 1).alias("_i"), F.col(key).alias("_k"), F.col(column).alias("_v"), F.lit(True).alias("_any"))
+    same = F.col("_any") & F.col("_k").eqNullSafe(F.col(key))
+    return numbered.join(before, "_i", "left").withColumn(name, F.when(same, F.col("_v"))).drop("_i", "_k", "_v", "_any")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "talus", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,23 +36,25 @@ def build_session(app: str = "talus", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster.
+    """The shared folder for intermediate tables.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session that
-    names none gets a temporary one; on a cluster a machine-local folder would
-    be lost with its machine, so there a missing setting is an error.
+    It comes from ``spark.checkpoint.dir``. Where that is unset, the tables go
+    into a folder of this application under the warehouse, which the session
+    names and all executors share too; never into a machine's temporary folder.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if configured is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="talus-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
+    if not sc.getCheckpointDir():
+        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/talus-{sc.applicationId}"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return sc.getCheckpointDir()
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; call it when no result is read any more."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -66,27 +71,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small relation of numbers known on the driver.
+    """A relation of values known on the driver, of any number of rows.
 
-    Inline VALUES give the optimizer the exact size; long lists are
-    parallelised instead.
+    It travels as one Arrow table, which gives the optimizer its exact size.
     """
-    names = [f.name for f in T.StructType.fromDDL(schema).fields]
-    types = [f.dataType.simpleString() for f in T.StructType.fromDDL(schema).fields]
-    if not rows or len(rows) > 2_000:
-        return spark.createDataFrame(rows, schema)
-    cells = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in rows)
-    casts = ", ".join(f"CAST(`{n}` AS {t}) AS `{n}`" for n, t in zip(names, types))
-    return spark.sql(f"SELECT {casts} FROM VALUES {cells} AS v({', '.join(f'`{n}`' for n in names)})")
+    columns = T.StructType.fromDDL(schema)
+    arrays = [pa.array([row[i] for row in rows], to_arrow_type(f.dataType)) for i, f in enumerate(columns.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=columns.names), columns)
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """A generous width of a row: 8 bytes a number, 64 a text, 256 anything nested."""
+    flat = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return sum(8 if isinstance(f.dataType, flat) else 64 if isinstance(f.dataType, T.StringType) else 256 for f in schema.fields)
 
 
-def broadcast_if_bounded(df: DataFrame, row_bound: int, limit: int = 1_000_000) -> DataFrame:
+def broadcast_if_bounded(df: DataFrame, row_bound: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the caller can prove a row bound.
 
-    Without a proof under ``limit`` the join is left to AQE, which measures
-    the side at run time and shuffles it when it is large.
+    The bound counts in bytes, rows times their width. Beyond ``limit`` the
+    join is left to AQE, which measures the side at run time.
     """
-    return F.broadcast(df) if row_bound <= limit else df
+    return F.broadcast(df) if row_bound * row_bytes(df.schema) <= limit else df
 
 
 def broadcast_counted(df: DataFrame) -> DataFrame:
