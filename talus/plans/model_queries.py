@@ -138,10 +138,12 @@ def calibration_bins(spark, d):
     return ra.calibration(scores(spark, d), "score", "y")
 
 
+N_BOOT = 2000
+
 _BOOT_SQL = oracle_prefix("scores") + f""",
 subj AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS s, count(*) OVER () AS ns FROM (SELECT DISTINCT subject FROM scores)),
 w AS (SELECT b, CAST(CAST(concat('0x', substr(sha256(concat('{SEED}|', b, '|', s)), 1, 16)) AS UBIGINT) % ns AS BIGINT) AS s, count(*) AS w
-      FROM subj, (SELECT unnest(range(40)) AS b) GROUP BY 1, 2),
+      FROM subj, (SELECT unnest(range({N_BOOT})) AS b) GROUP BY 1, 2),
 h AS (SELECT b, score, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM w JOIN subj USING (s) JOIN scores USING (subject) GROUP BY 1, 2),
 c AS (SELECT *, sum(neg) OVER (PARTITION BY b ORDER BY score) AS cn, sum(pos) OVER (PARTITION BY b ORDER BY score DESC) AS tp,
              sum(pos + neg) OVER (PARTITION BY b ORDER BY score DESC) AS m FROM h),
@@ -151,7 +153,7 @@ boot AS (SELECT b, sum(pos * (cn - neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum
 
 @query("subject_resamples", oracle=_BOOT_SQL + " SELECT * FROM boot", doubles="auroc auprc", ints="b")
 def subject_resamples(spark, d):
-    return ra.bootstrap_metrics(scores(spark, d), "score", "y", "subject", 40, SEED)
+    return ra.bootstrap_metrics(scores(spark, d), "score", "y", "subject", N_BOOT, SEED)
 
 
 @query(
@@ -161,7 +163,7 @@ def subject_resamples(spark, d):
     doubles="auroc_lo auroc_hi auprc_lo auprc_hi",
 )
 def subject_bootstrap_ci(spark, d):
-    boot = ra.bootstrap_metrics(scores(spark, d), "score", "y", "subject", 40, SEED)
+    boot = ra.bootstrap_metrics(scores(spark, d), "score", "y", "subject", N_BOOT, SEED)
     return ra.confidence_intervals(cut_lineage(boot))
 
 
@@ -195,6 +197,7 @@ _SCAN = " UNION ALL ".join(
     doubles="strength",
 )
 def single_feature_scan(spark, d):
+    # The small test tables hold fewer labelled documents than the operator's default minimum.
     return mo.single_feature_scan(doc_features(spark, d), FEATURES, "y", min_rows=30)
 
 
@@ -240,4 +243,10 @@ def feature_ablation(spark, d):
 
 @query("negative_control")
 def negative_control(spark, d):
-    return mo.negative_control(prepared(spark, d), FEATURES, "doc_id", draws=3)
+    return mo.negative_control(prepared(spark, d), FEATURES, "doc_id", draws=5)
+
+
+@query("negative_control_verdict")
+def negative_control_verdict(spark, d):
+    """Whether models of shuffled labels rank held-out documents no better than chance."""
+    return mo.control_verdict(cut_lineage(mo.negative_control(prepared(spark, d), FEATURES, "doc_id", draws=5)))

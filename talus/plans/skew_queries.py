@@ -560,10 +560,12 @@ def work_balanced_cuts(spark, d):
 
 
 # -------------------------------------------------------------------- bootstrap
-_BOOT_SQL = UNITS_SQL + """,
+N_BOOT = 1000
+
+_BOOT_SQL = UNITS_SQL + f""",
 perm AS (SELECT b, idx, n, row_number() OVER w - 1 AS pos, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS cs,
                 count(*) OVER (PARTITION BY b) AS nu, sum(n) OVER (PARTITION BY b) AS total
-         FROM units, (SELECT unnest(range(21)) AS b)
+         FROM units, (SELECT unnest(range({N_BOOT + 1})) AS b)
          WINDOW w AS (PARTITION BY b ORDER BY CASE WHEN b = 0 THEN lpad(idx::VARCHAR, 16, '0')
                       ELSE sha256(concat('20260728|', b, '|', idx)) END)),
 dealt AS (
@@ -581,7 +583,7 @@ eff AS (SELECT b, p, strategy, max(total)::DOUBLE / max(p) / max(load) AS effici
     ints="p",
 )
 def permutation_efficiencies(spark, d):
-    return bs.efficiencies(doc_units(spark, d), [8, 16, 96], 20)
+    return bs.efficiencies(doc_units(spark, d), [8, 16, 96], N_BOOT)
 
 
 @query(
@@ -595,7 +597,7 @@ def permutation_efficiencies(spark, d):
     ints="p",
 )
 def permutation_bootstrap(spark, d):
-    return bs.summarise_bootstrap(cut_lineage(bs.efficiencies(doc_units(spark, d), [8, 16, 96], 20)))
+    return bs.summarise_bootstrap(cut_lineage(bs.efficiencies(doc_units(spark, d), [8, 16, 96], N_BOOT)))
 
 
 @query(
