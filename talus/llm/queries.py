@@ -70,4 +70,28 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),"""
+
+ORACLES: dict[str, str] = {
+    "op4_jaccard": _WORDS
+    + """
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sz p ON p.doc_id = x JOIN sz q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9 UNION ALL
+  SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON len(a.w) = 0 AND len(b.w) = 0 AND a.doc_id <> b.doc_id),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links
+FROM (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY 1)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY 1) USING (doc_id)""",
+    "op9_repeats": _WORDS
+    + """
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) > 34)),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM win), range(35) t(o) WHERE c > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+}
