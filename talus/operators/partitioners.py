@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.operators.distribution import size_histogram
-from talus.operators.prefix import cumulative_counts, indexed_counts
+from talus.operators.prefix import BLOCK_ROWS, cumulative_counts, dense_index, indexed_counts
 from talus.session import broadcast_if_bounded, cut_lineage, literal_rows
 
-MAX_VALUE_BUCKETS = 1 << 24
-
 
 # --------------------------------------------------------------- worker rules
 def worker_block(idx: Column, n_units: Column, p: int) -> Column:
@@ -130,21 +128,27 @@ def _targets(segments: DataFrame) -> DataFrame:
 def locate(load: Workload, targets: DataFrame, row_bound: int) -> DataFrame:
     """For every target the unit whose interval (cs_prev, cs] holds it.
 
-    Units and targets meet on a bucket of the record axis. A unit enters every
-    bucket it overlaps (at most units + buckets rows in all) and a bucket holds
-    a few units on average, so the join output stays near the target count.
+    Targets first find their block of BLOCK_ROWS units from the block totals:
+    blocks and targets meet on buckets of the record axis, as many as there are
+    blocks, so even one unit with most of the records enters no more rows than
+    that. Then only units of those blocks are compared with a target.
     """
-    buckets = max(1, min(load.n_units, MAX_VALUE_BUCKETS))
-    width = max(1, -(-load.total // buckets))
-    spans = load.cum.filter("n > 0").withColumn(
-        "bucket",
-        F.explode(F.sequence(F.floor(F.col("cs_prev") / width), F.floor(F.col("cs") / width))),
-    ).select("bucket", F.col("idx").alias("unit"), "cs_prev", "cs")
-    asked = targets.withColumn("bucket", F.floor(F.col("target") / width))
+    block = F.floor(F.col("idx") / BLOCK_ROWS).alias("_block")
+    totals = load.cum.groupBy(block).agg(F.min("cs_prev").alias("_low"), F.max("cs").alias("_high")).filter("_high > _low")
+    width = max(1, -(-load.total // (load.n_units // BLOCK_ROWS + 1)))
+    reach = F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))
+    asked = targets.withColumn("_bucket", F.floor(F.col("target") / width))
+    in_block = (
+        totals.withColumn("_bucket", F.explode(reach))
+        .join(broadcast_if_bounded(asked, row_bound), "_bucket")
+        .filter("_low < target AND target <= _high")
+        .drop("_bucket", "_low", "_high")
+    )
+    units = load.cum.filter("n > 0").select(block, F.col("idx").alias("unit"), "cs_prev", "cs")
     return (
-        spans.join(broadcast_if_bounded(asked, row_bound), "bucket")
-        .filter((F.col("cs_prev") < F.col("target")) & (F.col("target") <= F.col("cs")))
-        .drop("bucket")
+        units.join(broadcast_if_bounded(in_block, row_bound), "_block")
+        .filter("cs_prev < target AND target <= cs")
+        .drop("_block")
     )
 
 
@@ -313,13 +317,15 @@ def greedy_loads(units: DataFrame, ps: list[int]) -> DataFrame:
     """(p, worker, load) of largest-first dealing to the least-loaded worker.
 
     The rule is sequential in the size order but only needs the histogram.
-    Histograms beyond a million distinct sizes are dealt chunk by chunk with
-    the p loads carried over, so no task sees more than one chunk.
+    The histogram is written once, numbered from the largest size, and dealt in
+    chunks of GREEDY_CHUNK_SIZES sizes with the p loads carried over: no task
+    sees more than one chunk, and the number of jobs follows the distinct sizes
+    in millions. The dealing itself stays sequential, one task for each p.
     """
     spark = units.sparkSession
-    sizes = units.filter("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("f"))
-    blocks = sizes.groupBy(F.floor(F.col("n") / GREEDY_CHUNK_SIZES).alias("b")).agg(F.count(F.lit(1)).alias("rows"))
-    order = [row["b"] for row in blocks.orderBy(F.desc("b")).toLocalIterator()]
+    histogram = units.filter("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("f"))
+    sizes = cut_lineage(dense_index(histogram, [F.desc("n")], "place"))
+    order = range(-(-sizes.count() // GREEDY_CHUNK_SIZES))
     state = {int(p): [0] * int(p) for p in ps}
     schema = "p bigint, worker bigint, load bigint"
 
@@ -336,7 +342,7 @@ def greedy_loads(units: DataFrame, ps: list[int]) -> DataFrame:
     replicas = F.explode(F.array(*[F.lit(int(p)).cast("long") for p in ps]))
     result = None
     for i, b in enumerate(order):
-        chunk = sizes.filter(F.floor(F.col("n") / GREEDY_CHUNK_SIZES) == b) if len(order) > 1 else sizes
+        chunk = sizes.filter(F.floor(F.col("place") / GREEDY_CHUNK_SIZES) == b).select("n", "f")
         result = chunk.withColumn("p", replicas).groupBy("p").applyInPandas(deal(state), schema)
         if i < len(order) - 1:
             carried: dict[int, list[int]] = {}

@@ -14,6 +14,7 @@ from talus.functions.scalars import hash_order
 from talus.session import cut_lineage
 
 BLOCK_ROWS = 65_536
+SPARSE = 64
 
 
 def block_scan(
@@ -43,12 +44,28 @@ def block_scan(
     )
 
 
+def _id_ranges(df: DataFrame, key: str, width: int) -> Column | None:
+    """Ranges of ``width`` ids as blocks, if the ids are dense enough to fill them.
+
+    With at most SPARSE ids of the range to each row there is a block for
+    every width / SPARSE rows, whatever the ids; sparser ids give None.
+    """
+    low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if rows and (high - low + 1) > SPARSE * max(rows, width):
+        return None
+    return F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width))
+
+
 def dense_index_by_id(df: DataFrame, key: str, name: str = "idx", width: int = BLOCK_ROWS) -> DataFrame:
     """0-based dense index in the order of a unique integer key.
 
-    Blocks are key ranges, so a block holds at most ``width`` rows.
+    Blocks are key ranges, so a block holds at most ``width`` rows; sparse
+    keys are numbered by a range sort.
     """
-    ranked = block_scan(df, F.floor(F.col(key) / width), [F.col(key)], {name: F.lit(1).cast("long")})
+    block = _id_ranges(df, key, width)
+    if block is None:
+        return dense_index(df, [F.col(key)], name)
+    ranked = block_scan(df, block, [F.col(key)], {name: F.lit(1).cast("long")})
     return ranked.withColumn(name, F.col(name) - 1)
 
 
@@ -104,6 +121,8 @@ def cumulative_counts(units: DataFrame) -> DataFrame:
 def indexed_counts(sizes: DataFrame, key: str) -> DataFrame:
     """(key, n) with a unique integer key -> (idx, n, cs_prev, cs) in one scan."""
     one = F.lit(1).cast("long")
-    block = F.floor(F.col(key) / BLOCK_ROWS)
-    scanned = block_scan(sizes.select(key, "n"), block, [F.col(key)], {"pos": one, "cs": F.col("n")})
+    rows = sizes.select(key, "n")
+    sums = {"pos": one, "cs": F.col("n")}
+    block = _id_ranges(rows, key, BLOCK_ROWS)
+    scanned = running_sums(rows, [F.col(key)], sums) if block is None else block_scan(rows, block, [F.col(key)], sums)
     return scanned.selectExpr("pos - 1 AS idx", "n", "cs - n AS cs_prev", "cs")

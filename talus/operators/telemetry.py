@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.scalars import null_if_sentinel, relative_pct, safe_ratio
+from talus.operators.prefix import dense_index
 from talus.operators.quantiles import grouped_quantiles, medians
 from talus.operators.skew import lag_within
 
@@ -569,7 +570,7 @@ def launch_order(runs: DataFrame, expected: DataFrame) -> DataFrame:
     first = runs.withColumn("pid", pid).groupBy("pid").agg(
         F.min_by(F.struct("csr_variant", "schedule"), F.col("run_id")).alias("got")
     )
-    placed = first.withColumn("pos", F.dense_rank().over(Window.orderBy("pid")) - 1)
+    placed = dense_index(first, [F.col("pid")], "pos")
     wanted = expected.select("pos", F.col("csr_variant").alias("want_variant"), F.col("schedule").alias("want_schedule"))
     return placed.join(wanted, "pos", "full").select(
         "pos",

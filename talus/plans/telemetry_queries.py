@@ -520,10 +520,10 @@ def dose_response(spark, d):
 )
 def launch_order(spark, d):
     frame = runs(spark, d)
-    pids = frame.select(F.split_part(F.col("run_id"), F.lit("-"), F.lit(3)).alias("pid")).agg(F.count_distinct("pid").alias("n"))
-    plan = pids.select(F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("pos")).select(
-        "pos",
-        F.when(F.pmod("pos", F.lit(2)) == 0, "W24").otherwise("Wfull").alias("csr_variant"),
+    pid = F.split_part(F.col("run_id"), F.lit("-"), F.lit(3))
+    plan = spark.range(frame.select(pid.alias("pid")).distinct().count()).select(
+        F.col("id").alias("pos"),
+        F.when(F.pmod("id", F.lit(2)) == 0, "W24").otherwise("Wfull").alias("csr_variant"),
         F.lit("dynamic").alias("schedule"),
     )
     return te.launch_order(frame, plan)

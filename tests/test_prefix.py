@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talus.operators.prefix import dense_index, dense_index_by_hash, dense_index_by_id, running_sums
+from talus.operators.prefix import dense_index, dense_index_by_hash, dense_index_by_id, indexed_counts, running_sums
 from talus.operators.quantiles import grouped_quantiles, medians
 from talus.operators.records import expand, offsets, shape_trimmed, size_matched
 
@@ -76,3 +76,12 @@ def test_offsets_expand_and_families(spark):
     assert size_matched(units, 8).count() == 3
     assert shape_trimmed(units, 20).agg(F.max("n")).first()[0] == 5
     assert shape_trimmed(units, 0).count() == 6
+
+
+def test_sparse_ids_make_no_block_each(spark):
+    ids = [i * 1_000_003 for i in range(500)]
+    df = spark.createDataFrame([(i, 1 + i % 3) for i in ids], "k bigint, n bigint")
+    rows = dense_index_by_id(df, "k", width=4).orderBy("idx").collect()
+    assert [r["k"] for r in rows] == ids
+    sums = indexed_counts(df, "k").orderBy("idx").collect()
+    assert [r["cs"] for r in sums] == np.cumsum([1 + i % 3 for i in ids]).tolist()
