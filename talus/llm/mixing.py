@@ -6,7 +6,7 @@ whole passes over its documents and, for the rest, documents in permuted
 order up to the word; the document at the edge gives its first words only.
 
 The draws are cut into blocks, about ``BLOCKS`` in all. The quotas of blocks of
-all sources are split over ``SHARDS`` output shards by a binary tree: a node
+all sources are split over the output shards (``shards_for``) by a binary tree: a node
 gives its left half a multivariate hypergeometric sample of its quotas, exact
 in number, the right half the remainder. A source's blocks are then dealt in
 permuted order, so shards hold disjoint blocks, and rows are ordered by a hash
@@ -29,6 +29,7 @@ CAP = 2
 BLOCKS = 1 << 16
 MIN_BLOCK_WORDS = 1 << 12
 SHARDS = 16
+SHARD_WORDS = 1 << 22
 PARTS = 64
 ROWS_PER_PART = 1 << 16
 SEED = 10
@@ -169,7 +170,12 @@ def _safe(df: DataFrame) -> DataFrame:
     return df.withColumn("_s", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
 
 
-def draws(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def shards_for(words: int) -> int:
+    """Output shards of about SHARD_WORDS words, at least SHARDS, each of several blocks."""
+    return min(max(SHARDS, words // SHARD_WORDS), BLOCKS // 4)
+
+
+def draws(docs: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, draws) of the mix of (doc_id, text, source).
 
     Documents: (row, doc_id, k2, size, source_size, target). Draws: (row, copy,
@@ -203,13 +209,13 @@ def draws(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     permuted = Window.partitionBy("place").orderBy(F.xxhash64(F.lit(SEED), "copy", "block"), "copy", "block")
     numbered = cut_lineage(blocks.withColumn("n", F.row_number().over(permuted) - 1))
     quotas = numbered.groupBy("place").agg(F.count(F.lit(1)).alias("blocks"))
-    tree = split_quotas(quotas, shards).where("blocks > 0")
+    tree = split_quotas(quotas, shards or shards_for(words * SHARE_PERCENT // 100)).where("blocks > 0")
     homes = numbered.join(tree, "place").where("n >= from_block AND n < from_block + blocks").select("place", "copy", "block", "shard")
     placed = drawn.join(homes, ["place", "copy", "block"]).select("row", "copy", "words", "shard")
     return ran.select("row", "doc_id", "k2", "size", "source_size", "target"), placed
 
 
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, draws, k2) of every row; draws lists (copy, words, shard)."""
     rows, drawn = draws(docs, shards)
     per_row = drawn.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("copy", "words", "shard"))).alias("draws"))
@@ -218,7 +224,7 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def materialise(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def materialise(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mixed rows with all columns of ``docs``, by shard and in a hash order inside each.
 
     A document comes once for each draw; a partial draw keeps its first words,
