@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cohort_queries", "feature_queries", "skew_queries", "telemetry_queries", "model_queries", "scalar_queries")
+MODULES = ("cohort_queries", "feature_queries", "skew_queries", "telemetry_queries", "model_queries", "scalar_queries", "source_queries")
 
 
 def load_all():

@@ -45,10 +45,8 @@ shape AS (
 layout AS (SELECT *, CASE WHEN NOT spans_sockets THEN 'single' WHEN transitions <= 1 THEN 'grouped' ELSE 'alternating' END AS layout FROM shape)"""
 
 
-@query(
-    "run_problems",
-    oracle=oracle_prefix("runs") + """, flags AS (
-      SELECT list_filter([
+PROBLEMS_SQL = oracle_prefix("runs") + """, flags AS (
+      SELECT run_id, list_filter([
         CASE WHEN schema_version NOT IN (1, 2) THEN 'schema_version' END,
         CASE WHEN coalesce(csr_variant, '') = '' THEN 'csr_variant' END,
         CASE WHEN NOT coalesce(schedule IN ('precomputed','static','static_chunked','dynamic','guided','stealing'), false) THEN 'schedule' END,
@@ -60,7 +58,12 @@ layout AS (SELECT *, CASE WHEN NOT spans_sockets THEN 'single' WHEN transitions
         CASE WHEN (repetition = 0) <> (warmup = 1) THEN 'warmup' END,
         CASE WHEN n_threads < 1 THEN 'n_threads' END,
         CASE WHEN n_threads > 16 AND smt = 0 AND platform = 'broadwell' THEN 'smt' END,
-        CASE WHEN wall_time_s <= 0 THEN 'wall_time_s' END], lambda x: x IS NOT NULL) AS problems FROM runs)
+        CASE WHEN wall_time_s <= 0 THEN 'wall_time_s' END], lambda x: x IS NOT NULL) AS problems FROM runs)"""
+
+
+@query(
+    "run_problems",
+    oracle=PROBLEMS_SQL + """
       SELECT rule, count(*) AS n FROM (
         SELECT unnest(CASE WHEN len(problems) = 0 THEN ['(valid)'] ELSE problems END) AS rule FROM flags) GROUP BY rule""",
 )

@@ -66,20 +66,31 @@ def lookup_gaps(spark: SparkSession, path: str, n_ids: int) -> DataFrame:
     return ids.join(present, "dense_id", "left_anti")
 
 
+def _headers(spark: SparkSession, paths: list[str], names: set[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header, from one scan: a header line starts with the name of a declared column."""
+    first = F.split_part("value", F.lit(","), F.lit(1))
+    lines = spark.read.text(paths).where(first.isin(sorted(names))).select("value", F.col("_metadata.file_path").alias("path"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.distinct().orderBy("path").collect():  # one row per file
+        found.setdefault(tuple(row["value"].split(",")), []).append(row["path"])
+    return found
+
+
 def read_telemetry(spark: SparkSession, paths: list[str], required: str | None = None) -> DataFrame:
     """Union of telemetry CSVs whose columns differ, with the file name.
 
-    Each distinct header is read once with its own columns (as text) and cast
-    to the declared type of the column where there is one; files without
-    ``required`` are skipped.
+    Files with equal headers are read together, with their own columns (as
+    text) cast to the declared type where there is one; files without
+    ``required``, and empty files, are skipped.
     """
     known = {f.name: f.dataType for text in (schemas.RUNS, schemas.THREADS) for f in T.StructType.fromDDL(text).fields}
     frames = []
-    for path in paths:
-        raw = spark.read.option("header", True).csv(path)
-        if required and required not in raw.columns:
+    for header, files in _headers(spark, paths, set(known)).items():
+        if required and required not in header:
             continue
-        typed = [F.col(f"`{c}`").cast(known[c]).alias(c) if c in known else F.col(f"`{c}`") for c in raw.columns]
+        as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.schema(as_text).option("header", True).csv(files)
+        typed = [F.col(f"`{c}`").cast(known[c]).alias(c) if c in known else F.col(f"`{c}`") for c in header]
         frames.append(raw.select(*typed, F.col("_metadata.file_name").alias("__file")))
     if not frames:
         raise ValueError(f"no usable telemetry file among {paths}")
