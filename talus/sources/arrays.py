@@ -7,6 +7,7 @@ of any size is decoded by many tasks.
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from talus.operators.records import expand
 
+CHUNK = 1 << 16  # elements decoded at once
 DTYPES = {"i32": ("<i4", "bigint"), "i64": ("<i8", "bigint"), "u32": ("<u4", "bigint"), "u64": ("<u8", "bigint"), "f32": ("<f4", "float")}
 
 
@@ -24,9 +26,9 @@ def read_array(spark: SparkSession, path: str, kind: str, name: str = "x") -> Da
     dtype, sql_type = DTYPES[kind]
 
     def decode(pairs):
-        rows = list(pairs)  # one input split
-        values = np.frombuffer(b"".join(raw for raw, _ in rows), dtype=dtype)
-        return zip((i for _, i in rows), values.tolist())
+        while rows := list(islice(pairs, CHUNK)):
+            values = np.frombuffer(b"".join(raw for raw, _ in rows), dtype=dtype)
+            yield from zip((i for _, i in rows), values.tolist())
 
     records = spark.sparkContext.binaryRecords(path, np.dtype(dtype).itemsize).zipWithIndex()
     return spark.createDataFrame(records.mapPartitions(decode), f"pos bigint, {name} {sql_type}")
