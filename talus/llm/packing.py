@@ -77,9 +77,11 @@ class WordTokenizer:
         lengths, ids = [], []
         for at in range(0, len(chunks), LIST * LISTS):
             lists = [chunks[i : i + LIST] for i in range(at, min(at + LIST * LISTS, len(chunks)), LIST)]
-            for own, coded in zip(lists, self.tokenizer.encode_batch(lists, is_pretokenized=True, add_special_tokens=False)):
+            for own, coded in zip(lists, self.tokenizer.encode_batch([" ".join(own) for own in lists], add_special_tokens=False)):
                 ids.append(np.array(coded.ids, np.uint32))
-                lengths.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(own)))
+                begin = np.cumsum([0, *(len(chunk) + 1 for chunk in own)])
+                place = np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0]
+                lengths.append(np.bincount(np.searchsorted(begin, place, "right") - 1, minlength=len(own)))
         length = np.concatenate(lengths)
         place = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, place, hashes)
