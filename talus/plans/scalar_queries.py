@@ -220,12 +220,12 @@ def interval_quantiles(spark, d):
     doubles="lo hi",
 )
 def ranged_quantiles(spark, d):
-    """The path of groups too large for one buffer, forced on."""
+    """Far quantiles of a few groups that hold all rows."""
     from talus.operators.quantiles import grouped_quantiles
 
     return grouped_quantiles(
         table(spark, d, "lineitem"), ["l_returnflag"],
-        {"lo": ("l_extendedprice", 0.001), "hi": ("l_extendedprice", 0.999)}, one_buffer_rows=0,
+        {"lo": ("l_extendedprice", 0.001), "hi": ("l_extendedprice", 0.999)},
     )
 
 
