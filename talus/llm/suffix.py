@@ -35,6 +35,7 @@ from talus.session import cut_lineage
 WINDOW = 35
 GRAM = 6
 GROUP = 1 << 16
+PACKED_BYTES = 1 << 19
 _STEP = 0xD1342543DE82EF95
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
 _PLACE_BITS = 26
@@ -89,6 +90,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+_CODEC = pa.Codec("zstd")
+PACKED = "doc_id long, k1 long, k2 long, size long, text binary"
+
+
+def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    raw = [t.encode() for t in batch.column("text").to_pylist()]
+    columns = [batch.column(c) for c in ("doc_id", "k1", "k2")]
+    columns += [pa.array([len(t) for t in raw], pa.int64()), pa.array([_CODEC.compress(t, asbytes=True) for t in raw], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "size", "text"])
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Texts compressed one by one: they are shuffled twice, and pack better than Spark's blocks do."""
+    return _keyed(docs).mapInArrow(by_slices(_pack), PACKED)
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    sizes = batch.column("size").to_pylist()
+    return [_CODEC.decompress(t, n, asbytes=True) for t, n in zip(batch.column("text").to_pylist(), sizes)]
+
+
 RUNS = "k1 long, k2 long, start int, windows int, offset int, anchor long, context long"
 
 
@@ -120,7 +142,7 @@ def _suffixes(window: int):
     """Words of the chosen runs of each text."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = split_words(batch.column("text"))
+        words = split_words(pa.array(_unpacked(batch), pa.binary()))
         hashes = words.hashes()
         runs = batch.column("runs")
         flat = runs.flatten()
@@ -249,8 +271,7 @@ def _spelled(window: int):
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(k1, k2, start, mask): which windows from word ``start`` on occur anywhere else."""
-    keyed = _keyed(docs)
-    runs = cut_lineage(keyed.drop("doc_id").mapInArrow(by_slices(_runs(window, gram)), RUNS))
+    runs = cut_lineage(_keyed(docs).drop("doc_id").mapInArrow(by_slices(_runs(window, gram)), RUNS))
     distinct = runs.groupBy("anchor", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "windows", "offset")).alias("at")
     )
@@ -261,7 +282,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group
     )
     wanted = chosen.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))  # of one text
     # Rows with equal id and text spell their runs again; a tree takes each (anchor, context) once.
-    suffixes = cut_lineage(keyed.drop("doc_id").join(wanted, ["k1", "k2"]).mapInArrow(by_slices(_suffixes(window)), SUFFIXES))
+    suffixes = cut_lineage(_packed(docs).drop("doc_id").join(wanted, ["k1", "k2"]).mapInArrow(by_slices(_suffixes(window), limit=PACKED_BYTES), SUFFIXES))
     small = suffixes.where("NOT big").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_grow(window, gram), MASKS)
     spelled = suffixes.where("big").dropDuplicates(["anchor", "context"]).mapInArrow(by_slices(_spelled(window), "words"), WINDOWS)
     often = spelled.groupBy("anchor", "spelled").agg(F.sum("n").alias("all")).where("all > 1")
@@ -275,10 +296,10 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group
 
 def _kept(window: int):
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, runs = batch.column("text").to_pylist(), batch.column("runs").to_pylist()
+        texts, runs = _unpacked(batch), batch.column("runs").to_pylist()
         counts, removed, digests = [], [], []
         for text, own in zip(texts, runs):
-            words = text.encode().split()
+            words = text.split()
             gone = 0
             if own:
                 starts = np.array([r["start"] for r in own], np.int64)
@@ -313,5 +334,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     """What stays of every document without its repeated windows, as counts and a digest."""
     runs = repeated_runs(docs, window, gram, group)
     of_text = runs.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("runs"))
-    rows = _keyed(docs).join(of_text, ["k1", "k2"], "left").select("doc_id", "text", "runs")
-    return rows.mapInArrow(by_slices(_kept(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = _packed(docs).join(of_text, ["k1", "k2"], "left").select("doc_id", "size", "text", "runs")
+    return rows.mapInArrow(by_slices(_kept(window), limit=PACKED_BYTES), "doc_id long, n_words long, n_removed long, kept_sha256 string")
