@@ -17,7 +17,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from talus.plans import load_all  # noqa: E402
-from talus.session import build_session  # noqa: E402
+from talus.session import build_session, drop_tables  # noqa: E402
 
 HEADLINE = [
     "kernel_events",
@@ -74,6 +74,7 @@ def main() -> None:
     }
     if timings.get("kernel_events"):
         result["kernel_records_per_s"] = round(events / timings["kernel_events"])
+    drop_tables(spark)
     spark.stop()
     print(json.dumps(result))
 
