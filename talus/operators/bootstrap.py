@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.functions.scalars import hash_order, safe_ratio
-from talus.operators.prefix import block_scan
+from talus.operators.prefix import block_scan, digest_digits
 from talus.operators.quantiles import grouped_quantiles
 from talus.session import literal_rows
 
@@ -18,13 +18,14 @@ BOOT_SEED = 20260728
 FLAG_BAND = (5.0, 95.0)
 
 
-def permuted(units: DataFrame, n_boot: int, seed: int = BOOT_SEED, digits: int = 3) -> DataFrame:
+def permuted(units: DataFrame, n_boot: int, seed: int = BOOT_SEED, digits: int | None = None) -> DataFrame:
     """(b, idx, n, pos, cs) for b = 0..n_boot; b = 0 is the given order.
 
     A permutation orders the units by a digest of (seed, b, idx). Digest
     prefixes split every permutation into evenly filled blocks, so no task
     sorts a whole permutation.
     """
+    digits = digits or digest_digits(units.count())
     copies = units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot))))
     shuffled = hash_order(F.concat_ws("|", F.col("b").cast("string"), F.col("idx").cast("string")), seed)
     key = F.when(F.col("b") == 0, F.lpad(F.hex("idx"), 16, "0")).otherwise(shuffled)

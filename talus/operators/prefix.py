@@ -69,14 +69,23 @@ def dense_index_by_id(df: DataFrame, key: str, name: str = "idx", width: int = B
     return ranked.withColumn(name, F.col(name) - 1)
 
 
+def digest_digits(rows: int) -> int:
+    """Hexadecimal digits whose prefixes cut ``rows`` digests into blocks of at most about BLOCK_ROWS."""
+    digits = 1
+    while rows > BLOCK_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def dense_index_by_hash(
-    df: DataFrame, key: str, seed: int, name: str = "row_index", digits: int = 3
+    df: DataFrame, key: str, seed: int, name: str = "row_index", digits: int | None = None
 ) -> DataFrame:
     """0-based dense index of a reproducible random permutation.
 
     Rows are ordered by a salted digest of a unique key; blocks are digest
     prefixes and therefore evenly filled whatever the keys look like.
     """
+    digits = digits or digest_digits(df.count())
     ordered = df.withColumn("_h", hash_order(F.col(key), seed))
     ranked = block_scan(
         ordered, F.substring("_h", 1, digits), [F.col("_h")], {name: F.lit(1).cast("long")}
