@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and
 returns a DataFrame; all but the last keep the columns of documents. Empty
-tables pass through. No stage after the first depends on SQL-expressible rules
-alone, so there is no SQL for the result; tests hold it against a plain version.
+tables pass through, null text counts as empty, columns beyond those of
+documents stay. The stages learn rules, hash and tokenize, which SQL can't
+express, so ORACLE_SQL is None; tests hold each stage against a plain version.
 """
 
 from __future__ import annotations
