@@ -54,7 +54,7 @@ def runs_for(threshold: float = THRESHOLD, recall: float = RECALL, levels: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels))
 
 
-def _embedded(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _embedded(batch: pa.RecordBatch, tokens_of_set: int) -> pa.RecordBatch:
     shingles, first = shingle_hashes(split_words(batch.column("text")))
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
@@ -64,7 +64,7 @@ def _embedded(batch: pa.RecordBatch) -> pa.RecordBatch:
     unique, owner = shingles[order][new], doc[order][new]
     size = np.bincount(owner, minlength=len(n))
     start = np.concatenate([[0], np.cumsum(size)])
-    tokens = signature_of_sets(unique, start, TOKENS)
+    tokens = signature_of_sets(unique, start, tokens_of_set)
     # A set is named by two sums over its elements, which don't depend on their order.
     names = []
     for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
@@ -82,10 +82,10 @@ def _embedded(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def embedded(texts: DataFrame) -> DataFrame:
+def embedded(texts: DataFrame, size: int = TOKENS) -> DataFrame:
     """(doc_id, k1, k2, s1, s2, tokens): the set name and the MinHash tokens of every row."""
     schema = "doc_id long, k1 long, k2 long, s1 long, s2 long, tokens binary"
-    return texts.mapInArrow(by_slices(_embedded, "text", CACHE_BYTES), schema)
+    return texts.mapInArrow(by_slices(lambda batch: _embedded(batch, size), "text", CACHE_BYTES), schema)
 
 
 def _positions(run: int) -> list[int]:
@@ -193,11 +193,9 @@ def _shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def links_in_task(sets: np.ndarray, copies: np.ndarray, block: np.ndarray, items: list[bytes], pair: tuple[int, int], threshold: float):
-    """Exact links between two blocks (or inside one): (set, linked copies, first set of its component)."""
-    kept = np.unique(sets, return_index=True)[1]  # rows with equal id and text come more than once
-    sets, copies, block, items = sets[kept], copies[kept], block[kept], [items[i] for i in kept]
-    n = len(sets)
+def common_shingles(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersection and of the union of every two shingle sets."""
+    n = len(items)
     flat = np.frombuffer(b"".join(items), np.uint64)
     size = np.array([len(i) // 8 for i in items], np.int64)
     owner = np.repeat(np.arange(n), size)
@@ -218,10 +216,22 @@ def links_in_task(sets: np.ndarray, copies: np.ndarray, block: np.ndarray, items
         dense = np.zeros((n, width), np.float32)
         dense[owner[part], column[part] - low] = 1
         common += (dense @ dense.T).astype(np.int32)
-    union = size[:, None] + size[None, :] - common
-    like = common >= threshold * union - 1e-9
+    return common, size[:, None] + size[None, :] - common
+
+
+def in_pair(block: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
+    """Which two members belong to the two blocks of a meeting."""
     first, second = pair
-    like &= ((block[:, None] == first) & (block[None, :] == second)) | ((block[:, None] == second) & (block[None, :] == first))
+    return ((block[:, None] == first) & (block[None, :] == second)) | ((block[:, None] == second) & (block[None, :] == first))
+
+
+def links_in_task(sets: np.ndarray, copies: np.ndarray, block: np.ndarray, items: list[bytes], pair: tuple[int, int], threshold: float):
+    """Exact links between two blocks (or inside one): (set, linked copies, first set of its component)."""
+    kept = np.unique(sets, return_index=True)[1]  # rows with equal id and text come more than once
+    sets, copies, block, items = sets[kept], copies[kept], block[kept], [items[i] for i in kept]
+    n = len(sets)
+    common, union = common_shingles(items)
+    like = (common >= threshold * union - 1e-9) & in_pair(block, pair)
     np.fill_diagonal(like, False)
     links = like @ copies
     found = np.flatnonzero(links)
@@ -235,32 +245,36 @@ def links_in_task(sets: np.ndarray, copies: np.ndarray, block: np.ndarray, items
     return sets[found], links[found], sets[root[found]]
 
 
-def _exact(threshold: float):
+def by_meeting(solve):
+    """Hand the rows of each meeting, which arrive together, to ``solve`` as one table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            get = lambda c: t.column(c).to_numpy()
-            pair = (t.column("low")[0].as_py(), t.column("high")[0].as_py())
-            a, n, b = links_in_task(get("set"), get("copies"), get("block"), t.column("items").to_pylist(), pair, threshold)
-            return pa.RecordBatch.from_pydict({"set": pa.array(a, pa.int64()), "links": pa.array(n, pa.int64()), "near": pa.array(b, pa.int64())})
-
         for batch in batches:
             for part in slices(batch, "items", 8 << 20):
                 names = part.column("meeting").to_numpy()
                 cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), part.num_rows]
                 for a, b in zip(cuts, cuts[1:]):
                     if held and held[-1].column("meeting")[-1].as_py() != names[a]:
-                        yield flush()
+                        yield solve(pa.Table.from_batches(held).combine_chunks())
                         held = []
                     held.append(part.slice(a, b - a))
         if held:
-            yield flush()
+            yield solve(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _exact(threshold: float):
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        get = lambda c: t.column(c).to_numpy()
+        pair = (t.column("low")[0].as_py(), t.column("high")[0].as_py())
+        a, n, b = links_in_task(get("set"), get("copies"), get("block"), t.column("items").to_pylist(), pair, threshold)
+        return pa.RecordBatch.from_pydict({"set": pa.array(a, pa.int64()), "links": pa.array(n, pa.int64()), "near": pa.array(b, pa.int64())})
+
+    return by_meeting(solve)
+
+
 def exact_links(texts: DataFrame, threshold: float) -> DataFrame:
     """(set, links, near) over candidate groups: texts has (set, copies, root, size, text).
 
@@ -287,6 +301,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
 
 
+def classes_of(rows: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Class and link count of every row, from exact links (set, links, near) of sets."""
+    roots = components(found.select(F.col("set").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "set")
+    totals = found.groupBy("set").agg(F.sum("links").alias("links"))
+    placed = sets.drop("tokens").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    first = placed.groupBy("root").agg(F.min("head").alias("first"))
+    classes = placed.join(first, "root").join(totals, "set", "left").select(
+        F.col("set").alias("s1"), "s2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
+    own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    class_id = F.nullif(F.col("first.k1"), F.lit(NO_ID))
+    return rows.select("doc_id", "k1", "k2", "s1", "s2").join(classes, ["s1", "s2"]).select(
+        "doc_id", class_id.alias("class_id"), "n_links", "k2", own.alias("stays")
+    )
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, k2, stays) for every row of ``docs``.
 
@@ -306,15 +336,4 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     members = members.select("set", "copies", "root", "size", "head.k1", "head.k2")
     chosen = texts.drop("doc_id").join(members, ["k1", "k2"]).select("set", "copies", "root", "size", "text")
     found = cut_lineage(exact_links(chosen, threshold))
-    roots = components(found.select(F.col("set").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "set")
-    totals = found.groupBy("set").agg(F.sum("links").alias("links"))
-    placed = sets.drop("tokens").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    first = placed.groupBy("root").agg(F.min("head").alias("first"))
-    classes = placed.join(first, "root").join(totals, "set", "left").select(
-        F.col("set").alias("s1"), "s2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
-    class_id = F.nullif(F.col("first.k1"), F.lit(NO_ID))
-    return rows.select("doc_id", "k1", "k2", "s1", "s2").join(classes, ["s1", "s2"]).select(
-        "doc_id", class_id.alias("class_id"), "n_links", "k2", own.alias("stays")
-    )
+    return classes_of(rows, sets, found)

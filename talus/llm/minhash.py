@@ -151,46 +151,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     return with_successor_blocks(docs).mapInArrow(_compared, SCHEMA)
 
 
-def _banded(size: int, bands: int):
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shingles, first = shingle_hashes(split_words(batch.column("text")))
-        own = signature_of_sets(shingles, first, size)
-        keys = np.ascontiguousarray(own).view(f"V{4 * size // bands}")
-        doc = np.repeat(np.arange(len(own)), bands)
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_pydict(
-            {
-                "doc_id": pa.array(ids[doc], pa.int64()),
-                "band": pa.array(np.tile(np.arange(bands, dtype=np.int32), len(own))),
-                "key": pa.array([k.tobytes() for k in keys.reshape(-1)], pa.binary()),
-            }
-        )
-
-    return one
-
-
-def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    shingles, first = shingle_hashes(split_words(batch.column("text")))
-    rows = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(first, first[1:])]
-    return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "items": pa.array(rows, pa.list_(pa.int64()))})
-
-
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS) -> DataFrame:
-    """(doc_id, like_id, jaccard): links of ``threshold`` or more found by bands.
+    """(doc_id, k2, like_id, like_k2, jaccard): see ``banded.near_duplicates``."""
+    from talus.llm import banded
 
-    In every band bucket each document is linked to the smallest id, never to
-    all others, so the links grow with the rows; each is verified on the whole
-    shingle sets. Rows without an id can't be linked and are left out. Empty
-    texts link to each other with Jaccard 1.
-    """
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
-    banded = known.mapInArrow(by_slices(_banded(PERMUTATIONS, bands), "text", CACHE_BYTES), "doc_id long, band int, key binary")
-    heads = banded.groupBy("band", "key").agg(F.min("doc_id").alias("like_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = banded.join(heads, ["band", "key"]).where("doc_id > like_id").select("doc_id", "like_id").distinct()
-    sets = known.mapInArrow(by_slices(_sets), "doc_id long, items array<long>")
-    other = sets.select(F.col("doc_id").alias("like_id"), F.col("items").alias("others"))
-    common = F.size(F.array_intersect("items", "others"))
-    union = F.size("items") + F.size("others") - common
-    jaccard = F.when(union == 0, F.lit(1.0)).otherwise(common / union)
-    verified = links.join(sets, "doc_id").join(other, "like_id").select("doc_id", "like_id", jaccard.alias("jaccard"))
-    return verified.where(F.col("jaccard") >= threshold)
+    return banded.near_duplicates(docs, threshold, bands)

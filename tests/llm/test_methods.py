@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talus.llm import brown, chosen_path, components, frequent, language, minhash, mixing, packing, pii, quality_net, rules, suffix, text
+from talus.llm import banded, brown, chosen_path, components, frequent, language, minhash, mixing, packing, pii, quality_net, rules, suffix, text
 from talus.llm.tokenizer_files import tokenizer_path
 
 from tests.llm.conftest import SMALL
@@ -91,6 +91,44 @@ def test_banded_links_are_verified(docs, texts):
             assert any((other, i) in found for i in ids[:1])
 
 
+def brute_classes(rows):
+    """{(id, text): (class id, links)} of rows (id, text) by all pairs; missing ids come last."""
+    sets, root, links = [shingles(t) for _, t in rows], list(range(len(rows))), [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= 0.8:
+                links[a] += 1
+                links[b] += 1
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    first = lambda r: min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if root[i] == r)
+    return {row: (None if first(root[i])[0] else first(root[i])[1], links[i]) for i, row in enumerate(rows)}
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_banded_pairs_whose_common_head_is_unlike(spark, monkeypatch, block):
+    monkeypatch.setattr(banded, "BLOCK", block)
+    rng = np.random.default_rng(5)
+
+    def changed(at, name):
+        return " ".join(f"{name}{i}" if i in at else f"w{i}" for i in range(300))
+
+    templates = [(i, changed(set((rng.permutation(42)[:14] * 7 + 5).tolist()), f"t{i}_")) for i in range(60)]
+    pairs = [(1000, changed(set(), "")), (1001, changed({30, 90, 150, 210, 270}, "b"))]
+    lone = " ".join(f"z{i}" for i in range(90))
+    ids = [(2000, lone), (2000, " ".join(f"y{i}" for i in range(60))), (2001, " ".join(f"y{i}" for i in range(62))), (None, lone + " more"), (None, "quite alone")]
+    rows = [*templates, *pairs, *ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["k2"]: r for r in banded.near_duplicate_classes(docs).collect()}
+    keys = {r["text"]: r["k2"] for r in chosen_path.keyed(docs).collect()}
+    for (doc_id, value), expected in brute_classes(rows).items():
+        row = got[keys[value]]
+        assert (row["doc_id"], row["class_id"], row["n_links"]) == (doc_id, *expected)
+    found = {(r["doc_id"], r["like_id"]): r["jaccard"] for r in minhash.near_duplicates(docs).collect()}
+    assert set(found) == {(1001, 1000), (2001, 2000), (None, 2000)}
+    assert found[1001, 1000] == pytest.approx(jaccard(shingles(pairs[0][1]), shingles(pairs[1][1])))
+
+
 # Language model
 
 
