@@ -401,6 +401,30 @@ def test_unseen_words_go_by_their_letters(spark):
     assert np.allclose(chance[2:], 0.5)
 
 
+def test_languages_do_not_depend_on_the_table_sizes(spark, docs, monkeypatch):
+    hot = [(10_000 + i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}{chr(97 + k * i % 26)}" for k in range(26)), "big") for i in range(60)]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(hot, "doc_id long, text string, lang string"))
+    whole = {r["doc_id"]: r for r in language.identify(rows).collect()}
+    monkeypatch.setattr(language, "WORDS", 64)
+    monkeypatch.setattr(language, "GRAMS", 64)
+    for r in language.identify(rows).collect():
+        other = whole.pop(r["doc_id"])
+        assert r["lang_pred"] == other["lang_pred"] and r["score"] == pytest.approx(other["score"], abs=1e-6)
+    assert not whole
+
+
+def test_joined_weights_equal_the_tables(spark, monkeypatch):
+    rows = [(i, "aba abba baba" if i % 2 else "xyx yxxy xyxy", "ab" if i % 2 else "xy") for i in range(20)]
+    rows += [(100 + i, t, None) for i, t in enumerate(["bababbab aba", "yxyyxyx qqq", "a y bbbb xxxx", "qqq"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 <> 2").select("text", "lang"))
+    expected = language.posteriors(model, pa.array([t for _, t, _ in rows])).max(axis=1)
+    monkeypatch.setattr(language, "WORDS", 1)
+    monkeypatch.setattr(language, "GRAMS", 2)
+    got = {r["doc_id"]: r["score"] for r in language.identify(docs).collect()}
+    assert [got[i] for i, _, _ in rows] == pytest.approx(expected.tolist(), abs=1e-6)
+
+
 def test_most_frequent_keeps_whole_bands(spark):
     counts = spark.createDataFrame([(i, 1000 - i) for i in range(100)] + [(100 + i, 3) for i in range(50)], "k long, n long")
     kept = {r["k"] for r in frequent.most_frequent(counts, "n", 120).collect()}
