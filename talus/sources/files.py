@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,12 +68,18 @@ def lookup_gaps(spark: SparkSession, path: str, n_ids: int) -> DataFrame:
 
 
 def _headers(spark: SparkSession, paths: list[str], names: set[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header, from one scan: a header line starts with the name of a declared column."""
-    first = F.split_part("value", F.lit(","), F.lit(1))
-    lines = spark.read.text(paths).where(first.isin(sorted(names))).select("value", F.col("_metadata.file_path").alias("path"))
+    """Files by header, the first line that isn't blank of each file; raises where it names no declared column."""
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), place.alias("place")).where("trim(value) <> ''")
     found: dict[tuple[str, ...], list[str]] = {}
-    for row in lines.distinct().orderBy("path").collect():  # one row per file
-        found.setdefault(tuple(row["value"].split(",")), []).append(row["path"])
+    for row in lines.groupBy("path").agg(F.min_by("value", "place").alias("line")).orderBy("path").collect():  # one row per file
+        cells = next(csv.reader([row["line"].removeprefix("\ufeff")]))
+        header = tuple(c.strip() or f"_c{i}" for i, c in enumerate(cells))
+        if not names & set(header):
+            raise ValueError(f"{row['path']}: no usable header, its first line names no declared column")
+        if len({c.lower() for c in header}) < len(header):
+            raise ValueError(f"{row['path']}: repeated columns in the header")
+        found.setdefault(header, []).append(row["path"])
     return found
 
 
@@ -80,8 +87,9 @@ def read_telemetry(spark: SparkSession, paths: list[str], required: str | None =
     """Union of telemetry CSVs whose columns differ, with the file name.
 
     Files with equal headers are read together, with their own columns (as
-    text) cast to the declared type where there is one; files without
-    ``required``, and empty files, are skipped.
+    text) cast to the declared type where there is one. Files without
+    ``required``, and empty files, are skipped; any other file whose header
+    names no declared column raises.
     """
     known = {f.name: f.dataType for text in (schemas.RUNS, schemas.THREADS) for f in T.StructType.fromDDL(text).fields}
     frames = []

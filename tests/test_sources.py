@@ -83,6 +83,22 @@ def write_runs(path, rows, drop=()):
     path.write_text("\n".join(lines) + "\n")
 
 
+def test_telemetry_headers_of_any_form(spark, tmp_path):
+    (tmp_path / "own.csv").write_text("run_id,n_threads\n1-a,4\n")
+    (tmp_path / "extra.csv").write_text("host,run_id,n_threads\nc1,2-a,8\nrun_id,3-a,8\n")
+    (tmp_path / "quoted.csv").write_text('"run_id","n_threads"\n"4-a","2"\n')
+    (tmp_path / "index.csv").write_text("\n,run_id,n_threads\n0,5-a,16\n")
+    (tmp_path / "empty.csv").write_text("")
+    names = ["own", "extra", "quoted", "index", "empty"]
+    rows = files.read_telemetry(spark, [f"{tmp_path}/{n}.csv" for n in names]).select("run_id", "n_threads", "host").collect()
+    assert sorted((r["run_id"], r["n_threads"], r["host"]) for r in rows) == [
+        ("1-a", 4, None), ("2-a", 8, "c1"), ("3-a", 8, "run_id"), ("4-a", 2, None), ("5-a", 16, None)
+    ]
+    (tmp_path / "bare.csv").write_text("6-a,4\n7-a,4\n")
+    with pytest.raises(ValueError, match="bare.csv"):
+        files.read_telemetry(spark, [f"{tmp_path}/own.csv", f"{tmp_path}/bare.csv"])
+
+
 def test_telemetry_union_and_load(spark, tmp_path):
     write_runs(tmp_path / "a.csv", [run_row(), run_row(repetition=0, warmup=1)])
     write_runs(tmp_path / "b.csv", [run_row(run_id="2-0-9-000001")], drop=("l3_tcm", "work_imbalance"))
