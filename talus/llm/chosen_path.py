@@ -6,15 +6,16 @@ sets are one class member and are joined as one. Every set is embedded as
 ``TOKENS`` MinHash tokens, of which two sets share a part near their Jaccard
 similarity.
 
-A run splits all sets on one sampled token position: sets with the same token
+A run splits all sets on one token position of its own: sets with the same token
 there fall into one bucket. Buckets of at most ``BUCKET`` sets are compared by
-brute force; larger ones are split again on the next sampled position, until
+brute force; larger ones are split again on the run's next position, until
 ``DEPTH``, where what is left, sets alike in DEPTH tokens, is cut into blocks
 that all meet one another. A pair of similarity s meets in a run with chance
-s^levels, so ``runs_for`` repeats runs until the target recall is reached for
-pairs at the threshold.
+s^levels; no token serves two runs, so runs are independent, and ``runs_for``
+repeats them until the target recall is reached for pairs at the threshold.
 
-Comparing tokens gives candidates (a likeness of SLACK below the threshold);
+Comparing tokens gives candidates; the share of equal tokens asked for is so
+low that ``plan`` keeps the target recall with those it rejects counted in;
 a bucket reports, for each set, only its link to the first set of its candidate
 group there. Candidate groups are then compared exactly, block against block,
 on whole shingle sets: each task counts the links of its sets and reports one
@@ -45,7 +46,6 @@ TOKENS = 64
 RECALL = 0.9995
 BUCKET = 256
 DEPTH = 3
-SLACK = 0.16
 BLOCK = 512
 
 
@@ -54,6 +54,22 @@ def runs_for(threshold: float = THRESHOLD, recall: float = RECALL, levels: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels))
 
 
+def plan(threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int]:
+    """(runs, tokens, equal tokens of a candidate) that find a pair at the threshold with chance ``recall``.
+
+    A pair is missed if it meets in no run or has too few equal tokens, which
+    are binomial; at most 1 - recall is dealt to the two.
+    """
+    runs, miss = runs_for(threshold, recall), 1 - recall
+    while miss - (1 - threshold**DEPTH) ** runs < miss / 10:
+        runs += 1
+    tokens, room = max(TOKENS, runs * DEPTH), miss - (1 - threshold**DEPTH) ** runs
+    least = 0
+    while (room := room - math.comb(tokens, least) * threshold**least * (1 - threshold) ** (tokens - least)) >= 0:
+        least += 1
+    return runs, tokens, least
+
+
 def _embedded(batch: pa.RecordBatch, tokens_of_set: int) -> pa.RecordBatch:
     shingles, first = shingle_hashes(split_words(batch.column("text")))
     n = np.diff(first)
@@ -89,7 +105,8 @@ def embedded(texts: DataFrame, size: int = TOKENS) -> DataFrame:
 
 
 def _positions(run: int) -> list[int]:
-    return np.random.default_rng([run, 4]).permutation(TOKENS)[:DEPTH].tolist()
+    """Token positions of a run; no two runs share one."""
+    return list(range(run * DEPTH, (run + 1) * DEPTH))
 
 
 def _path_key(run: int, depth: int):
@@ -130,7 +147,7 @@ def _likeness_groups(tokens: np.ndarray, least: int) -> np.ndarray:
     return root
 
 
-def _compare(least: int):
+def _compare(least: int, size: int):
     """Brute force inside buckets; rows arrive sorted by bucket, blocks hold at most BLOCK + BLOCK sets."""
 
     def solve(sets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +163,7 @@ def _compare(least: int):
         def flush() -> pa.RecordBatch:
             sets = np.concatenate([b.column("set").to_numpy() for b in held])
             raw = b"".join(t for b in held for t in b.column("tokens").to_pylist())
-            a, b = solve(sets, np.frombuffer(raw, np.uint32).reshape(len(sets), TOKENS))
+            a, b = solve(sets, np.frombuffer(raw, np.uint32).reshape(len(sets), size))
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
@@ -165,7 +182,7 @@ def _compare(least: int):
     return run
 
 
-def candidate_links(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
+def candidate_links(sets: DataFrame, runs: int, size: int, least: int) -> DataFrame:
     """Links (a, b) of sets that may be similar: each to the first of its group in a bucket."""
     members = buckets(sets, runs)
     # What the last split leaves large is cut into blocks by set; every two blocks meet in a task.
@@ -178,8 +195,7 @@ def candidate_links(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
     )
     dealt = members.select("set", F.explode(F.when(parts > 1, meetings).otherwise(F.array("bucket"))).alias("bucket"))
     rows = dealt.join(sets.select("set", "tokens"), "set").repartition("bucket").sortWithinPartitions("bucket")
-    least = math.ceil((threshold - SLACK) * TOKENS)
-    return rows.mapInArrow(_compare(least), "a long, b long").distinct()
+    return rows.mapInArrow(_compare(least, size), "a long, b long").distinct()
 
 
 EXACT = "set long, links long, near long"
@@ -326,13 +342,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     document that names the class (also its repetitions with equal id and text).
     """
     texts = keyed(docs)
-    rows = cut_lineage(embedded(texts))
+    runs, size, least = plan(threshold, recall)
+    rows = cut_lineage(embedded(texts, size))
     head = F.min(F.struct("k1", "k2")).alias("head")
     named = rows.groupBy("s1", "s2").agg(head, F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens"))
     sets = cut_lineage(named.select(F.col("s1").alias("set"), "s2", "head", "copies", "tokens"))
-    loose = components(candidate_links(sets, runs_for(threshold, recall), threshold))
-    size = loose.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = loose.join(size, "root").withColumnRenamed("node", "set").join(sets.select("set", "copies", "head"), "set")
+    loose = components(candidate_links(sets, runs, size, least))
+    members_of = loose.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    members = loose.join(members_of, "root").withColumnRenamed("node", "set").join(sets.select("set", "copies", "head"), "set")
     members = members.select("set", "copies", "root", "size", "head.k1", "head.k2")
     chosen = texts.drop("doc_id").join(members, ["k1", "k2"]).select("set", "copies", "root", "size", "text")
     found = cut_lineage(exact_links(chosen, threshold))

@@ -241,6 +241,24 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8**3) ** runs >= 0.99 > 1 - (1 - 0.8**3) ** (runs - 1)
 
 
+def test_planted_pairs_at_the_threshold_are_found():
+    """Pairs at 0.80 and 0.82, in buckets that split to the last level: misses stay within the stated recall."""
+    runs, size, least = chosen_path.plan()
+    used = [p for r in range(runs) for p in chosen_path._positions(r)]
+    assert len(set(used)) == len(used) and max(used) < size
+    for common, own in ((160, 20), (164, 18)):
+        rng, n = np.random.default_rng(common), 10_000
+        shared = rng.integers(0, 1 << 63, (n, common), dtype=np.uint64)
+        tokens = []
+        for _ in range(2):
+            flat = np.concatenate([shared, rng.integers(0, 1 << 63, (n, own), dtype=np.uint64)], axis=1)
+            tokens.append(minhash.signature_of_sets(text.mix64(flat.ravel()), np.arange(n + 1) * (common + own), size))
+        equal = tokens[0] == tokens[1]
+        met = np.any([equal[:, chosen_path._positions(r)].all(axis=1) for r in range(runs)], axis=0)
+        missed = n - (met & (equal.sum(axis=1) >= least)).sum()
+        assert missed <= 2 * (1 - chosen_path.RECALL) * n
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
