@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talus.llm.text import by_slices, shingle_hashes, slices, split_words
 
@@ -65,14 +66,18 @@ def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def add_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """All rows and columns of ``docs`` with a fingerprint column."""
+    """All rows and columns of ``docs`` with a fingerprint column, which replaces one of that name."""
+    docs = docs.drop(name)
+    names = docs.columns
+    places = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index(text)}"
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = pa.array(printed(signatures(batch.column(text))), pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+        return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "added"])
 
-    schema = docs.schema.add(name, "string")
-    return docs.mapInArrow(by_slices(one, text, CACHE_BYTES), schema)
+    schema = T.StructType([*places.schema.fields, T.StructField("added", T.StringType())])
+    return places.mapInArrow(by_slices(one, text, CACHE_BYTES), schema).toDF(*names, name)
 
 
 def with_successor_blocks(docs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talus.session import cut_lineage
 
@@ -175,15 +176,17 @@ def shards_for(words: int) -> int:
     return min(max(SHARDS, words // SHARD_WORDS), BLOCKS // 4)
 
 
-def draws(docs: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
+def draws(docs: DataFrame, shards: int | None = None, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, draws) of the mix of (doc_id, text, source).
 
     Documents: (row, doc_id, k2, size, source_size, target). Draws: (row, copy,
     words, shard), one for each time that words of a document are taken. Both
-    come from one written table of sizes, ``k2`` is the hash of the text.
+    come from one written table of sizes. ``k2`` is the column ``key``, or else
+    the hash of the text.
     """
-    sizes = sized(docs.select("doc_id", "source", "text")).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"), "source", "size"
+    name = F.xxhash64(F.coalesce("text", F.lit(""))) if key is None else F.col(key)
+    sizes = sized(docs.select("doc_id", "source", "text", name.alias("k2"))).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "k2", "source", "size"
     )
     sizes = cut_lineage(sizes)
     goals = targets(sizes)
@@ -210,37 +213,51 @@ def draws(docs: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFr
     numbered = cut_lineage(blocks.withColumn("n", F.row_number().over(permuted) - 1))
     quotas = numbered.groupBy("place").agg(F.count(F.lit(1)).alias("blocks"))
     tree = split_quotas(quotas, shards or shards_for(words * SHARE_PERCENT // 100)).where("blocks > 0")
-    homes = numbered.join(tree, "place").where("n >= from_block AND n < from_block + blocks").select("place", "copy", "block", "shard")
+    # One row for each block's place in the permuted order, so that blocks meet their shard by an equal key.
+    places = F.explode(F.sequence(F.col("from_block"), F.col("from_block") + F.col("blocks") - 1)).alias("n")
+    homes = numbered.join(tree.select("place", places, "shard"), ["place", "n"]).select("place", "copy", "block", "shard")
     placed = drawn.join(homes, ["place", "copy", "block"]).select("row", "copy", "words", "shard")
     return ran.select("row", "doc_id", "k2", "size", "source_size", "target"), placed
 
 
-def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, key: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, draws, k2) of every row; draws lists (copy, words, shard)."""
-    rows, drawn = draws(docs, shards)
+    rows, drawn = draws(docs, shards, key)
     per_row = drawn.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("copy", "words", "shard"))).alias("draws"))
     return rows.join(per_row, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "draws", "k2"
     )
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row; a map counts as its sorted entries."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    columns = [F.col(f"`{n}`") for n in docs.columns]
+    return F.xxhash64(*[F.array_sort(F.map_entries(c)) if isinstance(kinds[n], T.MapType) else c for n, c in zip(docs.columns, columns)])
+
+
 def materialise(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mixed rows with all columns of ``docs``, by shard and in a hash order inside each.
 
     A document comes once for each draw; a partial draw keeps its first words,
-    joined by blanks, and n_chars, if present, is counted anew.
+    joined by blanks, and n_chars, if present, is counted anew. Rows that agree
+    in all columns are one row with the draws of all of them; rows with equal id
+    and text but another source or further column keep their own columns.
     """
     names = docs.columns
-    chosen = mix(docs, shards).where("taken > 0").select(
+    named = docs.select("doc_id", "text", "source", row_hash(docs).alias("_k2"))
+    chosen = mix(named, shards, "_k2").where("taken > 0").select(
         F.coalesce("doc_id", F.lit(1 << 62)).alias("_k1"), F.col("k2").alias("_k2"), "size", F.explode("draws").alias("_d")
     )
-    # Rows with equal id and text are one text with the draws of all of them.
     chosen = chosen.groupBy("_k1", "_k2").agg(F.max("size").alias("_size"), F.collect_list("_d").alias("_draws"))
-    keyed = docs.withColumns({"_k1": F.coalesce("doc_id", F.lit(1 << 62)), "_k2": F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = keyed.dropDuplicates(["_k1", "_k2"]).join(chosen, ["_k1", "_k2"]).select("*", F.explode("_draws").alias("_d"))
-    some = F.array_join(F.slice(F.array_remove(F.split("text", SPACE), ""), F.lit(1), F.col("_d.words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_d.words") < F.col("_size"), some).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.repartition("_d.shard").sortWithinPartitions("_d.shard", F.xxhash64(F.lit(SEED), "doc_id", "_d.copy"), "doc_id", "_d.copy")
-    return rows.select(*[F.col(f"`{n}`") for n in names])
+    # The given columns travel as one struct, so their names meet none of those used here.
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(1 << 62)).alias("_k1"), row_hash(docs).alias("_k2"))
+    rows = keyed.dropDuplicates(["_k1", "_k2"]).join(chosen, ["_k1", "_k2"]).select("_row", "_size", F.explode("_draws").alias("_d"))
+    own = {n: F.col("_row").getField(n) for n in names}
+    order = F.xxhash64(F.lit(SEED), own["doc_id"], "_d.copy")
+    rows = rows.repartition("_d.shard").sortWithinPartitions("_d.shard", order, own["doc_id"], "_d.copy")
+    some = F.array_join(F.slice(F.array_remove(F.split(own["text"], SPACE), ""), F.lit(1), F.col("_d.words").cast("int")), " ")
+    own["text"] = F.when(F.col("_d.words") < F.col("_size"), some).otherwise(own["text"])
+    if "n_chars" in own:
+        own["n_chars"] = F.length(own["text"]).cast("long")
+    return rows.select(*[own[n].alias(n) for n in names])

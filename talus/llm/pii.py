@@ -391,26 +391,29 @@ def mask(docs: DataFrame, rows: list[tuple[str, list[Span]]] | None = None) -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(labelled_rows() if rows is None else rows))
     names = docs.columns
+    # Columns go by their place while in Arrow, whatever their names hold.
+    places = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, n_chars = f"c{names.index('text')}", f"c{names.index('n_chars')}" if "n_chars" in names else None
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        given = batch.column("text").to_pylist()
+        given = batch.column(text).to_pylist()
         texts = [t or "" for t in given]
-        more = added_spans(shared.value, texts, batch.column("text"))
+        more = added_spans(shared.value, texts, batch.column(text))
         out = []
-        for raw, text, extra in zip(given, texts, more):
-            spans = all_spans(base_spans(text), extra) if _SIGNS.search(text) else []
+        for raw, value, extra in zip(given, texts, more):
+            spans = all_spans(base_spans(value), extra) if _SIGNS.search(value) else []
             pieces, at = [], 0
             for kind, low, high in sorted(spans, key=lambda s: (s[1], -s[2])):
                 if high <= at:
                     continue
                 if low >= at:
-                    pieces += [text[at:low], f"<{kind}>"]
+                    pieces += [value[at:low], f"<{kind}>"]
                 at = high
-            out.append(raw if not spans else "".join([*pieces, text[at:]]))
+            out.append(raw if not spans else "".join([*pieces, value[at:]]))
         columns = dict(zip(batch.schema.names, batch.columns))
-        columns["text"] = pa.array(out, pa.string())
-        if "n_chars" in columns:
-            columns["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
-        return pa.RecordBatch.from_pydict({n: columns[n] for n in names})
+        columns[text] = pa.array(out, pa.string())
+        if n_chars:
+            columns[n_chars] = pa.array([None if t is None else len(t) for t in out], pa.int64())
+        return pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(by_slices(one), docs.schema)
+    return places.mapInArrow(by_slices(one, text), places.schema).toDF(*names)

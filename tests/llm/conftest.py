@@ -26,7 +26,8 @@ def awkward(spark):
     """Nulls, empty and long texts, ties, repeated rows, and columns named like the operators' own."""
     docs = spark.createDataFrame(ROWS, SCHEMA)
     extra = ["n_words", "size", "block", "score", "key", "row", "k1", "k2", "word", "n", "taken", "target", "kept", "held_out", "root", "set"]
-    return docs.selectExpr("*", *[f"'x' AS {name}" for name in extra])
+    extra += ["_row", "_size", "_draws", "_d", "_k1", "_k2", "_hash", "_number", "_text", "_s", "fingerprint", "shard", "copy", "place", "a.b"]
+    return docs.selectExpr("*", *[f"'x' AS `{name}`" for name in extra])
 
 
 @pytest.fixture(scope="module")

@@ -93,3 +93,28 @@ def test_pipeline_stages_on_awkward_and_empty_tables(spark, tmp_path, awkward, n
             rows.write.parquet(out)
             rows = spark.read.parquet(out)
     assert rows.count() == 0
+
+
+def test_rows_with_equal_id_and_text_keep_their_columns(spark):
+    """One text under two sources: the mix draws each source's own row, the join keeps one row whole."""
+    text = "eight words are in this one small text"
+    rows = [(1, text, "en", "a", 5, "k"), (1, text, "de", "b", 6, "m"), (1, text, "de", "b", 6, "m"), (2, "other " * 40, "en", "c", 7, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _k1 string")
+    mixed = mixing.materialise(docs).collect()
+    taken = {}
+    for r in mixed:
+        taken.setdefault((r["source"], r["lang"], r["_k1"]), []).append(len(r["text"].split()))
+    want = {}
+    for r in mixing.mix(docs).collect():
+        if r["taken"]:
+            want[r["target"]] = want.get(r["target"], 0) + r["taken"]
+    assert set(taken) <= {("a", "en", "k"), ("b", "de", "m"), ("c", "en", "n")} and ("a", "en", "k") in taken
+    assert sorted(map(sum, taken.values())) == sorted(want.values())
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert len(kept) == 2 and {tuple(r) for r in kept} < set(rows)
+
+
+def test_fingerprint_column_is_replaced(awkward):
+    found = minhash.add_fingerprint(awkward)
+    assert sorted(found.columns) == sorted(awkward.columns)
+    assert {len(r["fingerprint"]) for r in found.select("fingerprint").collect()} == {4 * minhash.PERMUTATIONS}
