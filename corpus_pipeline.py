@@ -29,12 +29,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, that with the smallest id (operator 4)."""
+    """Keep one document of each group of near copies, that with the smallest id (operator 4).
+
+    Of several rows with that id and text the one with the smallest hash of all columns stays.
+    """
     heads = chosen_path.near_classes(docs).where("stays")
     heads = heads.select(F.coalesce("doc_id", F.lit(chosen_path.NO_ID)).alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    keys = {"_k1": F.coalesce("doc_id", F.lit(chosen_path.NO_ID)), "_k2": F.xxhash64(F.coalesce("text", F.lit("")))}
-    kept = docs.withColumns(keys).join(heads, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = [F.coalesce("doc_id", F.lit(chosen_path.NO_ID)).alias("_k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k2")]
+    # The given columns travel as one struct, so their names meet none of those used here.
+    rows = docs.select(F.struct("*").alias("_row"), mixing.row_hash(docs).alias("_hash"), *keys)
+    kept = rows.join(heads, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.min_by("_row", "_hash").alias("_row"))
+    return kept.select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
