@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.scalars import safe_ratio
-from talus.operators.partitioners import Workload, imbalance
+from talus.operators.partitioners import Pairs, Span, Workload, imbalance
 from talus.session import literal_rows
 
 # Measured effect sizes and defaults of the scaling study.
@@ -17,6 +19,8 @@ THREADS_PER_RANK = 8
 CORES_PER_NODE = 16
 TRANSFERRED_P_STAR = 56
 P_MAX = 8192
+CURVE_P_MAX = 4096
+FAR_FIELD = (8192, 16384, 32768)
 MEASURABLE_P, MEASURABLE_T = 96, 16
 
 REGIME_NAMES = {"I": "placement-limited", "II": "partition-limited", "III": "atomicity-limited"}
@@ -25,9 +29,27 @@ ADVICE = {
     "II": "Cut by records instead of by unit count; the gain grows with the number of partitions.",
     "III": "The largest unit exceeds an average partition; only splitting units helps from here on.",
 }
+ACTIONS = {
+    "I": (
+        "Pin workers so that neighbours in the numbering run on one socket",
+        "Take the map of cores to sockets from the machine instead of guessing it",
+        "Leave the cut rule as it is: placement moves more than any rule can at this p",
+    ),
+    "II": (
+        "Cut contiguously at equal shares of records or modelled work",
+        "Keep dealt (non-contiguous) rules out of two-stage cuts",
+        "Prefer rank counts that divide the number of units",
+        "Keep placement pinned: its cost is still there, only smaller than that of the cut",
+    ),
+    "III": (
+        "Expect imbalance to rise in proportion to p: an average part is smaller than the largest unit",
+        "Split large units over several workers and merge their partial results",
+        "Do not add workers beyond p_atom without splitting: whole units cannot fill them",
+    ),
+}
 
 
-def ceilings(load: Workload, pairs: list[tuple[int, int]]) -> DataFrame:
+def ceilings(load: Workload, pairs: Pairs) -> DataFrame:
     """Fractional gain of a record-balanced over an equal-count cut."""
     return imbalance(load, pairs).withColumn("ceiling", F.col("imb_block") / F.col("imb_balanced") - 1.0)
 
@@ -37,24 +59,22 @@ def search_grid(n_units: int, threads: int = THREADS_PER_RANK, p_max: int = P_MA
     return [(r, threads) for r in range(1, p_max // threads + 1) if r * threads <= n_units // 2]
 
 
-def first_crossing(curve: DataFrame, threshold: float = PLACEMENT_RUNG) -> DataFrame:
-    """Smallest p whose ceiling reaches the threshold (NULL when none does)."""
-    return curve.agg(F.min(F.when(F.col("ceiling") >= threshold, F.col("p"))).alias("p_star"))
+def first_crossing(curve: DataFrame, threshold: float = PLACEMENT_RUNG, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Smallest p whose ceiling reaches the threshold (NULL when none does), for each of ``keys``."""
+    return curve.groupBy(*keys).agg(F.min(F.when(F.col("ceiling") >= threshold, F.col("p"))).alias("p_star"))
 
 
-GRID_STEP = 64
+def p_stars(load: Workload, threads: int = THREADS_PER_RANK, p_max: int = P_MAX) -> DataFrame:
+    """(w, n_units, total, largest, p_star) of every workload, over the whole grid in one plan."""
+    schema = "n_units bigint, total bigint, largest bigint"
+    known = load.rows(lambda s: [(s.n_units, s.total, s.largest)], schema)
+    stars = first_crossing(ceilings(load, lambda s: search_grid(s.n_units, threads, p_max)), keys=load.keys)
+    return known.join(stars, list(load.keys), "left") if load.keys else known.crossJoin(stars)  # one row each
 
 
 def find_p_star(load: Workload, threads: int = THREADS_PER_RANK, p_max: int = P_MAX) -> int | None:
-    """p* by evaluating the grid in slices and stopping at the first hit."""
-    grid = search_grid(load.n_units, threads, p_max)
-    start, step = 0, GRID_STEP
-    while start < len(grid):
-        hit = first_crossing(ceilings(load, grid[start : start + step])).first()["p_star"]
-        if hit is not None:
-            return hit
-        start, step = start + step, step * 4
-    return None
+    """p* of a single workload as a number."""
+    return p_stars(load, threads, p_max).first()["p_star"]
 
 
 def regime(p: Column, p_star: Column, p_atom: Column) -> Column:
@@ -63,10 +83,11 @@ def regime(p: Column, p_star: Column, p_atom: Column) -> Column:
     )
 
 
-def _named(code: Column, names: dict[str, str]) -> Column:
+def _named(code: Column, names: dict) -> Column:
     expr = None
     for key, text in names.items():
-        expr = F.when(code == key, text) if expr is None else expr.when(code == key, text)
+        value = F.array(*[F.lit(t) for t in text]) if isinstance(text, tuple) else F.lit(text)
+        expr = F.when(code == key, value) if expr is None else expr.when(code == key, value)
     return expr
 
 
@@ -76,28 +97,33 @@ def split_cores(p: int, threads: int) -> tuple[int, int]:
 
 
 def advise(load: Workload, ps: list[int], threads: int = THREADS_PER_RANK, p_star: int | None = None) -> DataFrame:
-    """Regime, advice and bounded gain for each requested partition count.
+    """Regime, advice, actions and bounded gain for each requested partition count, and workload of a batch.
 
     ``threads`` is honoured for every p. Requests beyond half the units get no
-    ceiling. Pass ``p_star`` to reuse a search.
+    ceiling. Pass ``p_star`` to reuse a search. Everything is one plan: p* comes
+    from the whole grid as a relation.
     """
-    spark = load.spark
-    star = find_p_star(load, threads) if p_star is None else p_star
     asked = [(int(p), *split_cores(p, threads)) for p in ps]
-    pairs = sorted({(r, t) for _, r, t in asked if r * t <= load.n_units // 2})
-    requests = literal_rows(spark, asked, "p bigint, r bigint, t bigint")
-    if pairs:
-        gains = ceilings(load, pairs).select("r", "t", "ceiling")
-        joined = requests.join(gains, ["r", "t"], "left")
+    requests = load.rows(lambda s: asked, "p bigint, r bigint, t bigint")
+    fitting = lambda s: sorted({(r, t) for _, r, t in asked if r * t <= s.n_units // 2})
+    keys = list(load.keys)
+    gains = ceilings(load, fitting).select(*keys, "r", "t", "ceiling")
+    joined = requests.join(gains, [*keys, "r", "t"], "left")
+    if p_star is None:
+        known = p_stars(load, threads)
     else:
-        joined = requests.withColumn("ceiling", F.lit(None).cast("double"))
-    p_atom = safe_ratio(F.lit(load.total), F.lit(load.largest))
-    code = regime(F.col("p"), F.lit(star).cast("long"), p_atom)
+        known = load.rows(lambda s: [(s.n_units, s.total, s.largest, int(p_star))], "n_units bigint, total bigint, largest bigint, p_star bigint")
+    joined = joined.join(F.broadcast(known), keys) if keys else joined.crossJoin(F.broadcast(known))  # one row a workload
+    p_atom = safe_ratio(F.col("total"), F.col("largest"))
+    code = regime(F.col("p"), F.col("p_star"), p_atom)
     return joined.select(
+        *keys,
         "p",
+        "p_star",
         code.alias("regime"),
         _named(code, REGIME_NAMES).alias("regime_name"),
         _named(code, ADVICE).alias("advice"),
+        _named(code, ACTIONS).alias("actions"),
         "ceiling",
         (F.col("ceiling") / PLACEMENT_RUNG).alias("ceiling_vs_rung"),
         F.coalesce(F.col("ceiling") > NOISE_FLOOR, F.lit(False)).alias("resolvable"),
@@ -120,15 +146,21 @@ def summary_advice(spark, n_units: int, n_records: int, largest: int, ps: list[i
     )
 
 
-def factorisations(ps: list[int], max_threads: int = MEASURABLE_T) -> list[tuple[int, int]]:
+def factorisations(ps: Iterable[int], max_threads: int = MEASURABLE_T) -> list[tuple[int, int]]:
     """(ranks, threads) of every p with up to ``max_threads`` threads per rank."""
     return [(p // t, t) for p in ps for t in range(1, min(max_threads, p) + 1) if p % t == 0]
 
 
-def curve(load: Workload, pairs: list[tuple[int, int]]) -> DataFrame:
+def whole_curve(span: Span, p_max: int = CURVE_P_MAX, far: tuple[int, ...] = FAR_FIELD, max_threads: int = MEASURABLE_T) -> list[tuple[int, int]]:
+    """Every factorisation of p = 2..p_max and of the far field that a workload has units for."""
+    return [(r, t) for r, t in factorisations([*range(2, p_max + 1), *far], max_threads) if r <= span.n_units and t <= span.n_units]
+
+
+def curve(load: Workload, pairs: Pairs) -> DataFrame:
     """Imbalance, block loss and ceiling per (p, ranks, threads)."""
     measurable = (F.col("p") <= MEASURABLE_P) & (F.col("t") <= MEASURABLE_T)
     return imbalance(load, pairs).select(
+        *load.keys,
         "p",
         F.col("r").alias("n_ranks"),
         F.col("t").alias("n_threads"),

@@ -9,6 +9,8 @@ unit.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.operators.distribution import size_histogram
-from talus.operators.prefix import BLOCK_ROWS, cumulative_counts, dense_index, indexed_counts
+from talus.operators.prefix import BLOCK_ROWS, cumulative_counts, dense_index, indexed_counts, running_sums
 from talus.session import broadcast_if_bounded, cut_lineage, literal_rows
 
 
@@ -56,27 +58,97 @@ def block_cyclic_loads(units: DataFrame, ps: list[int], chunk: int) -> DataFrame
 
 
 # -------------------------------------------------------------- cut positions
+MAX_BLOCKS = 1 << 16
+
+
+@dataclass(frozen=True)
+class Span:
+    """Where one workload lies on the unit and record axes, and its largest unit."""
+
+    w: str
+    lo: int
+    n_units: int
+    base: int
+    total: int
+    largest: int
+
+
+def _statistics(cum: DataFrame) -> list[Column]:
+    zero = F.lit(0).cast("long")
+    sums = [(F.min("idx"), "lo"), (F.count(F.lit(1)), "n"), (F.min("cs_prev"), "base"), (F.sum("n"), "total"), (F.max("n"), "largest")]
+    return [F.coalesce(value, zero).alias(name) for value, name in sums]
+
+
 class Workload:
     """Prefix sums of one unit table with its totals as plain numbers.
 
     The prefix sums are read by every stage of a cut, so they are written once.
     """
 
+    keys: tuple[str, ...] = ()
+
     def __init__(self, units: DataFrame, key: str | None = None):
         """``units`` is (idx, n) with a dense idx, or (key, n) in key order."""
-        self.spark: SparkSession = units.sparkSession
-        self.cum = cut_lineage(indexed_counts(units, key) if key else cumulative_counts(units))
-        self.units = self.cum.select("idx", "n")
-        row = self.cum.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))
-        ).first()
-        self.n_units, self.total, self.largest = (row[0], row[1], row[2])
+        self._take(cut_lineage(indexed_counts(units, key) if key else cumulative_counts(units)))
+        row = self.cum.agg(*_statistics(self.cum)).first()
+        self.spans = [Span("", *row)]
+
+    def _take(self, cum: DataFrame) -> None:
+        self.spark: SparkSession = cum.sparkSession
+        self.cum = cum
+        self.units = cum.select("idx", "n")
+
+    @property
+    def n_units(self) -> int:
+        return sum(s.n_units for s in self.spans)
+
+    @property
+    def total(self) -> int:
+        return sum(s.total for s in self.spans)
+
+    @property
+    def largest(self) -> int:
+        return max((s.largest for s in self.spans), default=0)
+
+    def rows(self, values: Callable[[Span], list[tuple]], schema: str) -> DataFrame:
+        """Literal rows of every workload, led by its name where there are several."""
+        rows = [(s.w, *value) for s in self.spans for value in values(s)]
+        return literal_rows(self.spark, rows, f"w string, {schema}").select(*self.keys, *[c.split()[0] for c in schema.split(", ")])
 
     def boundary_sums(self, cuts: DataFrame, row_bound: int) -> DataFrame:
-        """Adds ``cs``, the records before boundary ``cut``, to ``cuts``."""
+        """Adds ``cs``, the records before boundary ``cut``, to ``cuts``.
+
+        Few cuts go to the units, few units to the cuts; otherwise both are
+        shuffled by the cut.
+        """
         start = literal_rows(self.spark, [(0, 0)], "cut bigint, cs bigint")
         sums = self.cum.select((F.col("idx") + 1).alias("cut"), "cs").unionByName(start)
-        return sums.join(broadcast_if_bounded(cuts, row_bound), "cut")
+        few = broadcast_if_bounded(cuts, row_bound)
+        return sums.join(few, "cut") if few is not cuts else cuts.join(broadcast_if_bounded(sums, self.n_units + 1), "cut")
+
+
+class Batch(Workload):
+    """Several named unit tables laid end to end: each is a segment of the common axes.
+
+    All cuts of all workloads come from one plan; results carry the name ``w``.
+    """
+
+    keys = ("w",)
+
+    def __init__(self, sizes: dict[str, tuple[DataFrame, str]]):
+        """``sizes`` maps a name to a (key, n) table and the name of its unique integer key."""
+        parts = [df.select(F.lit(w).alias("w"), F.col(key).cast("long").alias("key"), "n") for w, (df, key) in sizes.items()]
+        rows = reduce(DataFrame.unionByName, parts)
+        scanned = running_sums(rows, [F.col("w"), F.col("key")], {"pos": F.lit(1).cast("long"), "cs": F.col("n")})
+        self._take(cut_lineage(scanned.selectExpr("w", "pos - 1 AS idx", "n", "cs - n AS cs_prev", "cs")))
+        self.spans = [Span(*row) for row in self.cum.groupBy("w").agg(*_statistics(self.cum)).orderBy("w").collect()]  # one row a name
+
+
+Pairs = list[tuple[int, int]] | Callable[[Span], list[tuple[int, int]]]
+
+
+def pairs_of(pairs: Pairs, span: Span) -> list[tuple[int, int]]:
+    return [(int(r), int(t)) for r, t in (pairs(span) if callable(pairs) else pairs)]
 
 
 def part_loads(cuts: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
@@ -89,23 +161,25 @@ def part_loads(cuts: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
     )
 
 
-def _grid(spark: SparkSession, pairs: list[tuple[int, int]]) -> DataFrame:
-    return literal_rows(spark, [(int(r), int(t)) for r, t in pairs], "r bigint, t bigint")
+def _grid(load: Workload, pairs: Pairs) -> DataFrame:
+    """(r, t) of every workload with its place on the axes."""
+    schema = "r bigint, t bigint, lo bigint, n bigint, total bigint"
+    return load.rows(lambda s: [(r, t, s.lo, s.n_units, s.total) for r, t in pairs_of(pairs, s)], schema)
 
 
-def _row_bound(pairs: list[tuple[int, int]]) -> int:
-    return sum(r * t + r for r, t in pairs)
+def _row_bound(load: Workload, pairs: Pairs) -> int:
+    return sum(r * t + r for s in load.spans for r, t in pairs_of(pairs, s))
 
 
-def block_cuts_two_stage(load: Workload, pairs: list[tuple[int, int]]) -> DataFrame:
+def block_cuts_two_stage(load: Workload, pairs: Pairs) -> DataFrame:
     """Boundaries of the equal-count rule: ranks first, threads inside ranks."""
-    n = F.lit(load.n_units).cast("long")
-    parts = _grid(load.spark, pairs).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("r") * F.col("t"))))
-    rank, thread = F.floor(F.col("i") / F.col("t")), F.pmod(F.col("i"), F.col("t"))
-    low, high = F.floor(rank * n / F.col("r")), F.floor((rank + 1) * n / F.col("r"))
+    n = F.col("n")
+    parts = _grid(load, pairs).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") * F.col("t"))))
+    rank, thread = F.expr("i div t"), F.pmod(F.col("i"), F.col("t"))
+    low, high = F.expr("((i div t) * n) div r"), F.expr("((i div t + 1) * n) div r")
     inner = low + F.floor(thread * (high - low) / F.col("t"))
-    cut = F.when(F.col("i") == F.col("r") * F.col("t"), n).otherwise(inner)
-    return load.boundary_sums(parts.select("r", "t", "i", cut.cast("long").alias("cut")), _row_bound(pairs))
+    cut = F.col("lo") + F.when(rank == F.col("r"), n).otherwise(inner)
+    return load.boundary_sums(parts.select(*load.keys, "r", "t", "i", cut.cast("long").alias("cut")), _row_bound(load, pairs))
 
 
 def linspace_cuts(load: Workload, ps: list[int]) -> DataFrame:
@@ -116,40 +190,63 @@ def linspace_cuts(load: Workload, ps: list[int]) -> DataFrame:
     return load.boundary_sums(parts.select("p", "i", cut.cast("long").alias("cut")), sum(ps) + len(ps))
 
 
-def _targets(segments: DataFrame) -> DataFrame:
-    """Interior record targets: segment base plus i/k of the segment's records."""
-    inner = segments.filter("k > 1").withColumn(
-        "i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k") - 1))
-    )
-    share = (F.col("tot") * F.col("i")).cast("double") / F.col("k")
-    return inner.withColumn("target", F.col("base").cast("double") + share)
+def rounded_cuts(load: Workload, ps: list[int]) -> DataFrame:
+    """Boundaries int(n * j / p + 0.5): equal counts, each cut rounded to the nearest unit; keyed by p."""
+    parts = literal_rows(load.spark, [(int(p),) for p in ps], "p bigint").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p"))))
+    cut = F.floor(F.lit(load.n_units) * F.col("i") / F.col("p") + 0.5)
+    return load.boundary_sums(parts.select("p", "i", cut.cast("long").alias("cut")), sum(ps) + len(ps))
 
 
-def locate(load: Workload, targets: DataFrame, row_bound: int) -> DataFrame:
-    """For every target the unit whose interval (cs_prev, cs] holds it.
+def _count_below(bounds: str, value: str, size: int) -> Column:
+    """How many of at most ``size`` sorted numbers lie below a value, by binary search."""
+    steps = [1 << s for s in range(size.bit_length() - 1, -1, -1)]
+    if size <= 1:
+        return F.lit(0).cast("long")
+    probe = lambda at, step: F.get(F.col(bounds), (at + step - 1).cast("int"))
+    search = lambda at, step: F.when(probe(at, step) < F.col(value), at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s).cast("long") for s in steps]), F.lit(0).cast("long"), search)
 
-    Targets first find their block of BLOCK_ROWS units from the block totals:
-    blocks and targets meet on buckets of the record axis, as many as there are
-    blocks, so even one unit with most of the records enters no more rows than
-    that. Then only units of those blocks are compared with a target.
+
+def locate(load: Workload, targets: DataFrame, row_bound: int) -> DataFrame:
+    """For every target the unit whose interval (cs_prev, cs] holds it: a merge of sorted targets and prefix sums.
+
+    The record axis is cut into cells: blocks of at least BLOCK_ROWS units, at
+    most MAX_BLOCKS of them, cut again where many targets fall into one block. A
+    cell's units and targets are sorted together by falling value, and a target
+    takes the last unit before it; one with no unit above it in its cell takes
+    the first unit of the next cell of the block that has one. A target finds
+    its block in the sorted block ends, one row of at most MAX_BLOCKS numbers.
+    Only units of blocks with a target move. No target meets any other unit, so
+    one unit with most of the records, or millions of targets, cost one sort.
     """
-    block = F.floor(F.col("idx") / BLOCK_ROWS).alias("_block")
-    totals = load.cum.groupBy(block).agg(F.min("cs_prev").alias("_low"), F.max("cs").alias("_high")).filter("_high > _low")
-    width = max(1, -(-load.total // (load.n_units // BLOCK_ROWS + 1)))
-    reach = F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))
-    asked = targets.withColumn("_bucket", F.floor(F.col("target") / width))
-    in_block = (
-        totals.withColumn("_bucket", F.explode(reach))
-        .join(broadcast_if_bounded(asked, row_bound), "_bucket")
-        .filter("_low < target AND target <= _high")
-        .drop("_bucket", "_low", "_high")
-    )
+    width = max(BLOCK_ROWS, -(-load.n_units // MAX_BLOCKS))
+    blocks = max(1, -(-load.n_units // width))
+    block = F.floor(F.col("idx") / width).alias("_block")
     units = load.cum.filter("n > 0").select(block, F.col("idx").alias("unit"), "cs_prev", "cs")
-    return (
-        units.join(broadcast_if_bounded(in_block, row_bound), "_block")
-        .filter("cs_prev < target AND target <= cs")
-        .drop("_block")
-    )
+    if blocks == 1:
+        asked = targets.withColumn("_block", F.lit(0).cast("long"))
+    else:
+        ends = load.cum.groupBy(block).agg(F.max("cs").alias("_end")).agg(F.sort_array(F.collect_list("_end")).alias("_ends"))  # one row
+        asked = targets.crossJoin(F.broadcast(ends)).withColumn("_block", _count_below("_ends", "target", blocks)).drop("_ends")
+        units = units.join(broadcast_if_bounded(asked.select("_block").distinct(), blocks), "_block", "left_semi")
+    hit = ("unit", "cs_prev", "cs")
+    units = units.select(F.col("cs").cast("double").alias("target"), *hit, "_block")
+    both = units.unionByName(asked, allowMissingColumns=True)
+    parts = row_bound // BLOCK_ROWS + 1
+    cell = ["_block"]
+    if parts > 1:
+        cell = ["_block", "_cell"]
+        both = both.withColumn("_cell", F.floor(F.col("target") / max(1, -(-load.total // parts))))
+    down = Window.partitionBy(*cell).orderBy(F.desc("target"), F.col("cs").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.select("*", *[F.last(c, ignorenulls=True).over(down).alias(f"_{c}") for c in hit]).filter("cs IS NULL")
+    own = [F.col(c) for c in targets.columns]
+    if parts == 1:  # a block ends in a unit, so every target has met one
+        return met.select(*own, *[F.col(f"_{c}").alias(c) for c in hit])
+    cells = both.groupBy(*cell).agg(F.min(F.when(F.col("cs").isNotNull(), F.struct("cs", "cs_prev", "unit"))).alias("_first"))
+    above = Window.partitionBy("_block").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*cell, F.last("_first", ignorenulls=True).over(above).alias("_next"))
+    joined = met.join(broadcast_if_bounded(cells, blocks + parts + 1), cell)
+    return joined.select(*own, *[F.coalesce(f"_{c}", f"_next.{c}").alias(c) for c in hit])
 
 
 def nearest_cuts(load: Workload, segments: DataFrame, keys: list[str], row_bound: int, rule: str = "strict") -> DataFrame:
@@ -161,12 +258,12 @@ def nearest_cuts(load: Workload, segments: DataFrame, keys: list[str], row_bound
     takes the boundary below the target without snapping.
     Returns (keys, i, cut, cs) with i = 0..k.
     """
-    targets = _targets(segments)
-    # a segment without records has no unit to hit; its cuts start at lo
-    nowhere = targets.filter("tot = 0").selectExpr(
-        "*", "CAST(NULL AS BIGINT) AS unit", "CAST(NULL AS BIGINT) AS cs_prev", "CAST(NULL AS BIGINT) AS cs"
-    )
-    placed = locate(load, targets.filter("tot > 0"), row_bound).unionByName(nowhere)
+    rows = segments.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))))
+    share = (F.col("tot") * F.col("i")).cast("double") / F.col("k")
+    rows = rows.select(*keys, "lo", "hi", "k", "i", "tot", (F.col("base").cast("double") + share).alias("target"))
+    # the ends of a segment are given, and one without records has no unit to hit: its cuts start at lo
+    inner = (F.col("i") > 0) & (F.col("i") < F.col("k")) & (F.col("tot") > 0)
+    placed = locate(load, rows.filter(inner), row_bound).unionByName(rows.filter(~inner), allowMissingColumns=True)
     nseg = F.col("hi") - F.col("lo")
     above = F.greatest(F.lit(0), F.least(nseg, F.coalesce(F.col("unit") + 1, F.col("lo")) - F.col("lo")))
     lower_is_nearer = F.abs(F.col("cs_prev") - F.col("target")) <= F.abs(F.col("cs") - F.col("target"))
@@ -181,33 +278,28 @@ def nearest_cuts(load: Workload, segments: DataFrame, keys: list[str], row_bound
         j = F.when(nseg <= F.col("k"), F.least(F.col("i"), nseg)).otherwise(F.least(rising, nseg))
     else:
         j = F.max(snapped).over(so_far)
-    inner = placed.select(*keys, "i", (F.col("lo") + j).cast("long").alias("cut"))
-    ends = segments.select(
-        *keys,
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).cast("long").alias("i"), F.col("lo").cast("long").alias("cut")),
-                F.struct(F.col("k").cast("long").alias("i"), F.col("hi").cast("long").alias("cut")),
-            )
-        ),
-    )
-    return load.boundary_sums(inner.unionByName(ends), row_bound)
+    cut = F.when(F.col("i") == 0, F.col("lo")).when(F.col("i") == F.col("k"), F.col("hi")).otherwise(F.col("lo") + j)
+    return load.boundary_sums(placed.select(*keys, "i", cut.cast("long").alias("cut")), row_bound)
 
 
-def whole_segments(load: Workload, ks: list[int], key: str) -> DataFrame:
-    rows = [(int(k), 0, load.n_units, 0, int(load.total), int(k)) for k in ks]
-    return literal_rows(load.spark, rows, f"{key} bigint, lo bigint, hi bigint, base bigint, tot bigint, k bigint")
+def whole_segments(load: Workload, ks: Callable[[Span], list[int]] | list[int], key: str) -> DataFrame:
+    """Every workload as a segment for each number of parts."""
+    schema = f"{key} bigint, lo bigint, hi bigint, base bigint, tot bigint, k bigint"
+    asked = lambda s: ks(s) if callable(ks) else ks
+    return load.rows(lambda s: [(int(k), s.lo, s.lo + s.n_units, s.base, s.total, int(k)) for k in asked(s)], schema)
 
 
 def balanced_cuts(load: Workload, ps: list[int], rule: str = "strict") -> DataFrame:
     """One-stage record-balanced cuts, keyed by p."""
-    return nearest_cuts(load, whole_segments(load, ps, "p"), ["p"], sum(ps) + len(ps), rule)
+    bound = (sum(ps) + len(ps)) * len(load.spans)
+    return nearest_cuts(load, whole_segments(load, ps, "p"), [*load.keys, "p"], bound, rule)
 
 
-def rank_segments(rank_cuts: DataFrame, pairs: DataFrame) -> DataFrame:
+def rank_segments(rank_cuts: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Turn rank boundaries into the segments that the thread stage cuts."""
-    ahead = Window.partitionBy("r").orderBy("i")
+    ahead = Window.partitionBy(*keys, "r").orderBy("i")
     ranges = rank_cuts.select(
+        *keys,
         "r",
         F.col("i").alias("rank"),
         F.col("cut").alias("lo"),
@@ -215,32 +307,29 @@ def rank_segments(rank_cuts: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("cs").alias("base"),
         (F.lead("cs").over(ahead) - F.col("cs")).alias("tot"),
     ).filter("hi IS NOT NULL")
-    return ranges.join(pairs, "r").withColumn("k", F.col("t"))
+    return ranges.join(pairs.select(*keys, "r", "t"), [*keys, "r"]).withColumn("k", F.col("t"))
 
 
-def balanced_cuts_two_stage(load: Workload, pairs: list[tuple[int, int]], rule: str = "strict") -> DataFrame:
+def balanced_cuts_two_stage(load: Workload, pairs: Pairs, rule: str = "strict") -> DataFrame:
     """Record-balanced ranks, then record-balanced threads inside each rank."""
-    ranks = sorted({r for r, _ in pairs})
+    ranks = lambda s: sorted({r for r, _ in pairs_of(pairs, s)})
+    bound = sum(sum(ranks(s)) + len(ranks(s)) for s in load.spans)
     # the rank cuts are read by every branch of the thread stage: write them once
-    first = cut_lineage(nearest_cuts(load, whole_segments(load, ranks, "r"), ["r"], sum(ranks) + len(ranks), rule))
-    segments = rank_segments(first, _grid(load.spark, pairs))
-    return nearest_cuts(load, segments, ["r", "t", "rank"], _row_bound(pairs), rule)
-
-
-def imbalance(load: Workload, pairs: list[tuple[int, int]]) -> DataFrame:
-    """(r, t, p, imb_block, imb_balanced): max load over mean load per rule."""
-    block = part_loads(block_cuts_two_stage(load, pairs), ["r", "t"])
-    balanced = part_loads(balanced_cuts_two_stage(load, pairs), ["r", "t", "rank"])
+    first = cut_lineage(nearest_cuts(load, whole_segments(load, ranks, "r"), [*load.keys, "r"], bound, rule))
+    segments = rank_segments(first, _grid(load, pairs), list(load.keys))
+    return nearest_cuts(load, segments, [*load.keys, "r", "t", "rank"], _row_bound(load, pairs), rule)
+
+
+def imbalance(load: Workload, pairs: Pairs) -> DataFrame:
+    """(r, t, p, imb_block, imb_balanced) of every workload: max load over mean load per rule."""
+    keys = [*load.keys, "r", "t"]
+    worst_block = part_loads(block_cuts_two_stage(load, pairs), keys).groupBy(*keys).agg(F.max("load").alias("_block"))
+    balanced = part_loads(balanced_cuts_two_stage(load, pairs), [*keys, "rank"])
+    worst_balanced = balanced.groupBy(*keys).agg(F.max("load").alias("_balanced"))
+    joined = _grid(load, pairs).join(worst_block, keys).join(worst_balanced, keys)
     p = F.col("r") * F.col("t")
-    mean = F.lit(float(load.total)) / p
-
-    def worst(loads: DataFrame, name: str) -> DataFrame:
-        return loads.groupBy("r", "t").agg(F.max("load").alias("_max")).select(
-            "r", "t", (F.col("_max") / F.nullif(mean, F.lit(0.0))).alias(name)
-        )
-
-    joined = worst(block, "imb_block").join(worst(balanced, "imb_balanced"), ["r", "t"])
-    return joined.select("r", "t", p.alias("p"), "imb_block", "imb_balanced")
+    mean = F.nullif(F.col("total").cast("double") / p, F.lit(0.0))
+    return joined.select(*keys, p.alias("p"), (F.col("_block") / mean).alias("imb_block"), (F.col("_balanced") / mean).alias("imb_balanced"))
 
 
 def load_summary(loads: DataFrame, keys: list[str]) -> DataFrame:
@@ -374,9 +463,9 @@ class _KnownSums:
 
     def walk(self, cap: int, p: int, optimistic: bool) -> list[int]:
         """Greedy cut positions; pessimistic ones use known sums only."""
-        x, path = 0, [0]
+        x, path, end = 0, [0], int(self.points[-1])
         for _ in range(p):
-            reach = min(x + cap, int(self.points[-1]))
+            reach = min(x + cap, end)
             at = int(np.searchsorted(self.points, reach, side="right")) - 1
             x = reach if optimistic and self.open_after[at] else int(self.points[at])
             path.append(x)
@@ -392,23 +481,34 @@ class _KnownSums:
                 low = mid + 1
         return low
 
+    def hidden(self, first: list[int], last: list[int]) -> set[tuple[int, int]]:
+        """Open gaps that a cut between two walks may fall into."""
+        spans = set()
+        for a, b in zip(first, last):
+            i = int(np.searchsorted(self.points, a, side="right")) - 1
+            j = int(np.searchsorted(self.points, b, side="left"))
+            spans |= {(int(self.points[s]), int(self.points[s + 1])) for s in range(i, max(j, i + 1)) if self.open_after[s]}
+        return spans
+
 
-def contiguous_optimal(load: Workload, p: int, points: int = 1 << 18) -> DataFrame:
-    """Cuts of the contiguous partition with the smallest largest load.
+def contiguous_optimal(load: Workload, ps: list[int] | int, points: int = 1 << 18) -> DataFrame:
+    """Cuts of the contiguous partition with the smallest largest load, for all worker counts at once.
 
     A greedy walk for one cap looks at p positions only, so the driver keeps a
-    bounded sample of prefix sums. Known sums bracket the optimal cap from
-    both sides; each round a distributed pass fetches finer sums where some
-    cut of a cap in the bracket may fall, until none is hidden. The result is
-    exact. Returns (p, i, cut, cs).
+    bounded sample of prefix sums, common to all worker counts. Known sums
+    bracket each optimal cap from both sides; a round fetches, in one distributed
+    pass, finer sums where some cut of a cap in any bracket may fall, until none
+    is hidden. The number of rounds follows the records over ``points``, not the
+    number of worker counts. The result is exact. Returns (p, i, cut, cs, cap).
     """
+    ps = [ps] if isinstance(ps, int) else [int(p) for p in ps]
     total, spark = int(load.total), load.spark
     known = _KnownSums(total)
-    floor_cap = max(int(load.largest), -(-total // p))
     spans = [(0, total)] if total else []
     positive = load.cum.filter("n > 0")
-    best, path = 0, [0] * (p + 1)
-    while total:
+    brackets = {p: (max(int(load.largest), -(-total // p)), total) for p in ps}
+    paths = {p: (0, [0] * (p + 1)) for p in ps}
+    while spans:
         width = max(1, -(-sum(b - a for a, b in spans) // points))
         wanted = literal_rows(spark, spans, "a bigint, b bigint").select(
             "a", "b", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("bucket")
@@ -422,27 +522,25 @@ def contiguous_optimal(load: Workload, p: int, points: int = 1 << 18) -> DataFra
             .toPandas()  # at most `points` rows plus the span ends
         )
         known.add(spans, fetched["lo"].to_numpy(), fetched["hi"].to_numpy(), fetched["hidden"].to_numpy())
-        high = known.smallest_cap(floor_cap, total, p, optimistic=False)
-        low = known.smallest_cap(floor_cap, high, p, optimistic=True)
-        first, last = known.walk(low, p, optimistic=False), known.walk(high, p, optimistic=True)
-        spans = []
-        for a, b in zip(first, last):
-            i = int(np.searchsorted(known.points, a, side="right")) - 1
-            j = int(np.searchsorted(known.points, b, side="left"))
-            for s in range(i, max(j, i + 1)):
-                if known.open_after[s]:
-                    spans.append((int(known.points[s]), int(known.points[s + 1])))
-        spans = sorted(set(spans))
-        if not spans:
-            best, path = low, known.walk(low, p, optimistic=False)
-            break
-    steps = literal_rows(spark, [(p, i, int(x)) for i, x in enumerate(path)], "p bigint, i bigint, cs bigint")
+        found: set[tuple[int, int]] = set()
+        for p, (least, most) in list(brackets.items()):
+            high = known.smallest_cap(least, most, p, optimistic=False)
+            low = known.smallest_cap(least, high, p, optimistic=True)
+            hidden = known.hidden(known.walk(low, p, optimistic=False), known.walk(high, p, optimistic=True))
+            if hidden:
+                brackets[p] = (low, high)
+                found |= hidden
+            else:
+                paths[p] = (low, known.walk(low, p, optimistic=False))
+                del brackets[p]
+        spans = sorted(found)
+    rows = [(p, i, int(x), int(cap)) for p, (cap, path) in paths.items() for i, x in enumerate(path)]
+    steps = literal_rows(spark, rows, "p bigint, i bigint, cs bigint, cap bigint")
     ends = load.cum.groupBy("cs").agg((F.max("idx") + 1).alias("cut"))
-    joined = steps.join(ends.join(F.broadcast(steps.select("cs").distinct()), "cs", "left_semi"), "cs", "left")
-    cut = F.when(F.col("i") == 0, F.lit(0)).when(F.col("cs") == total, F.lit(load.n_units)).otherwise(
-        F.coalesce("cut", F.lit(0))
-    )
-    return joined.select("p", "i", cut.cast("long").alias("cut"), "cs").withColumn("cap", F.lit(best).cast("long"))
+    asked = broadcast_if_bounded(steps.select("cs").distinct(), len(rows))
+    joined = steps.join(ends.join(asked, "cs", "left_semi"), "cs", "left")
+    cut = F.when(F.col("i") == 0, F.lit(0)).when(F.col("cs") == total, F.lit(load.n_units)).otherwise(F.coalesce("cut", F.lit(0)))
+    return joined.select("p", "i", cut.cast("long").alias("cut"), "cs", "cap")
 
 
 def scaled_work(work: DataFrame, rho_hundredths: int = 531) -> DataFrame:

@@ -217,6 +217,18 @@ def block_linspace_loads(spark, d):
     return pt.part_loads(pt.linspace_cuts(load, PS), ["p"])
 
 
+@query(
+    "block_round_loads",
+    oracle=_CUM_SQL + f""",
+      cuts AS (SELECT p, i, CAST(floor((n * i)::DOUBLE / p + 0.5) AS BIGINT) AS cut FROM tot, {_GRID_P}, LATERAL (SELECT unnest(range(p + 1)) AS i))
+      SELECT p, i AS worker, b.cs - a.cs AS load FROM (SELECT p, i, cut, lead(cut) OVER (PARTITION BY p ORDER BY i) AS nxt FROM cuts) c
+      JOIN cum a ON a.j = c.cut JOIN cum b ON b.j = c.nxt""",
+    ints="p worker load",
+)
+def block_round_loads(spark, d):
+    return pt.part_loads(pt.rounded_cuts(doc_load(spark, d), PS), ["p"])
+
+
 @query(
     "block_sorted_loads",
     oracle=_LINSPACE_SQL.replace("ORDER BY doc_id", "ORDER BY n_chars DESC, doc_id") + """
@@ -277,41 +289,55 @@ def nz_floor_cuts(spark, d):
     return pt.balanced_cuts(doc_load(spark, d), PS, "floor")
 
 
-_TWO_STAGE = _CUM_SQL + """,
-pairs(r, t) AS ({pairs}),
-tg AS (SELECT r, i, total::DOUBLE * i / r AS x FROM tot, (SELECT DISTINCT r FROM pairs), LATERAL (SELECT unnest(range(1, r)) AS i)),
-ab AS (SELECT r, i, x, min(j) AS hi FROM tg JOIN cum ON cs >= x GROUP BY 1, 2, 3),
-sn AS (SELECT r, i, CASE WHEN hi > 0 AND abs(l.cs - x) <= abs(h.cs - x) THEN hi - 1 ELSE hi END AS j
-       FROM ab JOIN cum h ON h.j = hi LEFT JOIN cum l ON l.j = hi - 1),
-rc AS (SELECT r, i, least(n, greatest(0, max(least(sn.j, n - (r - i)) - i) OVER w) + i) AS cut FROM sn, tot
-       WINDOW w AS (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING)
-       UNION ALL SELECT DISTINCT r, 0, 0 FROM pairs UNION ALL SELECT DISTINCT r, r, n FROM pairs, tot),
-seg AS (SELECT r, t, k, lo, hi, a.cs AS base, b.cs - a.cs AS seg_total FROM (
-          SELECT r, i AS k, cut AS lo, lead(cut) OVER (PARTITION BY r ORDER BY i) AS hi FROM rc) s
-        JOIN pairs USING (r) JOIN cum a ON a.j = lo JOIN cum b ON b.j = s.hi),
-tg2 AS (SELECT r, t, k, lo, hi, i, base + (seg_total * i)::DOUBLE / t AS x FROM seg, LATERAL (SELECT unnest(range(1, t)) AS i)),
-ab2 AS (SELECT r, t, k, lo, tg2.hi AS top, i, x, min(j) AS u FROM tg2 JOIN cum ON cs >= x AND j >= lo AND j <= tg2.hi GROUP BY ALL),
-sn2 AS (SELECT r, t, k, lo, top, i, top - lo AS m,
+_TWO_STAGE = """,
+cumw AS (SELECT w, idx + 1 AS j, CAST(sum(n) OVER (PARTITION BY w ORDER BY idx) AS BIGINT) AS cs FROM unitsw UNION ALL SELECT DISTINCT w, 0, 0 FROM unitsw),
+tot AS (SELECT w, max(cs) AS total, max(j) AS n FROM cumw GROUP BY w),
+firsts AS (SELECT w, cs::DOUBLE AS x, min(j) AS j FROM cumw GROUP BY 1, 2),
+pairs AS (SELECT w, r::BIGINT AS r, t::BIGINT AS t FROM ({pairs})),
+tg AS (SELECT w, r, i, total::DOUBLE * i / r AS x FROM (SELECT DISTINCT w, r FROM pairs) JOIN tot USING (w), LATERAL (SELECT unnest(range(1, r)) AS i)),
+ab AS (SELECT tg.w, r, i, tg.x, j AS hi FROM tg ASOF JOIN firsts f ON tg.w = f.w AND tg.x <= f.x),
+sn AS (SELECT ab.w, r, i, CASE WHEN hi > 0 AND abs(l.cs - x) <= abs(h.cs - x) THEN hi - 1 ELSE hi END AS j
+       FROM ab JOIN cumw h ON h.w = ab.w AND h.j = hi LEFT JOIN cumw l ON l.w = ab.w AND l.j = hi - 1),
+rc AS (SELECT w, r, i, least(n, greatest(0, max(least(sn.j, n - (r - i)) - i) OVER q) + i) AS cut FROM sn JOIN tot USING (w)
+       WINDOW q AS (PARTITION BY w, r ORDER BY i ROWS UNBOUNDED PRECEDING)
+       UNION ALL SELECT DISTINCT w, r, 0, 0 FROM pairs UNION ALL SELECT DISTINCT w, r, r, n FROM pairs JOIN tot USING (w)),
+seg AS (SELECT s.w, r, t, k, lo, hi, a.cs AS base, b.cs - a.cs AS seg_total FROM (
+          SELECT w, r, i AS k, cut AS lo, lead(cut) OVER (PARTITION BY w, r ORDER BY i) AS hi FROM rc) s
+        JOIN pairs USING (w, r) JOIN cumw a ON a.w = s.w AND a.j = lo JOIN cumw b ON b.w = s.w AND b.j = s.hi),
+tg2 AS (SELECT w, r, t, k, lo, hi, i, base + (seg_total * i)::DOUBLE / t AS x FROM seg, LATERAL (SELECT unnest(range(1, t)) AS i)),
+ab2 AS (SELECT tg2.w, r, t, k, lo, hi AS top, i, tg2.x, greatest(f.j, lo) AS u FROM tg2 ASOF JOIN firsts f ON tg2.w = f.w AND tg2.x <= f.x),
+sn2 AS (SELECT ab2.w, r, t, k, lo, top, i, top - lo AS m,
           CASE WHEN u > lo AND abs(l.cs - x) <= abs(h.cs - x) THEN u - 1 ELSE u END - lo AS j
-        FROM ab2 JOIN cum h ON h.j = u LEFT JOIN cum l ON l.j = u - 1),
-tc AS (SELECT r, t, k, i, lo + CASE WHEN m <= t THEN least(i, m)
-          ELSE least(m, greatest(0, max(greatest(0, least(j, m - (t - i))) - i) OVER w) + i) END AS cut FROM sn2
-       WINDOW w AS (PARTITION BY r, t, k ORDER BY i ROWS UNBOUNDED PRECEDING)
-       UNION ALL SELECT r, t, k, 0, lo FROM seg UNION ALL SELECT r, t, k, t, hi FROM seg),
-nz AS (SELECT r, t, k, i, cs, lead(cs) OVER (PARTITION BY r, t, k ORDER BY i) - cs AS load FROM tc JOIN cum ON cum.j = cut),
-bl AS (SELECT r, t, q.i AS i, CASE WHEN q.i = r * t THEN n ELSE
+        FROM ab2 JOIN cumw h ON h.w = ab2.w AND h.j = u LEFT JOIN cumw l ON l.w = ab2.w AND l.j = u - 1),
+tc AS (SELECT w, r, t, k, i, lo + CASE WHEN m <= t THEN least(i, m)
+          ELSE least(m, greatest(0, max(greatest(0, least(j, m - (t - i))) - i) OVER q) + i) END AS cut FROM sn2
+       WINDOW q AS (PARTITION BY w, r, t, k ORDER BY i ROWS UNBOUNDED PRECEDING)
+       UNION ALL SELECT w, r, t, k, 0, lo FROM seg UNION ALL SELECT w, r, t, k, t, hi FROM seg),
+nz AS (SELECT w, r, t, k, i, lead(cs) OVER (PARTITION BY w, r, t, k ORDER BY i) - cs AS load FROM tc JOIN cumw USING (w) WHERE j = cut),
+bl AS (SELECT w, r, t, q.i AS i, CASE WHEN q.i = r * t THEN n ELSE
           ((q.i // t) * n) // r + ((q.i % t) * (((q.i // t + 1) * n) // r - ((q.i // t) * n) // r)) // t END AS cut
-       FROM pairs, tot, LATERAL (SELECT unnest(range(r * t + 1)) AS i) q),
-blk AS (SELECT r, t, lead(cs) OVER (PARTITION BY r, t ORDER BY bl.i) - cs AS load FROM bl JOIN cum ON cum.j = cut),
-imb AS (SELECT r, t, r * t AS p, ib / (total::DOUBLE / (r * t)) AS imb_block, iz / (total::DOUBLE / (r * t)) AS imb_balanced
-        FROM tot, (SELECT r, t, max(load) AS ib FROM blk GROUP BY 1, 2) JOIN (SELECT r, t, max(load) AS iz FROM nz GROUP BY 1, 2) USING (r, t))"""
+       FROM pairs JOIN tot USING (w), LATERAL (SELECT unnest(range(r * t + 1)) AS i) q),
+blk AS (SELECT w, r, t, lead(cs) OVER (PARTITION BY w, r, t ORDER BY bl.i) - cs AS load FROM bl JOIN cumw USING (w) WHERE j = cut),
+imb AS (SELECT w, r, t, r * t AS p, ib / (total::DOUBLE / (r * t)) AS imb_block, iz / (total::DOUBLE / (r * t)) AS imb_balanced
+        FROM tot JOIN (SELECT w, r, t, max(load) AS ib FROM blk GROUP BY 1, 2, 3) USING (w)
+        JOIN (SELECT w, r, t, max(load) AS iz FROM nz GROUP BY 1, 2, 3) USING (w, r, t))"""
+_ONE = UNITS_SQL + ", unitsw AS (SELECT 'documents' AS w, * FROM units)"
+
 
+def two_stage_sql(pairs: str, units: str = _ONE) -> str:
+    """Cuts and loads of both rules; ``pairs`` selects (w, r, t), with tot (w, total, n) at hand."""
+    return units + _TWO_STAGE.replace("{pairs}", pairs)
 
-def two_stage_sql(pairs: str) -> str:
-    return _TWO_STAGE.replace("{pairs}", pairs)
+
+def _pairs_sql(pairs) -> str:
+    return "SELECT w, r, t FROM tot, (VALUES " + ", ".join(f"({r}, {t})" for r, t in pairs) + ") AS v(r, t)"
 
 
-_TWO_STAGE_SQL = two_stage_sql("VALUES (1, 8), (2, 8), (4, 8), (8, 8), (10, 8), (12, 8)")
+# The search grid and the whole curve, by their own rules.
+_SEARCH_SQL = "SELECT w, r, 8 AS t FROM tot, (SELECT unnest(range(1, 1025)) AS r) WHERE r * 8 <= n // 2"
+_WHOLE_SQL = """SELECT w, p // t AS r, t FROM tot, (SELECT unnest(range(2, 4097)) AS p UNION ALL SELECT unnest([8192, 16384, 32768])),
+  (SELECT unnest(range(1, 17)) AS t) WHERE p % t = 0 AND p // t <= n AND t <= n"""
+_TWO_STAGE_SQL = two_stage_sql(_pairs_sql(PAIRS))
 _CURVE_COLUMNS = """ SELECT p, r AS n_ranks, t AS n_threads, imb_block, imb_balanced, 100 * (1 - 1 / imb_block) AS loss_block_pct,
   100 * (imb_block / imb_balanced - 1) AS ceiling_pct, p <= 96 AND t <= 16 AS measurable FROM imb"""
 
@@ -336,33 +362,74 @@ def ceiling_sweep(spark, d):
     return ad.ceilings(doc_load(spark, d), PAIRS)
 
 
+def _advice_sql(units: str, ps: list[int]) -> str:
+    """Advice for every workload: p* from the search grid, ceilings of the requests from a second set of pairs."""
+    named = " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in ad.REGIME_NAMES.items())
+    actions = " ".join(f"WHEN '{code}' THEN '{' | '.join(ad.ACTIONS[code])}'" for code in ad.ACTIONS)
+    asked = ", ".join(f"({p}, {p // 8}, 8)" for p in ps)
+    return two_stage_sql(f"{_SEARCH_SQL} UNION SELECT w, r, t FROM tot, (VALUES {asked}) AS v(p, r, t) WHERE p <= n // 2", units) + f""",
+      known AS (SELECT w, s, a FROM (SELECT w, sum(n)::DOUBLE / max(n) AS a FROM unitsw GROUP BY w)
+                LEFT JOIN (SELECT w, min(p) FILTER (WHERE imb_block / imb_balanced - 1 >= 0.084 AND p <= 8192) AS s FROM imb GROUP BY w) USING (w)),
+      r1 AS (SELECT k.w, v.p, s AS p_star, CASE WHEN v.p < s THEN 'I' WHEN v.p < a THEN 'II' ELSE 'III' END AS regime,
+               imb_block / imb_balanced - 1 AS ceiling, v.p / a AS p_over_p_atom
+             FROM known k CROSS JOIN (VALUES {asked}) AS v(p, r, t) LEFT JOIN imb ON imb.w = k.w AND imb.r = v.r AND imb.t = v.t)
+      SELECT w, p, p_star, regime, CASE regime {named} END AS regime_name, CASE regime {actions} END AS actions, ceiling,
+             ceiling / 0.084 AS ceiling_vs_rung, coalesce(ceiling > 0.0239, false) AS resolvable, p_over_p_atom FROM r1"""
+
+
 @query(
     "regime_advice",
-    oracle=_TWO_STAGE_SQL + """, star AS (SELECT min(p) FILTER (WHERE imb_block / imb_balanced - 1 >= 0.084 AND p <= n // 2) AS s FROM imb, tot),
-      atom AS (SELECT sum(n)::DOUBLE / max(n) AS a FROM units),
-      r1 AS (SELECT p, CASE WHEN p < s THEN 'I' WHEN p < a THEN 'II' ELSE 'III' END AS regime,
-                    CASE WHEN p <= n // 2 THEN imb_block / imb_balanced - 1 END AS ceiling, p / a AS p_over_p_atom FROM imb, star, atom, tot)
-      SELECT p, regime, CASE regime WHEN 'I' THEN 'placement-limited' WHEN 'II' THEN 'partition-limited' ELSE 'atomicity-limited' END AS regime_name,
-             ceiling, ceiling / 0.084 AS ceiling_vs_rung, coalesce(ceiling > 0.0239, false) AS resolvable, p_over_p_atom FROM r1""",
+    oracle=f"SELECT * EXCLUDE (w) FROM ({_advice_sql(_ONE, SWEEP)})",
     doubles="ceiling ceiling_vs_rung p_over_p_atom",
-    ints="p",
+    ints="p p_star",
 )
 def regime_advice(spark, d):
-    load = doc_load(spark, d)
-    star = ad.first_crossing(ad.ceilings(load, [(r, t) for r, t in PAIRS if r * t <= load.n_units // 2])).first()[0]
-    return ad.advise(load, SWEEP, p_star=star).drop("advice")
+    return ad.advise(doc_load(spark, d), SWEEP).drop("advice").withColumn("actions", F.array_join("actions", " | "))
+
+
+BATCH = {"documents": ("documents", "doc_id"), "users": ("users", "user_id"), "customers": ("customers", "c_custkey")}
+_BATCH_UNITS = """WITH sizes AS (
+  SELECT 'documents' AS w, doc_id AS key, n_chars AS n FROM documents UNION ALL
+  SELECT 'users', user_id, count(*) FROM events GROUP BY user_id UNION ALL
+  SELECT 'customers', c_custkey, coalesce(m, 0) FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS m FROM orders
+    JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey) ON o_custkey = c_custkey),
+unitsw AS (SELECT w, row_number() OVER (PARTITION BY w ORDER BY key) - 1 AS idx, n FROM sizes)"""
+
+
+def batch(spark, d):
+    return pt.Batch({w: (VECTORS[vector](spark, d), key) for w, (vector, key) in BATCH.items()})
+
+
+@query(
+    "advice_batch",
+    oracle=_advice_sql(_BATCH_UNITS, SWEEP),
+    doubles="ceiling ceiling_vs_rung p_over_p_atom",
+    ints="p p_star",
+)
+def advice_batch(spark, d):
+    """Advice for documents, users and customers from one plan."""
+    return ad.advise(batch(spark, d), SWEEP).drop("advice").withColumn("actions", F.array_join("actions", " | "))
 
 
 @query(
     "p_star",
-    oracle=two_stage_sql("SELECT unnest(range(1, least(1024, (SELECT count(*) FROM documents) // 16) + 1)), 8") + """
+    oracle=two_stage_sql(_SEARCH_SQL) + """
       SELECT (SELECT n FROM tot) AS n_units, min(p) FILTER (WHERE imb_block / imb_balanced - 1 >= 0.084) AS p_star FROM imb""",
     ints="n_units p_star",
 )
 def p_star(spark, d):
-    load = doc_load(spark, d)
-    star = ad.find_p_star(load)
-    return load.units.agg(F.count(F.lit(1)).alias("n_units")).withColumn("p_star", F.lit(star).cast("long"))
+    return ad.p_stars(doc_load(spark, d)).select("n_units", "p_star")
+
+
+@query(
+    "p_star_batch",
+    oracle=two_stage_sql(_SEARCH_SQL, _BATCH_UNITS) + """ SELECT w, n AS n_units, total, largest, p_star FROM tot
+      JOIN (SELECT w, max(n) AS largest FROM unitsw GROUP BY w) USING (w)
+      LEFT JOIN (SELECT w, min(p) FILTER (WHERE imb_block / imb_balanced - 1 >= 0.084) AS p_star FROM imb GROUP BY w) USING (w)""",
+    ints="n_units total largest p_star",
+)
+def p_star_batch(spark, d):
+    return ad.p_stars(batch(spark, d))
 
 
 _GREEDY_SQL = _CUM_SQL + f""",
@@ -429,7 +496,7 @@ def greedy_loads(spark, d):
     return pt.greedy_loads(doc_units(spark, d), PS)
 
 
-_OPT_P = (16, 80)
+_OPT_P = (2, 8, 16, 24, 32, 48, 64, 80)
 # Smallest largest load by dynamic programming over the number of parts, then
 # the greedy walk at that load.
 _OPT_SQL = _CUM_SQL + f""",
@@ -450,36 +517,29 @@ walk AS (
 
 @query("contig_opt_cuts", oracle=_OPT_SQL + " SELECT p, i, cut, cs, cap FROM walk", ints="p i cut cs cap")
 def contig_opt_cuts(spark, d):
-    load = doc_load(spark, d)
-    return reduce(lambda a, b: a.unionByName(b), [pt.contiguous_optimal(load, p) for p in _OPT_P])
-
-
-_CURVE_P = list(range(2, 33)) + [48, 64, 80, 96]
-
-
-def _pairs_sql(pairs) -> str:
-    return "VALUES " + ", ".join(f"({r}, {t})" for r, t in pairs)
+    return pt.contiguous_optimal(doc_load(spark, d), list(_OPT_P))
 
 
 @query(
     "imbalance_curve",
-    oracle=two_stage_sql(_pairs_sql(ad.factorisations(_CURVE_P))) + _CURVE_COLUMNS,
+    oracle=two_stage_sql(_WHOLE_SQL) + _CURVE_COLUMNS,
     doubles="imb_block imb_balanced loss_block_pct ceiling_pct",
     ints="p n_ranks n_threads",
 )
 def imbalance_curve(spark, d):
-    return ad.curve(doc_load(spark, d), ad.factorisations(_CURVE_P))
+    """The whole curve: p = 2..4096 and the far field, in every factorisation."""
+    return ad.curve(doc_load(spark, d), ad.whole_curve)
 
 
 @query(
     "curve_crossings",
-    oracle=_TWO_STAGE_SQL + """ SELECT min(p) FILTER (WHERE imb_block / imb_balanced - 1 >= 0.0239) AS noise,
+    oracle=two_stage_sql(f"SELECT * FROM ({_WHOLE_SQL}) WHERE t = 8") + """ SELECT min(p) FILTER (WHERE imb_block / imb_balanced - 1 >= 0.0239) AS noise,
         min(p) FILTER (WHERE imb_block / imb_balanced - 1 >= 0.084) AS rung,
         min(p) FILTER (WHERE imb_block / imb_balanced - 1 >= 0.32) AS span FROM imb WHERE t = 8""",
     ints="noise rung span",
 )
 def curve_crossings(spark, d):
-    points = ad.curve(doc_load(spark, d), PAIRS)
+    points = ad.curve(doc_load(spark, d), lambda span: [x for x in ad.whole_curve(span) if x[1] == ad.THREADS_PER_RANK])
     return ad.crossings(points, {"noise": ad.NOISE_FLOOR, "rung": ad.PLACEMENT_RUNG, "span": ad.PLACEMENT_SPAN})
 
 
