@@ -3,68 +3,120 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.functions.scalars import hash_order, safe_ratio
-from talus.operators.prefix import block_scan, digest_digits
+from talus.operators.prefix import BLOCK_ROWS, digest_digits
 from talus.operators.quantiles import grouped_quantiles
-from talus.session import literal_rows
+from talus.session import broadcast_if_bounded, literal_rows
 
 # Seed, band outside which the canonical order is flagged.
 BOOT_SEED = 20260728
 FLAG_BAND = (5.0, 95.0)
 
 
-def permuted(units: DataFrame, n_boot: int, seed: int = BOOT_SEED, digits: int | None = None) -> DataFrame:
-    """(b, idx, n, pos, cs) for b = 0..n_boot; b = 0 is the given order.
+STRATEGIES = ("block", "cyclic", "nzbalanced")
+# Hexadecimal digits of a digest that order a permutation: 128 bits never tie in practice, equal ones go by index.
+ORDER_DIGITS = 32
+EXACT = 1 << 53
 
-    A permutation orders the units by a digest of (seed, b, idx). Digest
-    prefixes split every permutation into evenly filled blocks, so no task
-    sorts a whole permutation.
+
+def permuted(units: DataFrame, n_units: int, n_boot: int, seed: int = BOOT_SEED, digits: int | None = None) -> DataFrame:
+    """Units in the order of every permutation b = 0..n_boot; b = 0 is the given order.
+
+    A permutation orders the units by a digest of (seed, b, idx). Where one has
+    more than BLOCK_ROWS units it is cut into blocks by the digest's prefix, so
+    that no task sorts a whole permutation; ``before`` and ``sum_before`` are the
+    units and records of its earlier blocks, summed map-side beforehand.
+    Partitions are sorted by (b, block, place in the order).
     """
-    digits = digits or digest_digits(units.count())
+    digits = (0 if n_units <= BLOCK_ROWS else digest_digits(n_units)) if digits is None else digits
     copies = units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot))))
-    shuffled = hash_order(F.concat_ws("|", F.col("b").cast("string"), F.col("idx").cast("string")), seed)
-    key = F.when(F.col("b") == 0, F.lpad(F.hex("idx"), 16, "0")).otherwise(shuffled)
+    digest = hash_order(F.concat_ws("|", F.col("b").cast("string"), F.col("idx").cast("string")), seed)
+    key = F.when(F.col("b") == 0, F.lpad(F.hex("idx"), 16, "0")).otherwise(F.substring(digest, 1, ORDER_DIGITS))
     # block of the given order: leading digits of the zero-padded index, 65,536 units each
-    block = F.when(F.col("b") == 0, F.substring("_k", 1, 12)).otherwise(F.substring("_k", 1, digits))
-    scanned = block_scan(
-        copies.withColumn("_k", key), block, [F.col("_k")],
-        {"pos": F.lit(1).cast("long"), "cs": F.col("n")}, by=["b"],
-    )
-    return scanned.withColumn("pos", F.col("pos") - 1).select("b", "idx", "n", "pos", "cs")
-
-
-def _owners(n: Column, p: Column) -> dict[str, Column]:
-    total = F.col("total")
-    middle = F.col("cs") - F.col("n") / 2.0
-    return {
-        "block": F.floor(((F.col("pos") + 1) * p - 1) / n),
-        "cyclic": F.pmod(F.col("pos"), p),
-        # a unit belongs to the part that holds its record midpoint: nearest-boundary cuts
-        "nzbalanced": F.least(p - 1, F.floor(middle * p / F.nullif(total, F.lit(0)))),
-    }
-
-
-def efficiencies(units: DataFrame, ps: list[int], n_boot: int, seed: int = BOOT_SEED) -> DataFrame:
-    """(b, p, strategy, efficiency) for every permutation."""
-    sums = units.agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("total"))
-    rows = permuted(units, n_boot, seed).crossJoin(F.broadcast(sums))  # one row
-    rows = rows.withColumn("p", F.explode(F.array(*[F.lit(int(p)).cast("long") for p in ps])))
-    owners = F.array(
-        *[
-            F.struct(F.lit(name).alias("strategy"), expr.cast("long").alias("worker"))
-            for name, expr in _owners(F.col("n_units"), F.col("p")).items()
-        ]
-    )
-    dealt = rows.select("b", "p", "n", "total", F.inline(owners))
-    loads = dealt.groupBy("b", "p", "strategy", "worker").agg(F.sum("n").alias("load"), F.max("total").alias("total"))
-    return loads.groupBy("b", "p", "strategy").agg(
-        (F.max("total") / F.max("p") / F.max("load")).alias("efficiency")
-    )
+    block = F.when(F.col("b") == 0, F.substring("key", 1, 12)).otherwise(F.substring("key", 1, digits)) if digits else F.lit("")
+    keyed = copies.withColumn("key", key).withColumn("block", block)
+    zero = F.lit(0).cast("long")
+    if digits:
+        sums = keyed.groupBy("b", "block").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_sum"))
+        earlier = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        running = [F.coalesce(F.sum(c).over(earlier), zero).alias(name) for c, name in (("_rows", "before"), ("_sum", "sum_before"))]
+        bases = sums.select("b", "block", *running)
+        blocks = (n_boot + 1) * 16**digits + n_units // BLOCK_ROWS + 1
+        keyed = keyed.join(broadcast_if_bounded(bases, blocks), ["b", "block"])
+    else:
+        keyed = keyed.withColumns({"before": zero, "sum_before": zero})
+    dealt = keyed.repartition("b", "block").sortWithinPartitions("b", "block", "key", "idx")
+    return dealt.select("b", "block", "before", "sum_before", "n", "cost")
+
+
+def _added(slots: np.ndarray, cost: np.ndarray, size: int) -> np.ndarray:
+    if int(cost.sum()) < EXACT:
+        return np.bincount(slots, cost, size).astype(np.int64)
+    out = np.zeros(size, np.int64)
+    np.add.at(out, slots, cost)
+    return out
+
+
+def _dealing(ps: list[int], n_units: int, records: int):
+    """Loads of every rule and worker from ordered units, a batch at a time; ``slot`` numbers (p, rule, worker)."""
+    width = len(STRATEGIES) * sum(ps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done, summed = None, 0, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            b, before, sum_before, n, cost = (batch.column(c).to_numpy() for c in ("b", "before", "sum_before", "n", "cost"))
+            block = batch.column("block").dictionary_encode().indices.to_numpy()
+            new = np.append(True, (b[1:] != b[:-1]) | (block[1:] != block[:-1]))
+            start = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            cs = np.cumsum(n)
+            place, total = np.arange(len(b)) - start[group], cs - (cs - n)[start][group]
+            if last == (b[0], batch.column("block")[0].as_py()):  # the group goes on from the batch before
+                place[group == 0] += done
+                total[group == 0] += summed
+            last, done, summed = (b[-1], batch.column("block")[-1].as_py()), int(place[-1]) + 1, int(total[-1])
+            place, middle = place + before, total + sum_before - n / 2.0
+            runs, of = np.unique(b, return_inverse=True)
+            loads, at = np.zeros((len(runs), width), np.int64), 0
+            for p in ps:
+                # a unit belongs to the part that holds its record midpoint: nearest-boundary cuts
+                held = np.minimum(p - 1, np.floor(middle * p / records)).astype(np.int64) if records else np.zeros(len(n), np.int64)
+                for worker in (((place + 1) * p - 1) // n_units, place % p, held):
+                    loads[:, at : at + p] = _added(of * p + worker, cost, len(runs) * p).reshape(-1, p)
+                    at += p
+            each = np.tile(np.arange(width, dtype=np.int32), len(runs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(runs, width)), pa.array(each), pa.array(loads.ravel())], ["b", "slot", "load"])
+
+    return run
+
+
+def efficiencies(units: DataFrame, ps: list[int], n_boot: int, seed: int = BOOT_SEED, cost: str = "n") -> DataFrame:
+    """(b, p, strategy, efficiency) for every permutation.
+
+    Units are ordered and cut by their records ``n``; loads add up ``cost``, by
+    default the records too. A unit goes through the shuffle once for each
+    permutation; tasks deal ordered units to all rules and worker counts at once
+    and only loads leave them.
+    """
+    spark, ps = units.sparkSession, [int(p) for p in ps]
+    given = units.select("idx", F.col("n").cast("long").alias("n"), F.col(cost).cast("long").alias("cost"))
+    zero = F.lit(0).cast("long")
+    n_units, records, whole = given.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("cost"), zero)).first()
+    slots = [(p, s) for p in ps for s in STRATEGIES for _ in range(p)]
+    names = literal_rows(spark, [(i, *x) for i, x in enumerate(slots)], "slot int, p bigint, strategy string")
+    dealt = permuted(given, n_units, n_boot, seed).mapInArrow(_dealing(ps, n_units, records), "b int, slot int, load long")
+    loads = dealt.groupBy("b", "slot").agg(F.sum("load").alias("load")).join(broadcast_if_bounded(names, len(slots)), "slot")
+    largest = F.nullif(F.max("load"), zero)
+    return loads.groupBy("b", "p", "strategy").agg((F.lit(whole) / F.col("p") / largest).alias("efficiency"))
 
 
 def summarise_bootstrap(eff: DataFrame) -> DataFrame:

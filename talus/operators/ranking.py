@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.scalars import hash_bucket
 from talus.operators.prefix import BLOCK_ROWS, block_scan, dense_index
 from talus.operators.quantiles import grouped_quantiles
-from talus.session import cut_lineage
+from talus.operators.skew import salted_join
+from talus.session import BROADCAST_BYTES, cut_lineage
 
 CI_QUANTILES = {"lo": 0.025, "hi": 0.975}
 CALIBRATION_BINS = 10
@@ -81,20 +86,131 @@ def calibration(df: DataFrame, score: str, y: str, bins: int = CALIBRATION_BINS)
     )
 
 
-def subject_resamples(subjects: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """(b, s, w): how often subject number s is drawn in resample b.
+CHUNK = 256
+SUBJECT_BLOCK = 1024
+RANK_BLOCK = 2048
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, chunk, first, picks), sorted by block and chunk -> (s, chunk, w): draws of each subject by resample."""
+    held, counts = None, None
+
+    def rows():
+        drawn = np.flatnonzero(counts.any(axis=1))
+        s = pa.array(held[0] * SUBJECT_BLOCK + drawn, pa.int64())
+        return pa.RecordBatch.from_arrays([s, pa.array([held[1]] * len(drawn), pa.int32()), pa.array([counts[i].tobytes() for i in drawn], pa.binary())], ["s", "chunk", "w"])
+
+    for batch in batches:
+        for block, chunk, first, picks in zip(*(batch.column(c).to_pylist() for c in ("block", "chunk", "first", "picks"))):
+            if held != (block, chunk):
+                if held is not None:
+                    yield rows()
+                held, counts = (block, chunk), np.zeros((SUBJECT_BLOCK, CHUNK), np.int32)
+            np.add.at(counts, (np.frombuffer(picks, np.uint16), np.frombuffer(first, np.uint16)), 1)
+    if held is not None:
+        yield rows()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, picks of its resamples) -> the picks packed by block of the drawn subject."""
+    for batch in batches:
+        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            picks, chunk = part.column("picks"), part.column("chunk").to_numpy()
+            drawn, sizes = picks.flatten().to_numpy(), np.diff(picks.offsets.to_numpy())
+            of = np.repeat(chunk, sizes)
+            place = np.arange(len(drawn)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            block = drawn // SUBJECT_BLOCK
+            order = np.lexsort((block, of))
+            new = np.append(True, (np.diff(block[order]) != 0) | (np.diff(of[order]) != 0)) if len(order) else np.zeros(0, bool)
+            cuts = np.append(np.flatnonzero(new), len(order))
+            local, first = (drawn % SUBJECT_BLOCK).astype(np.uint16)[order], place.astype(np.uint16)[order]
+            heads = order[cuts[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block[heads], pa.int64()),
+                    pa.array(of[heads], pa.int32()),
+                    pa.array([first[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([local[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
+                ],
+                ["block", "chunk", "first", "picks"],
+            )
+
+
+def resample_weights(subjects: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """(s, chunk, w): how often subject number s is drawn in the CHUNK resamples of a chunk, as packed integers.
 
     Draw j of resample b picks a subject by a digest of (seed, b, j), so every
-    draw is made by the task that holds it.
+    draw is made by the task that holds subject j, all resamples of a chunk in
+    one array. Draws travel packed by blocks of drawn subjects; a task adds up
+    one block of subjects and one chunk at a time. Subjects that a chunk never
+    draws have no row in it.
+    """
+    n = max(subjects.count(), 1)
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // CHUNK))).alias("chunk")
+    draws = subjects.select(F.col("s").alias("j"), chunks)
+    number = F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.lit(n_boot)) - 1)
+    pick = lambda b: hash_bucket(F.concat_ws("|", b.cast("string"), F.col("j").cast("string")), str(seed), n).cast("long")
+    packed = draws.select("chunk", F.transform(number, pick).alias("picks"))
+    dealt = packed.mapInArrow(_dealt, "block long, chunk int, first binary, picks binary")
+    return dealt.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_counted, "s long, chunk int, w binary")
+
+
+def _by_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, rank, pos, neg, w) -> weighted positives and negatives of every chunk and rank of a batch, as arrays."""
+    for batch in batches:
+        for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+            w = np.frombuffer(b"".join(part.column("w").to_pylist()), np.int32).reshape(-1, CHUNK).astype(np.int64)
+            chunk, rank, pos, neg = (part.column(c).to_numpy() for c in ("chunk", "rank", "pos", "neg"))
+            order = np.lexsort((rank, chunk))
+            start = np.flatnonzero(np.append(True, (np.diff(rank[order]) != 0) | (np.diff(chunk[order]) != 0)))
+            sums = [np.add.reduceat(w[order] * side[order, None], start, axis=0) for side in (pos, neg)]
+            heads = order[start]
+            columns = [pa.array(chunk[heads]), pa.array(rank[heads]), *(pa.array([r.tobytes() for r in side], pa.binary()) for side in sums)]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "rank", "pos", "neg"])
+
+
+def _ranked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(positives, negatives) of a block's ranks in order, one line a rank."""
+    rank = table.column("rank").to_numpy()
+    order = np.argsort(rank, kind="stable")
+    start = np.flatnonzero(np.append(True, np.diff(rank[order]) != 0))
+    sides = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64).reshape(-1, CHUNK)[order] for c in ("pos", "neg"))
+    return tuple(np.add.reduceat(side, start, axis=0) for side in sides)
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    pos, neg = (side.sum(axis=0) for side in _ranked(table))
+    chunk, block = (table.column(c)[0].as_py() for c in ("chunk", "block"))
+    b = np.arange(chunk * CHUNK, (chunk + 1) * CHUNK)
+    return pa.table({"b": b.astype(np.int32), "block": np.full(CHUNK, block), "pos": pos, "neg": neg})
+
+
+def _areas(table: pa.Table, sums: pa.Table) -> pa.Table:
+    """Sums over a block's ranks of the wins and of precision times positives, by resample.
+
+    ``sums`` has a row per resample: what lies below the block, and in all.
     """
-    n = subjects.count()
-    draws = subjects.select(F.col("s").alias("j")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    pick = hash_bucket(F.concat_ws("|", F.col("b").cast("string"), F.col("j").cast("string")), str(seed), max(n, 1))
-    return draws.groupBy("b", pick.cast("long").alias("s")).agg(F.count(F.lit(1)).alias("w"))
+    b = sums.column("b").to_numpy()
+    if not table.num_rows:
+        return pa.table({"b": b, "wins": np.zeros(len(b)), "gain": np.zeros(len(b))})
+    pos, neg = _ranked(table)
+    order = np.argsort(b)
+    below_pos, below_neg, all_pos, all_neg = (sums.column(c).to_numpy()[order] for c in ("pos_below", "neg_below", "all_pos", "all_neg"))
+    cum_pos, cum_neg = below_pos + np.cumsum(pos, axis=0), below_neg + np.cumsum(neg, axis=0)
+    tp, fp = all_pos - cum_pos + pos, all_neg - cum_neg + neg
+    precision = tp / np.maximum(tp + fp, 1)
+    return pa.table({"b": b[order], "wins": (pos * (cum_neg - neg / 2.0)).sum(axis=0), "gain": (pos * precision).sum(axis=0)})
 
 
 def bootstrap_metrics(df: DataFrame, score: str, y: str, subject: str, n_boot: int, seed: int) -> DataFrame:
-    """(b, auroc, auprc) per resample of whole subjects; degenerate ones drop out."""
+    """(b, auroc, auprc) per resample of whole subjects; degenerate ones drop out.
+
+    Rows are reduced to counts by subject and distinct score. Each meets its
+    subject's weights, an array over the resamples of a chunk; arrays of one
+    score are added up by the tasks before they move. Blocks of RANK_BLOCK scores
+    are scanned as arrays, first for their sums, then, with the sums of the
+    scores below them, for both areas.
+    """
     ordered = df.select(F.col(score).alias("score")).filter("score IS NOT NULL").distinct()
     scores = dense_index(ordered, [F.col("score")], "rank")
     subjects = cut_lineage(dense_index(df.select(subject).distinct(), [F.col(subject)], "s"))
@@ -103,27 +219,26 @@ def bootstrap_metrics(df: DataFrame, score: str, y: str, subject: str, n_boot: i
         .groupBy(subject, "score")
         .agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
         .join(subjects, subject)
-        .join(scores, "score")
-        .select("s", "rank", "pos", "neg")
-    )
-    weighted = (
-        counts.join(subject_resamples(subjects, n_boot, seed), "s")
-        .groupBy("b", "rank")
-        .agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
     )
-    table = block_scan(
-        weighted, F.floor(F.col("rank") / BLOCK_ROWS), [F.col("rank")],
-        {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, by=["b"],
-    )
-    sums = weighted.groupBy("b").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    precision = _precision_at(*[F.col(c) for c in ("pos", "neg", "cum_pos", "cum_neg", "all_pos", "all_neg")])
-    return (
-        table.join(sums.filter("all_pos > 0 AND all_neg > 0"), "b")
-        .groupBy("b")
-        .agg(
-            _area(F.col("pos"), F.col("neg"), F.col("cum_neg")).alias("auroc"),
-            (F.sum(precision * F.col("pos")) / F.max("all_pos")).alias("auprc"),
-        )
+    counts = cut_lineage(salted_join(counts, cut_lineage(scores), "score", ["s"]).select("s", "rank", "pos", "neg"))
+    weights = cut_lineage(resample_weights(subjects, n_boot, seed))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // CHUNK))).alias("chunk")
+    spread = counts.select("*", chunks).withColumn("at", F.struct("s", "chunk"))
+    packed = weights.select(F.struct("s", "chunk").alias("at"), "w")
+    met = salted_join(spread, packed, "at", ["rank"], broadcast_bytes=BROADCAST_BYTES // 4)  # a row is four times its estimate
+    summed = met.select("chunk", "rank", "pos", "neg", "w").mapInArrow(_by_rank, "chunk int, rank long, pos binary, neg binary")
+    table = cut_lineage(summed.withColumn("block", F.floor(F.col("rank") / RANK_BLOCK)))
+    sums = cut_lineage(table.groupBy("chunk", "block").applyInArrow(_totals, "b int, block long, pos long, neg long"))
+    totals = sums.groupBy("b").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    earlier = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    below = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_below") for c in ("pos", "neg")]
+    bases = sums.select("b", "block", *below).join(totals, "b").withColumn("chunk", F.floor(F.col("b") / CHUNK).cast("int"))
+    both = table.groupBy("chunk", "block").cogroup(bases.groupBy("chunk", "block"))
+    areas = both.applyInArrow(_areas, "b int, wins double, gain double")
+    joined = areas.groupBy("b").agg(F.sum("wins").alias("wins"), F.sum("gain").alias("gain")).join(totals, "b")
+    kept = joined.filter((F.col("b") < n_boot) & (F.col("all_pos") > 0) & (F.col("all_neg") > 0))
+    return kept.select(
+        "b", (F.col("wins") / (F.col("all_pos") * F.col("all_neg")).cast("double")).alias("auroc"), (F.col("gain") / F.col("all_pos")).alias("auprc")
     )
 
 

@@ -622,18 +622,24 @@ def work_balanced_cuts(spark, d):
 # -------------------------------------------------------------------- bootstrap
 N_BOOT = 1000
 
-_BOOT_SQL = UNITS_SQL + f""",
-perm AS (SELECT b, idx, n, row_number() OVER w - 1 AS pos, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS cs,
-                count(*) OVER (PARTITION BY b) AS nu, sum(n) OVER (PARTITION BY b) AS total
-         FROM units, (SELECT unnest(range({N_BOOT + 1})) AS b)
+_BOOT_TAIL = f"""
+perm AS (SELECT b, n, c, row_number() OVER w - 1 AS pos, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS cs,
+                count(*) OVER (PARTITION BY b) AS nu, sum(n) OVER (PARTITION BY b) AS total, sum(c) OVER (PARTITION BY b) AS whole
+         FROM costs, (SELECT unnest(range({N_BOOT + 1})) AS b)
          WINDOW w AS (PARTITION BY b ORDER BY CASE WHEN b = 0 THEN lpad(idx::VARCHAR, 16, '0')
                       ELSE sha256(concat('20260728|', b, '|', idx)) END)),
 dealt AS (
-  SELECT b, p, 'block' AS strategy, ((pos + 1) * p - 1) // nu AS worker, n, total FROM perm, (VALUES (8), (16), (96)) AS g(p) UNION ALL
-  SELECT b, p, 'cyclic', pos % p, n, total FROM perm, (VALUES (8), (16), (96)) AS g(p) UNION ALL
-  SELECT b, p, 'nzbalanced', least(p - 1, floor((cs - n / 2.0::DOUBLE) * p / total)), n, total FROM perm, (VALUES (8), (16), (96)) AS g(p)),
-eff AS (SELECT b, p, strategy, max(total)::DOUBLE / max(p) / max(load) AS efficiency FROM (
-          SELECT b, p, strategy, worker, sum(n) AS load, max(total) AS total FROM dealt GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"""
+  SELECT b, p, 'block' AS strategy, ((pos + 1) * p - 1) // nu AS worker, c, whole FROM perm, (VALUES (8), (16), (96)) AS g(p) UNION ALL
+  SELECT b, p, 'cyclic', pos % p, c, whole FROM perm, (VALUES (8), (16), (96)) AS g(p) UNION ALL
+  SELECT b, p, 'nzbalanced', least(p - 1, floor((cs - n / 2.0::DOUBLE) * p / total)), c, whole FROM perm, (VALUES (8), (16), (96)) AS g(p)),
+eff AS (SELECT b, p, strategy, max(whole)::DOUBLE / max(p) / max(load) AS efficiency FROM (
+          SELECT b, p, strategy, worker, sum(c) AS load, max(whole) AS whole FROM dealt GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"""
+_BOOT_SQL = UNITS_SQL + ", costs AS (SELECT idx, n, n AS c FROM units)," + _BOOT_TAIL
+_BOOT_SUMMARY = """ SELECT p, strategy, quantile_cont(e.efficiency, 0.025) AS p2_5, quantile_cont(e.efficiency, 0.975) AS p97_5,
+        count(*) AS n_boot, avg(e.efficiency) AS boot_mean, stddev_samp(e.efficiency) AS boot_sd, max(c.efficiency) AS canonical,
+        100 * avg((e.efficiency <= c.efficiency)::INT) AS percentile,
+        100 * avg((e.efficiency <= c.efficiency)::INT) NOT BETWEEN 5 AND 95 AS flagged
+      FROM eff e JOIN (SELECT p, strategy, efficiency FROM eff WHERE b = 0) c USING (p, strategy) WHERE b > 0 GROUP BY 1, 2"""
 
 
 @query(
@@ -648,11 +654,7 @@ def permutation_efficiencies(spark, d):
 
 @query(
     "permutation_bootstrap",
-    oracle=_BOOT_SQL + """ SELECT p, strategy, quantile_cont(e.efficiency, 0.025) AS p2_5, quantile_cont(e.efficiency, 0.975) AS p97_5,
-        count(*) AS n_boot, avg(e.efficiency) AS boot_mean, stddev_samp(e.efficiency) AS boot_sd, max(c.efficiency) AS canonical,
-        100 * avg((e.efficiency <= c.efficiency)::INT) AS percentile,
-        100 * avg((e.efficiency <= c.efficiency)::INT) NOT BETWEEN 5 AND 95 AS flagged
-      FROM eff e JOIN (SELECT p, strategy, efficiency FROM eff WHERE b = 0) c USING (p, strategy) WHERE b > 0 GROUP BY 1, 2""",
+    oracle=_BOOT_SQL + _BOOT_SUMMARY,
     doubles="p2_5 p97_5 boot_mean boot_sd canonical percentile",
     ints="p",
 )
@@ -660,6 +662,19 @@ def permutation_bootstrap(spark, d):
     return bs.summarise_bootstrap(cut_lineage(bs.efficiencies(doc_units(spark, d), [8, 16, 96], N_BOOT)))
 
 
+@query(
+    "permutation_bootstrap_work",
+    oracle=_WORK_SQL + ", costs AS (SELECT idx, n, 100 * n + 531 * k AS c FROM w)," + _BOOT_TAIL + _BOOT_SUMMARY,
+    doubles="p2_5 p97_5 boot_mean boot_sd canonical percentile",
+    ints="p",
+)
+def permutation_bootstrap_work(spark, d):
+    """Cut by records, loads in modelled work (100 n + 531 k)."""
+    units = work_units(spark, d)
+    costs = units.select("idx", "n", (100 * F.col("n") + 531 * F.col("k")).alias("work"))
+    return bs.summarise_bootstrap(cut_lineage(bs.efficiencies(costs, [8, 16, 96], N_BOOT, cost="work")))
+
+
 @query(
     "forecast_asymptotic",
     oracle=UNITS_SQL + """ SELECT p, nu::DOUBLE / p AS m, cv, 1 / (1 + cv / sqrt(nu::DOUBLE / p) * sqrt(2 * ln(p))) AS asymptotic
