@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.scalars import clip
+from talus.functions.scalars import clip, order_bits
 from talus.session import broadcast_counted
 
 # Aggregate order of the feature matrix and the cost model.
 AGGREGATES = ("count", "mean", "min", "max", "std", "first", "last", "slope")
 RECORD_COST = 5.31
+ID_LIMIT = 1 << 26
 
 
 def _as_stored(name: str) -> Column:
@@ -36,17 +37,33 @@ def slotted(records: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
+def record_order() -> Column:
+    """The order (t, id, stored value) of a record as one number of 38 digits.
+
+    64 bits of time, 26 of the dictionary id, 35 of the single-precision value:
+    records that agree in all three give equal features. An id beyond 26 bits
+    raises an error.
+    """
+    value = F.shiftright(order_bits(_as_stored("value_exact")), 29) + F.lit(1 << 34)
+    fits = (F.col("dense_id") >= 0) & (F.col("dense_id") < ID_LIMIT)
+    known = F.when(fits, F.col("dense_id").cast("long")).otherwise(F.raise_error(F.lit("dictionary id beyond 26 bits")).cast("long"))
+    low = known * F.lit(1 << 35) + value
+    wide = order_bits(F.col("t_exact").cast("double")).cast("decimal(20,0)") * F.lit(1 << 61).cast("decimal(19,0)")
+    return (wide + low.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def kernel(records: DataFrame, lookup: DataFrame) -> DataFrame:
     """Long feature table, one row per non-empty (row_index, slot).
 
-    A single grouped aggregation: every aggregate merges, so a unit holding a
-    large share of the records is reduced map-side before the shuffle. First
-    and last follow the stored record order (t, id, value).
+    A single grouped hash aggregation: every aggregate merges in a buffer of
+    fixed width, so a unit holding a large share of the records is reduced
+    map-side before the shuffle, and nothing is sorted. First and last follow
+    the stored record order (t, id, value).
     """
-    order = F.struct("t_exact", "dense_id", "value_exact")
+    keyed = slotted(records, lookup).withColumn("order", record_order())
+    order = F.col("order")
     return (
-        slotted(records, lookup)
-        .groupBy("row_index", "slot")
+        keyed.groupBy("row_index", "slot")
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.avg("v").alias("mean"),

@@ -1,10 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from talus.functions.scalars import order_bits
 from talus.operators import kernel as k
 from talus.operators import records as rec
+from talus.plans import load_all
 
 RECORDS = [
     # ties on t: the dense id decides, then the value
@@ -78,3 +81,42 @@ def test_window_prefix_check_finds_a_lost_record(frames):
     assert rec.prefix_violations(records, window, 4.0).count() == 0
     broken = window.filter("NOT (row_index = 0 AND dense_id = 0)")
     assert [(r["row_index"], r["n_diff"]) for r in rec.prefix_violations(records, broken, 4.0).collect()] == [(0, 1)]
+
+
+def test_order_bits_order_as_doubles(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal(300), 10.0 ** rng.uniform(-300, 300, 300), 2.0 ** np.arange(-60, 60), -(2.0 ** np.arange(-60, 60))])
+    x = np.concatenate([x, np.nextafter(x, 1e308), [0.0, -0.0, 5e-324, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan")]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", order_bits(F.col("x")).alias("bits"))
+    rows = [(r["x"], r["bits"]) for r in df.collect()]
+    finite = sorted([r for r in rows if abs(r[0]) >= 2.0**-1022 or r[0] == 0], key=lambda r: r[0])
+    for (a, p), (b, q) in zip(finite, finite[1:]):
+        assert (p < q) if a < b else (p == q)
+    assert max(b for v, b in rows if v == v) < next(b for v, b in rows if v != v)
+    assert all(b == 0 for v, b in rows if abs(v) < 2.0**-1022)
+
+
+def test_first_and_last_break_ties_by_id_and_value(spark):
+    """Ties in time, id and stored value, in any order and spread over partitions, against a plain sort."""
+    rng = np.random.default_rng(6)
+    records = [(int(u), float(t), int(i), float(v)) for u, t, i, v in zip(rng.integers(0, 3, 400), rng.integers(-1, 3, 400) / 3, rng.integers(0, 3, 400), rng.integers(-3, 3, 400) / 7)]
+    lookup = [(0, 0, 2.0, 0.0, -50.0, 50.0), (1, 0, -1.0, 1.0, -50.0, 50.0), (2, 0, 1.0, 0.0, -50.0, 50.0)]
+    df = spark.createDataFrame(records, "row_index bigint, t double, dense_id int, value double").repartition(7)
+    known = spark.createDataFrame(lookup, "dense_id int, slot int, vscale double, voffset double, lo double, hi double")
+    by_id = {r[0]: r for r in lookup}
+    for row in k.kernel(df, known).collect():
+        own = sorted(r[1:] for r in records if r[0] == row["row_index"])
+        stored = lambda r: float(np.float32(r[2])) * by_id[r[1]][2] + by_id[r[1]][3]
+        assert row["first"] == stored(own[0]) and row["last"] == stored(own[-1])
+
+
+def test_kernel_sorts_nothing(spark, sf_dir):
+    plan = load_all()[0]["kernel_events"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
+
+
+def test_large_ids_are_refused(spark):
+    df = spark.createDataFrame([(1, 0.5, 1 << 26, 1.0)], "row_index bigint, t double, dense_id int, value double")
+    known = spark.createDataFrame([(1 << 26, 0, 1.0, 0.0, 0.0, 9.0)], "dense_id int, slot int, vscale double, voffset double, lo double, hi double")
+    with pytest.raises(Exception, match="26 bits"):
+        k.kernel(df, known).collect()

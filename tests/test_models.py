@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -116,3 +118,44 @@ def test_permutation_zero_is_the_given_order(spark):
     cut[0], cut[-1] = 0, 200
     assert eff[(0, "nzbalanced")] == pytest.approx(cs[-1] / 8 / (cs[cut[1:]] - cs[cut[:-1]]).max())
     assert eff[(1, "block")] != eff[(2, "block")]
+
+
+def test_permutations_in_blocks_equal_whole_ones(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(n), int(c)) for i, (n, c) in enumerate(zip(rng.integers(0, 40, 300), rng.integers(1, 9, 300)))]
+    units = spark.createDataFrame(rows, "idx bigint, n bigint, work bigint")
+    found = []
+    for size in (bs.BLOCK_ROWS, 20):
+        monkeypatch.setattr(bs, "BLOCK_ROWS", size)
+        found.append(sorted(tuple(r) for r in bs.efficiencies(units, [3, 7], 4, cost="work").collect()))
+    assert found[0] == found[1] and len(found[0]) == 5 * 2 * 3
+    own = {(r[0], r[1], r[2]): r[3] for r in found[0]}
+    work = np.array([r[2] for r in rows])
+    for b in (2, 3):
+        order = sorted(range(300), key=lambda i: hashlib.sha256(f"{bs.BOOT_SEED}|{b}|{i}".encode()).hexdigest())
+        loads = [work[order][w::7].sum() for w in range(7)]
+        assert own[b, 7, "cyclic"] == pytest.approx(work.sum() / 7 / max(loads))
+    assert bs.efficiencies(units.filter("idx < 0"), [3], 2).count() == 0
+
+
+def test_resampled_metrics_equal_plain_resampling(spark):
+    """Several chunks of resamples, blocks of subjects and of scores; one score holds a third of the rows."""
+    rng = np.random.default_rng(9)
+    n, seed, n_boot = 4000, 77, 300
+    rows = [(int(i % 1500), 0.5 if i % 3 == 0 else float(rng.random()), int(rng.random() < 0.2)) for i in range(n)] + [(7, None, 1)]
+    df = spark.createDataFrame(rows, "subject int, score double, y int")
+    found = {r["b"]: r for r in ra.bootstrap_metrics(df, "score", "y", "subject", n_boot, seed).collect()}
+    assert sorted(found) == list(range(n_boot))
+    subjects = sorted({r[0] for r in rows})
+    for b in (0, 1, 255, 256, 299):
+        draws = [int(hashlib.sha256(f"{seed}|{b}|{j}".encode()).hexdigest()[:16], 16) % len(subjects) for j in range(len(subjects))]
+        weight = np.bincount(draws, minlength=len(subjects))
+        known = [(s, y, weight[subjects.index(subject)]) for subject, s, y in rows if s is not None]
+        score, y, w = (np.array(c, float) for c in zip(*known))
+        pos, neg = w * y, w * (1 - y)
+        at = np.unique(score, return_inverse=True)[1]
+        p, q = np.bincount(at, pos), np.bincount(at, neg)
+        auroc = (p * (np.cumsum(q) - q / 2)).sum() / p.sum() / q.sum()
+        tp, m = np.cumsum(p[::-1])[::-1], np.cumsum((p + q)[::-1])[::-1]
+        assert found[b]["auroc"] == pytest.approx(auroc, abs=1e-12)
+        assert found[b]["auprc"] == pytest.approx((p * tp / np.maximum(m, 1)).sum() / p.sum(), abs=1e-12)
