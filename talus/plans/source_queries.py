@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from talus.operators import telemetry as te
 from talus.plans.adapters import oracle_prefix, relation, table
-from talus.plans.feature_queries import SPEC_SQL, specification
+from talus.plans.feature_queries import EVENT_TYPES, SPEC_SQL, event_records, specification
 from talus.plans.registry import query
 from talus.plans.telemetry_queries import PROBLEMS_SQL
 from talus.session import ensure_checkpoint_dir
 from talus.sinks import files as sink
-from talus.sources import files
+from talus.sources import arrays, files
 
 
 def folder(spark) -> str:
@@ -67,3 +67,31 @@ def lookup_round_trip(spark, d):
     names = ["dense_id", "slot", "vscale", "voffset", "lo", "hi", "bounds_src"]
     lookup.select(*names).write.option("header", True).csv(path)
     return files.read_lookup(spark, path, lookup.count()).select(*names[:-1])
+
+
+_CODES = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(EVENT_TYPES))
+
+
+@query(
+    "ragged_round_trip",
+    oracle=f"""SELECT user_id AS row_index, CASE event_type {_CODES} END AS dense_id,
+        (date_diff('microsecond', min(ts) OVER (PARTITION BY user_id), ts) / 1e6 / 3600.0)::FLOAT::DOUBLE AS t, value::FLOAT::DOUBLE AS value FROM events""",
+    doubles="t value",
+    ints="row_index dense_id",
+)
+def ragged_round_trip(spark, d):
+    """All event records through raw arrays: written in parts by a range sort, read back by byte ranges."""
+    path = folder(spark)
+    arrays.write_ragged(event_records(spark, d), path)
+    return arrays.read_ragged(spark, path)
+
+
+@query(
+    "ragged_unit_counts",
+    oracle="SELECT user_id AS row_index, count(*) AS n FROM events GROUP BY user_id",
+    ints="row_index n",
+)
+def ragged_unit_counts(spark, d):
+    path = folder(spark)
+    arrays.write_ragged(event_records(spark, d), path)
+    return arrays.read_ragged(spark, path).groupBy("row_index").agg(F.count(F.lit(1)).alias("n"))

@@ -1,46 +1,22 @@
-"""Ragged arrays stored as raw little-endian files.
-
-Files are read as fixed-length binary records, which Hadoop splits, so a file
-of any size is decoded by many tasks.
-"""
+"""Ragged arrays stored as raw little-endian files: records, units, manifests, digests."""
 
 from __future__ import annotations
 
 import json
-from itertools import islice
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators.records import expand
-
-CHUNK = 1 << 16  # elements decoded at once
-DTYPES = {"i32": ("<i4", "bigint"), "i64": ("<i8", "bigint"), "u32": ("<u4", "bigint"), "u64": ("<u8", "bigint"), "f32": ("<f4", "float")}
-
-
-def read_array(spark: SparkSession, path: str, kind: str, name: str = "x") -> DataFrame:
-    """(pos, x) of a raw array file."""
-    if kind not in DTYPES:
-        raise ValueError(f"dtype {kind} not in {sorted(DTYPES)}")
-    dtype, sql_type = DTYPES[kind]
-
-    def decode(pairs):
-        while rows := list(islice(pairs, CHUNK)):
-            values = np.frombuffer(b"".join(raw for raw, _ in rows), dtype=dtype)
-            yield from zip((i for _, i in rows), values.tolist())
-
-    records = spark.sparkContext.binaryRecords(path, np.dtype(dtype).itemsize).zipWithIndex()
-    return spark.createDataFrame(records.mapPartitions(decode), f"pos bigint, {name} {sql_type}")
+from talus.operators.records import csr_order
+from talus.sources import ragged
 
 
 def read_offsets(spark: SparkSession, path: str, kind: str = "i64") -> DataFrame:
     """(idx, n, start, stop) per unit; rejects short, falling and empty offsets."""
-    offsets = read_array(spark, path, kind, "start")
-    ends = offsets.select((F.col("pos") - 1).alias("pos"), F.col("start").alias("stop"))
-    units = offsets.join(ends, "pos").select(
-        F.col("pos").alias("idx"), (F.col("stop") - F.col("start")).alias("n"), "start", "stop"
-    )
+    if kind not in ragged.KINDS:
+        raise ValueError(f"dtype {kind} not in {sorted(ragged.KINDS)}")
+    spark.dataSource.register(ragged.RaggedSource)
+    units = spark.read.format("ragged").option("content", "units").option("kind", kind).load(path)
     row = units.agg(F.count(F.lit(1)).alias("n_units"), F.min("n").alias("low"), F.sum("n").alias("total")).first()
     if row["n_units"] < 1:
         raise ValueError(f"{path}: offsets need at least two entries")
@@ -52,19 +28,29 @@ def read_offsets(spark: SparkSession, path: str, kind: str = "i64") -> DataFrame
 
 
 def read_ragged(spark: SparkSession, folder: str) -> DataFrame:
-    """(row_index, dense_id, t, value) of a ragged-array folder."""
-    units = read_offsets(spark, f"{folder}/offsets.i64")
-    owner = expand(units.select("idx", "start", "stop")).withColumnRenamed("idx", "row_index")
-    arrays = (
-        read_array(spark, f"{folder}/itemid.i32", "i32", "dense_id")
-        .join(read_array(spark, f"{folder}/t.f32", "f32", "t"), "pos")
-        .join(read_array(spark, f"{folder}/value.f32", "f32", "value"), "pos")
-    )
-    joined = owner.join(arrays, "pos", "full")
-    lost = joined.filter("row_index IS NULL OR dense_id IS NULL").limit(1).count()
-    if lost:
-        raise ValueError(f"{folder}: array lengths and offsets disagree")
-    return joined.select("row_index", F.col("dense_id").cast("int").alias("dense_id"), "t", "value")
+    """(row_index, dense_id, t, value) of a ragged-array folder, whole or in parts.
+
+    Lengths are checked at once, from file sizes and the last offsets; falling
+    offsets are refused by the task that reads them.
+    """
+    ragged.parts_of(folder)
+    spark.dataSource.register(ragged.RaggedSource)
+    return spark.read.format("ragged").load(folder)
+
+
+def write_ragged(records: DataFrame, folder: str, n_units: int | None = None) -> None:
+    """Records in the canonical order as parts of a new ragged-array folder.
+
+    One range sort by the whole key: a large unit spans several parts. A part is
+    written by one task and counts once the manifest names it, so a task that is
+    run again leaves nothing behind that is read. ``n_units`` counts units with
+    higher numbers than the last record's, which have none.
+    """
+    spark = records.sparkSession
+    spark.dataSource.register(ragged.RaggedSource)
+    columns = [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in ragged.RECORDS.split(", ")]
+    writer = csr_order(records).select(*columns).write.format("ragged").mode("append")
+    (writer if n_units is None else writer.option("n_units", n_units)).save(folder)
 
 
 def manifest_check(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from talus.sinks import files as sink
-from talus.sources import arrays, files, schemas
+from talus.sources import arrays, files, ragged, schemas
 
 
 def test_gzip_csv_with_breaks_and_quotes(spark, tmp_path):
@@ -54,6 +54,55 @@ def test_ragged_length_mismatch_is_refused(spark, tmp_path):
         arrays.read_ragged(spark, str(tmp_path))
 
 
+def test_ragged_parts_come_back(spark, tmp_path):
+    """A unit with most of the records spans parts, units without records lie between, before and behind."""
+    rng = np.random.default_rng(2)
+    units = [3] * 500 + [9] * 40 + [4] * 3 + [20]
+    rows = [(u, float(np.float32(t)), int(i), float(np.float32(v))) for u, t, i, v in zip(units, rng.random(len(units)), rng.integers(0, 5, len(units)), rng.random(len(units)))]
+    df = spark.createDataFrame(rows, "row_index int, t double, dense_id int, value double")
+    folder = str(tmp_path / "ragged")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so few rows would make one part
+    try:
+        arrays.write_ragged(df.repartition(5), folder, n_units=30)
+    finally:
+        spark.conf.unset(coalesce)
+    manifest = json.loads((tmp_path / "ragged" / "parts.json").read_text())
+    assert manifest["n_stays"] == 30 and manifest["n_records"] == len(rows)
+    assert sum(p["first_unit"] <= 3 < p["first_unit"] + p["n_units"] for p in manifest["parts"]) > 1
+    back = arrays.read_ragged(spark, folder)
+    assert sorted((r["row_index"], r["t"], r["dense_id"], r["value"]) for r in back.collect()) == sorted(rows)
+    stray = tmp_path / "ragged" / "part-000000-999"  # left behind by a task that ran twice
+    stray.mkdir()
+    (stray / "t.f32").write_bytes(b"junk")
+    assert arrays.read_ragged(spark, folder).count() == len(rows)
+    arrays.write_ragged(df.filter("t < 0"), str(tmp_path / "none"))
+    assert json.loads((tmp_path / "none" / "parts.json").read_text())["parts"] == []
+
+
+def test_any_range_of_records_finds_its_units(tmp_path):
+    sizes = [0, 0, 4, 0, 1, 7, 0, 0, 3, 0]
+    n = sum(sizes)
+    write_ragged(tmp_path, sizes, range(n), range(n), range(n))
+    owner = np.repeat(np.arange(len(sizes)), sizes).tolist()
+    reader = ragged._RecordReader(str(tmp_path))
+    (whole,) = reader.partitions()
+    assert (whole.start, whole.stop, whole.n_units) == (0, n, len(sizes))
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            (batch,) = reader.read(ragged.Part(str(tmp_path), 100, len(sizes), a, b))
+            assert batch.column("row_index").to_pylist() == [100 + u for u in owner[a:b]]
+            assert batch.column("dense_id").to_pylist() == list(range(a, b))
+
+
+def test_unsorted_records_are_not_written(spark, tmp_path):
+    spark.dataSource.register(ragged.RaggedSource)
+    rows = spark.createDataFrame([(5, 0, 0.0, 0.0), (1, 0, 0.0, 0.0)], ragged.RECORDS).coalesce(1)
+    with pytest.raises(Exception, match="not sorted"):
+        rows.write.format("ragged").mode("append").save(str(tmp_path / "x"))
+    assert not (tmp_path / "x" / ragged.MANIFEST).exists()
+
+
 def test_lookup_is_completed(spark, tmp_path):
     path = tmp_path / "lookup.csv"
     path.write_text("dense_id,slot,vscale,voffset,lo,hi,bounds_src\n0,3,0.5,1.0,2.0,9.0,own\n2,-1,1,0,-1e30,1e30,dropped\n")
