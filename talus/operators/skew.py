@@ -6,9 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators.prefix import dense_index
-from talus.session import BROADCAST_BYTES, row_bytes
+from talus.session import BROADCAST_BYTES, cut_lineage, row_bytes
 
-SALTS = 16
+SHARES = 2
+
+
+def heavy_keys(big: DataFrame, key: str, parts: int) -> DataFrame:
+    """(key, salts) of the keys with more than 1 / (SHARES parts) of all rows; salts cut each into about that share.
+
+    There are fewer than SHARES x parts of them, whatever the data: a proven
+    bound for a broadcast. Rows are counted map-side, one row per key is written.
+    """
+    counts = cut_lineage(big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    share = max(1, -(-total // (SHARES * parts)))
+    return cut_lineage(counts.where(F.col("_rows") > share).select(key, F.ceil(F.col("_rows") / share).cast("int").alias("_salts")))
+
+
+def copies(small: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
+    """The unique side with a row for each salt of its key: one, but for heavy keys."""
+    last = F.coalesce("_salts", F.lit(1)) - 1
+    return small.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
 
 
 def salted_join(
@@ -17,21 +35,23 @@ def salted_join(
     """Inner join of many rows per ``key`` with one row per ``key``.
 
     A unique side counted to be small is broadcast, which moves no row of the
-    other side. Otherwise the rows of a key are spread over ``salts`` join keys
-    by a hash of the ``spread`` columns (a function of the row, so a recomputed
-    task places it the same way) and the unique side is copied once per salt.
-    AQE's own skew split does not help there: an aggregation by the same key
-    would reuse the join's partitioning and pin a hot key to one task. With the
-    salt in the join key the aggregation gets its own map-side combine and
-    shuffle. By default there are as many salts as shuffle partitions, so that
-    one key can use all tasks.
+    other side. Otherwise the weights of the keys are measured, and the rows of
+    each heavy key are spread over as many join keys as its share of the rows
+    needs, by a hash of the ``spread`` columns (a function of the row, so a
+    recomputed task places it the same way). Only heavy keys of the unique side
+    are copied. AQE's own skew split does not help there: an aggregation by the
+    same key would reuse the join's partitioning and pin a hot key to one task.
+    With the salt in the join key the aggregation gets its own map-side combine
+    and shuffle. ``salts`` is the number of tasks to spread over, by default
+    the shuffle partitions.
     """
     if small.count() * row_bytes(small.schema) <= broadcast_bytes:
         return big.join(F.broadcast(small), key)
-    salts = salts or max(SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")
+    parts = salts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(big, key, parts)
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = big.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt).drop("_salts")
+    return salted.join(copies(small, heavy, key), [key, "_salt"]).drop("_salt")
 
 
 def lag_within(df: DataFrame, key: str, order: str, column: str, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from talus.operators.skew import lag_within, salted_join
+from talus.operators.skew import copies, heavy_keys, lag_within, salted_join
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
@@ -25,6 +25,24 @@ def test_hot_key_is_spread_before_an_aggregation(spark):
     assert text.count("Exchange hashpartitioning") == 3 and "partial_count" in text
 
 
+def test_only_heavy_keys_are_copied(spark):
+    """One key with 90 % of the rows: it is spread over the tasks, the other 999 keys are copied once."""
+    big = spark.range(20_000).selectExpr("id", "CASE WHEN id % 10 < 9 THEN 7 WHEN id % 10 = 9 AND id % 50 = 9 THEN NULL ELSE id % 1000 END AS k")
+    small = spark.range(1000).selectExpr("id AS k", "id * 10 AS v")
+    heavy = heavy_keys(big, "k", 8)
+    (row,) = heavy.collect()
+    assert row["k"] == 7 and 14 <= row["_salts"] <= 16
+    assert copies(small, heavy, "k").count() == 999 + row["_salts"]
+    got = sorted(tuple(r) for r in salted_join(big, small, "k", ["id"], broadcast_bytes=0).select("id", "k", "v").collect())
+    assert got == sorted(tuple(r) for r in big.join(small, "k").select("id", "k", "v").collect())
+    assert heavy_keys(big.where("id < 0"), "k", 8).count() == 0
+
+
+def test_even_keys_are_not_copied(spark):
+    big = spark.range(5000).selectExpr("id", "id % 500 AS k")
+    assert heavy_keys(big, "k", 8).count() == 0
+
+
 def test_lag_with_null_keys(spark):
     rows = [("a", t, t * t % 7) for t in (0, 2, 5, 9)] + [("b", t, t) for t in range(300)] + [(None, 1, 10), (None, 2, 20)]
     df = spark.createDataFrame(rows, "k string, t int, v int").repartition(5)
