@@ -200,6 +200,24 @@ def floor_audit(points: DataFrame, load: Workload) -> DataFrame:
     )
 
 
+def atomic_register(load: Workload, registered: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(quantity, measured, registered, ok): units, records, largest unit and p_atom against registered values."""
+    known = load.units.agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n_records"), F.max("n").alias("largest"))
+    known = known.withColumn("p_atom", safe_ratio(F.col("n_records"), F.col("largest")))
+    names = ["n_units", "n_records", "largest", "p_atom"]
+    long = known.select(*[F.col(n).cast("double") for n in names]).unpivot([], names, "quantity", "measured")
+    gap = F.abs(F.col("measured") - F.col("registered"))
+    ok = F.coalesce(gap <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col("registered"))), F.lit(False))
+    return long.join(registered.select("quantity", "registered"), "quantity", "left").withColumn("ok", ok)  # four rows
+
+
+def atomic_floors(load: Workload, ps: Iterable[int] = FAR_FIELD) -> DataFrame:
+    """(p, floor): the imbalance that no cut can beat, p * largest / records."""
+    schema = "p bigint, largest bigint, total bigint"
+    rows = load.rows(lambda s: [(int(p), s.largest, s.total) for p in ps], schema)
+    return rows.select(*load.keys, "p", safe_ratio(F.col("p") * F.col("largest"), F.col("total")).alias("floor"))
+
+
 def speedup_against_first(points: DataFrame, order: str, value: str) -> DataFrame:
     first = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return points.withColumn("speedup", F.col(value) / F.first(value).over(first))

@@ -363,6 +363,35 @@ def paired_sign(runs: DataFrame, threads: DataFrame) -> DataFrame:
     ).withColumn("sign", F.signum("gain_pct").cast("int"))
 
 
+# The interval of an earlier estimate of the remote-memory penalty, in percent.
+PENALTY_BAND = (0.79, 1.70)
+
+
+def paired_halves(pairs: DataFrame, change: str = "gain_pct") -> DataFrame:
+    """Mean change of the lower and the upper half of the threads, the penalty they imply, and the sign test.
+
+    ``pairs`` has one row per tid. Both arms expose the same cores the other way
+    round, so the lower half should gain and the upper half lose; half the gap of
+    the means is the cost of all-remote memory.
+    """
+    known = pairs.filter(F.col(change).isNotNull())
+    half = F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / 2)  # one row per tid of one machine
+    low = F.col("tid") < F.col("half")
+    value = F.col(change)
+    sums = known.withColumn("half", half).agg(
+        F.max("half").alias("half"),
+        F.avg(F.when(low, value)).alias("low_mean"),
+        F.avg(F.when(~low, value)).alias("high_mean"),
+        F.count_if(low & (value > 0)).alias("low_positive"),
+        F.count_if(~low & (value < 0)).alias("high_negative"),
+        F.count(F.lit(1)).alias("n_threads"),
+    )
+    penalty = (F.col("low_mean") - F.col("high_mean")) / 2
+    return sums.withColumn("penalty_pct", penalty).withColumn("n_predicted", F.col("low_positive") + F.col("high_negative")).withColumn(
+        "consistent", F.col("penalty_pct").between(*PENALTY_BAND)
+    )
+
+
 def partition_sweep(runs: DataFrame, predictions: DataFrame) -> DataFrame:
     """Measured against predicted imbalance; runs that failed identity drop out."""
     keys = ["p", "partitioner"]

@@ -565,6 +565,37 @@ def floor_audit(spark, d):
     return ad.floor_audit(ad.curve(load, PAIRS), load)
 
 
+_REGISTER_SQL = """SELECT count(*)::DOUBLE AS n_units, sum(length(text))::DOUBLE AS n_records, max(length(text))::DOUBLE AS largest,
+  sum(length(text))::DOUBLE / max(length(text)) AS p_atom FROM documents"""
+
+
+@query(
+    "atomic_register",
+    oracle=UNITS_SQL + f""" SELECT name AS quantity, measured, registered, coalesce(abs(measured - registered) <= 1e-9 * greatest(1, abs(registered)), false) AS ok
+      FROM (UNPIVOT (SELECT count(*)::DOUBLE AS n_units, sum(n)::DOUBLE AS n_records, max(n)::DOUBLE AS largest, sum(n)::DOUBLE / max(n) AS p_atom FROM units)
+            ON n_units, n_records, largest, p_atom INTO NAME name VALUE measured)
+      LEFT JOIN (UNPIVOT ({_REGISTER_SQL}) ON n_units, n_records, largest, p_atom INTO NAME name VALUE registered) USING (name)""",
+    doubles="measured registered",
+)
+def atomic_register(spark, d):
+    """Stated character counts against the lengths of the texts themselves."""
+    size = F.length("text").cast("long")
+    whole = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_units"), F.sum(size).alias("n_records"), F.max(size).alias("largest"))
+    names = ["n_units", "n_records", "largest", "p_atom"]
+    whole = whole.withColumn("p_atom", F.col("n_records") / F.col("largest")).select(*[F.col(n).cast("double") for n in names])
+    return ad.atomic_register(doc_load(spark, d), whole.unpivot([], names, "quantity", "registered"))
+
+
+@query(
+    "atomic_floors",
+    oracle=_BATCH_UNITS + """ SELECT w, p, p * max(n)::DOUBLE / sum(n) AS floor FROM unitsw, (VALUES (8192), (16384), (32768)) AS g(p) GROUP BY w, p""",
+    doubles="floor",
+    ints="p",
+)
+def atomic_floors(spark, d):
+    return ad.atomic_floors(batch(spark, d))
+
+
 @query(
     "window_regimes",
     oracle=RECORD_SQL + """,

@@ -95,3 +95,16 @@ def ragged_unit_counts(spark, d):
     path = folder(spark)
     arrays.write_ragged(event_records(spark, d), path)
     return arrays.read_ragged(spark, path).groupBy("row_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "manifest_round_trip",
+    oracle="SELECT count(*) AS n_records, max(user_id) + 1 AS n_stays, 0::BIGINT AS n_wrong FROM events",
+    ints="n_records n_stays n_wrong",
+)
+def manifest_round_trip(spark, d):
+    """Counts and digests of the written parts against their manifest."""
+    path = folder(spark)
+    arrays.write_ragged(event_records(spark, d), path)
+    count = lambda name: F.max(F.when(F.col("entry") == name, F.col("found").cast("long"))).alias(name)
+    return arrays.manifest_check(spark, path).agg(count("n_records"), count("n_stays"), F.count_if(~F.col("ok")).alias("n_wrong"))

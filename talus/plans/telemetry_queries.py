@@ -322,6 +322,23 @@ def paired_sign(spark, d):
     return te.paired_sign(measured(spark, d), threads(spark, d))
 
 
+@query(
+    "paired_halves",
+    oracle=_PRE_SQL + """, d AS (SELECT tid, 100 * (per_rank / shared - 1) AS g, count(*) OVER () // 2 AS half FROM (
+        SELECT tid, median(r.rate) FILTER (WHERE per_rank_csr = 0) AS shared, median(r.rate) FILTER (WHERE per_rank_csr = 1) AS per_rank
+        FROM rated r JOIN m USING (run_id) GROUP BY tid) WHERE per_rank IS NOT NULL AND shared IS NOT NULL)
+      SELECT *, (low_mean - high_mean) / 2 AS penalty_pct, low_positive + high_negative AS n_predicted,
+        (low_mean - high_mean) / 2 BETWEEN 0.79 AND 1.70 AS consistent FROM (
+        SELECT max(half) AS half, avg(g) FILTER (WHERE tid < half) AS low_mean, avg(g) FILTER (WHERE tid >= half) AS high_mean,
+          count(*) FILTER (WHERE tid < half AND g > 0) AS low_positive, count(*) FILTER (WHERE tid >= half AND g < 0) AS high_negative,
+          count(*) AS n_threads FROM d)""",
+    doubles="low_mean high_mean penalty_pct",
+    ints="half low_positive high_negative n_threads n_predicted",
+)
+def paired_halves(spark, d):
+    return te.paired_halves(te.paired_sign(measured(spark, d), threads(spark, d)))
+
+
 @query(
     "partition_sweep",
     oracle=RUNS_SQL + """, g AS (SELECT p, partitioner, count(*) AS n, median(work_imbalance) AS measured, median(mrec_ghz) AS mrec_ghz

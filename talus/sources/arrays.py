@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.operators.records import csr_order
+from talus.session import literal_rows
 from talus.sources import ragged
 
+READ_BYTES = 1 << 23
+
 
 def read_offsets(spark: SparkSession, path: str, kind: str = "i64") -> DataFrame:
     """(idx, n, start, stop) per unit; rejects short, falling and empty offsets."""
@@ -53,25 +59,52 @@ def write_ragged(records: DataFrame, folder: str, n_units: int | None = None) ->
     (writer if n_units is None else writer.option("n_units", n_units)).save(folder)
 
 
-def manifest_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifest entries against what the arrays hold."""
-    meta = spark.read.option("multiLine", True).json(f"{folder}/meta.json").select("n_stays", "n_records")
-    units = read_offsets(spark, f"{folder}/offsets.i64")
-    actual = units.agg(F.count(F.lit(1)).alias("units_found"), F.sum("n").alias("records_found"))
-    return meta.crossJoin(actual).withColumn(  # one row each
-        "ok", (F.col("n_stays") == F.col("units_found")) & (F.col("n_records") == F.col("records_found"))
-    )
+def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length, sha256) of files of any size, each read in blocks by one task.
 
+    A digest of a whole file is sequential by definition.
+    """
 
-def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, length, sha256) of small artifacts such as manifests and lookups.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                fs, place = ragged.located(path)
+                known, length = hashlib.sha256(), 0
+                with fs.open_input_stream(place) as source:
+                    while block := source.read(READ_BYTES):
+                        known.update(block)
+                        length += len(block)
+                yield pa.RecordBatch.from_pydict({"path": [path], "length": [length], "sha256": [known.hexdigest()]})
+
+    files = literal_rows(spark, [(p,) for p in paths], "path string")
+    return files.repartition(max(1, len(paths)), "path").mapInArrow(run, "path string, length bigint, sha256 string")
+
+
+def manifest_check(spark: SparkSession, folder: str) -> DataFrame:
+    """(entry, stated, found, ok): what a folder's manifest states against what the arrays hold.
 
-    A digest of a whole file is sequential by definition, one task per file.
+    Of meta.json or parts.json the counts of units and records and the digests
+    of the files are checked, as far as they are stated.
     """
-    return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    parts = ragged.parts_of(folder)
+    manifest = ragged.read_json(f"{folder}/{ragged.MANIFEST}")
+    whole = manifest is None
+    stated = (ragged.read_json(f"{folder}/meta.json") or {}) if whole else manifest
+    units = parts[0].n_units if whole else max((p.first_unit + p.n_units for p in parts), default=0)
+    counts = {"n_stays": max(units, 0 if whole else stated["n_stays"]), "n_records": sum(p.stop for p in parts)}
+    rows = [(name, str(stated[name]), str(found)) for name, found in counts.items() if name in stated]
+    tables = [("", stated.get("sha256", {}))] if whole else [(f"{p['folder']}/", p["sha256"]) for p in stated["parts"]]
+    named = {f"{folder}/{at}{file}": (f"{at}{file}", digest) for at, known in tables for file, digest in known.items()}
+    result = literal_rows(spark, rows, "entry string, stated string, found string")
+    if named:
+        asked = literal_rows(spark, [(path, *x) for path, x in named.items()], "path string, entry string, stated string")
+        found = digests(spark, list(named)).select("path", F.col("sha256").alias("found"))
+        result = result.unionByName(asked.join(found, "path").select("entry", "stated", "found"))
+    return result.withColumn("ok", F.col("stated") == F.col("found"))
 
 
 def write_manifest(path: str, entries: dict) -> None:
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(entries, out, indent=2, default=str)
-        out.write("\n")
+    """A JSON file on any file system that the path names."""
+    fs, place = ragged.located(path)
+    with fs.open_output_stream(place) as out:
+        out.write((json.dumps(entries, indent=2, default=str) + "\n").encode())

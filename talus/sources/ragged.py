@@ -10,6 +10,7 @@ of any size is read by many tasks. Everything moves in Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -44,6 +45,15 @@ def _size(fs: pafs.FileSystem, path: str) -> int:
     return info.size
 
 
+def read_json(path: str) -> dict | None:
+    """A small JSON file anywhere, None where there is none."""
+    fs, place = located(path)
+    if fs.get_file_info(place).type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(place) as source:
+        return json.loads(source.read())
+
+
 def _slice(fs: pafs.FileSystem, path: str, dtype: str, first: int, stop: int) -> np.ndarray:
     """Entries first .. stop-1 of a raw array."""
     width = np.dtype(dtype).itemsize
@@ -68,15 +78,11 @@ class Part(InputPartition):
 
 def parts_of(folder: str) -> list[Part]:
     """The parts of a folder, with their lengths checked against the sizes of the files."""
-    fs, root = located(folder)
-    if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as source:
-            known = [(f"{folder}/{p['folder']}", p["first_unit"]) for p in json.loads(source.read())["parts"]]
-    else:
-        known = [(folder, 0)]
+    manifest = read_json(f"{folder}/{MANIFEST}")
+    known = [(folder, 0)] if manifest is None else [(f"{folder}/{p['folder']}", p["first_unit"]) for p in manifest["parts"]]
     found = []
     for place, first_unit in known:
-        _, path = located(place)
+        fs, path = located(place)
         n_units = _size(fs, f"{path}/{OFFSETS}") // 8 - 1
         if n_units < 0:
             raise ValueError(f"{place}: empty offsets")
@@ -149,6 +155,7 @@ class Written(WriterCommitMessage):
     first_unit: int
     n_units: int
     n_records: int
+    sha256: dict[str, str]
 
 
 class _Writer(DataSourceArrowWriter):
@@ -164,8 +171,15 @@ class _Writer(DataSourceArrowWriter):
         fs.create_dir(path, recursive=True)
         first = last = None
         records = 0
-        files = {column: fs.open_output_stream(f"{path}/{file}") for column, (file, _) in ARRAYS.items()}
-        offsets = fs.open_output_stream(f"{path}/{OFFSETS}")
+        names = {OFFSETS: OFFSETS} | {column: file for column, (file, _) in ARRAYS.items()}
+        files = {name: fs.open_output_stream(f"{path}/{file}") for name, file in names.items()}
+        digests = {name: hashlib.sha256() for name in names}
+
+        def put(name: str, values: np.ndarray, dtype: str) -> None:
+            raw = values.astype(dtype).tobytes()
+            files[name].write(raw)
+            digests[name].update(raw)
+
         for batch in iterator:
             if batch.num_rows == 0:
                 continue
@@ -176,14 +190,15 @@ class _Writer(DataSourceArrowWriter):
                 first, last = int(unit[0]), int(unit[0]) - 1
             # the starts of all units after the last one, empty ones included
             starts = np.searchsorted(unit, np.arange(last + 1, int(unit[-1]) + 1)) + records
-            offsets.write(starts.astype("<i8").tobytes())
+            put(OFFSETS, starts, "<i8")
             last, records = int(unit[-1]), records + len(unit)
             for column, (_, dtype) in ARRAYS.items():
-                files[column].write(batch.column(column).to_numpy(zero_copy_only=False).astype(dtype).tobytes())
-        offsets.write(np.array([records], "<i8").tobytes())
-        for out in (*files.values(), offsets):
+                put(column, batch.column(column).to_numpy(zero_copy_only=False), dtype)
+        put(OFFSETS, np.array([records]), "<i8")
+        for out in files.values():
             out.close()
-        return Written(name, task.partitionId(), first or 0, 0 if first is None else last - first + 1, records)
+        known = {names[column]: d.hexdigest() for column, d in digests.items()}
+        return Written(name, task.partitionId(), first or 0, 0 if first is None else last - first + 1, records, known)
 
     def commit(self, messages: list[Written | None]) -> None:
         kept = sorted((m for m in messages if m is not None and m.n_records), key=lambda m: m.task)

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 
 import numpy as np
@@ -37,7 +38,7 @@ def test_ragged_folder(spark, tmp_path):
     assert [(r["row_index"], r["dense_id"], r["t"], r["value"]) for r in rows] == [
         (0, 1, 0.5, 9.0), (0, 2, 1.0, 8.0), (2, 3, 1.5, 7.0), (2, 4, 2.0, 6.0), (2, 5, 2.5, 5.0)]
     assert [r["n"] for r in arrays.read_offsets(spark, f"{tmp_path}/offsets.i64").orderBy("idx").collect()] == sizes
-    assert arrays.manifest_check(spark, str(tmp_path)).first()["ok"]
+    assert {(r["entry"], r["ok"]) for r in arrays.manifest_check(spark, str(tmp_path)).collect()} == {("n_stays", True), ("n_records", True)}
     assert len(arrays.digests(spark, [f"{tmp_path}/meta.json"]).first()["sha256"]) == 64
 
 
@@ -72,6 +73,13 @@ def test_ragged_parts_come_back(spark, tmp_path):
     assert sum(p["first_unit"] <= 3 < p["first_unit"] + p["n_units"] for p in manifest["parts"]) > 1
     back = arrays.read_ragged(spark, folder)
     assert sorted((r["row_index"], r["t"], r["dense_id"], r["value"]) for r in back.collect()) == sorted(rows)
+    checked = arrays.manifest_check(spark, folder).collect()
+    assert len(checked) == 2 + 4 * len(manifest["parts"]) and all(r["ok"] for r in checked)
+    spoilt = tmp_path / "ragged" / manifest["parts"][0]["folder"] / "value.f32"
+    kept = spoilt.read_bytes()
+    spoilt.write_bytes(kept[:-4] + b"\0\0\0\1")
+    assert [r["entry"] for r in arrays.manifest_check(spark, folder).collect() if not r["ok"]] == [f"{manifest['parts'][0]['folder']}/value.f32"]
+    spoilt.write_bytes(kept)
     stray = tmp_path / "ragged" / "part-000000-999"  # left behind by a task that ran twice
     stray.mkdir()
     (stray / "t.f32").write_bytes(b"junk")
@@ -80,6 +88,15 @@ def test_ragged_parts_come_back(spark, tmp_path):
     assert json.loads((tmp_path / "none" / "parts.json").read_text())["parts"] == []
 
 
+def test_manifest_of_a_whole_folder(spark, tmp_path):
+    write_ragged(tmp_path, [2, 1], [1, 2, 3], [0, 1, 2], [5, 6, 7])
+    names = ["offsets.i64", "itemid.i32", "t.f32", "value.f32"]
+    digests = {n: hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in names}
+    arrays.write_manifest(str(tmp_path / "meta.json"), {"n_stays": 2, "n_records": 4, "sha256": digests | {"t.f32": "0" * 64}})
+    found = {r["entry"]: r["ok"] for r in arrays.manifest_check(spark, str(tmp_path)).collect()}
+    assert found == {"n_stays": True, "n_records": False} | {n: n != "t.f32" for n in names}
+
+
 def test_any_range_of_records_finds_its_units(tmp_path):
     sizes = [0, 0, 4, 0, 1, 7, 0, 0, 3, 0]
     n = sum(sizes)

@@ -67,3 +67,13 @@ def test_stream_keeps_valid_rows_once(spark, tmp_path):
             write_runs(inbox / extra, [run_row(run_id="later")])
         append_stream(follow_runs(spark, str(inbox)), str(out), str(mark)).awaitTermination()
     assert sorted(r["run_id"] for r in spark.read.parquet(str(out)).collect()) == ["1-0-9-000001", "later"]
+
+
+def test_paired_halves(spark):
+    """Lower half up, upper half down, one thread without a pair and one against the rule."""
+    gains = [1.5, 2.5, -0.5, 1.0, -1.0, -2.0, -3.0, 0.0]
+    rows = [(i, g) for i, g in enumerate(gains)] + [(8, None)]
+    row = te.paired_halves(spark.createDataFrame(rows, "tid int, gain_pct double")).first()
+    assert (row["half"], row["n_threads"], row["low_positive"], row["high_negative"], row["n_predicted"]) == (4, 8, 3, 3, 6)
+    assert row["low_mean"] == pytest.approx(1.125) and row["high_mean"] == pytest.approx(-1.5)
+    assert row["penalty_pct"] == pytest.approx(1.3125) and row["consistent"]
