@@ -1,17 +1,26 @@
-"""Model validation: preparation, linear models, gates and controls."""
+"""Model validation: preparation, linear models, gates and controls.
+
+Linear models are fitted by Newton steps. Each step is one pass over the rows
+for all models that are still open: tasks add up Gram matrices, gradients and
+losses, Spark sums them by cell, and the driver solves systems as wide as the
+feature list. Ridge regression is a single step. Rows with a null label take
+no part; features must be prepared, hence without nulls.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators import ranking
 from talus.operators.prefix import dense_index_by_hash
 from talus.operators.quantiles import grouped_quantiles
+from talus.session import cut_lineage, literal_rows
 
 # Acceptance bands, control tolerance, scan settings, seed.
 AUROC_BAND, AUPRC_BAND = (0.82, 0.85), (0.35, 0.45)
@@ -44,32 +53,126 @@ def prepare(df: DataFrame, features: list[str], train: str = "split = 'train'")
     return scaled.drop(*[f"_{p}_{f}" for f in features for p in "as"])
 
 
-def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(df)
-
+@dataclass
+class Problem:
+    """A linear model to fit: minimise penalty / 2 |w|^2 plus the weighted losses, the intercept free.
 
-def fit_logistic(train: DataFrame, features: list[str], y: str = "y", balanced: bool = False):
-    """L2 logistic regression with C = 1 on prepared features.
-
-    The penalty is per row in Spark, hence 1/n (or 1/total weight).
+    ``weights`` are those of labels 0 and 1; None gives both classes half of all rows.
     """
-    counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos")).first()
-    n, pos = counts["n"], counts["pos"]
-    weight = F.lit(1.0)
-    if balanced and 0 < pos < n:
-        weight = F.when(F.col(y) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
-    rows = assemble(train, features).withColumn("label", F.col(y).cast("double")).withColumn("weight", weight)
-    model = LogisticRegression(
-        regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10, weightCol="weight"
-    )
-    return model.fit(rows.select("features", "label", "weight"))
 
-
-def score_logistic(model, df: DataFrame, features: list[str]) -> DataFrame:
-    scored = model.transform(assemble(df, features))
-    return scored.withColumn("score", vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+    features: list[str]
+    label: str = "y"
+    kind: str = "logistic"
+    penalty: float = 1.0
+    weights: tuple[float, float] | None = (1.0, 1.0)
+
+
+@dataclass
+class LinearModel:
+    features: list[str]
+    coefficients: np.ndarray
+    intercept: float
+
+    def margin(self) -> Column:
+        total = F.lit(float(self.intercept))
+        for feature, value in zip(self.features, self.coefficients):
+            total = total + F.lit(float(value)) * F.col(feature)
+        return total
+
+
+def _moments(problems: dict[int, Problem], at: dict[int, np.ndarray]):
+    """Sums of a task for each problem: Gram matrix, gradient and loss, cell by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            for k, problem in problems.items():
+                y = get(problem.label)
+                seen = ~np.isnan(y)
+                y = y[seen]
+                x = np.column_stack([*[get(f)[seen] for f in problem.features], np.ones(len(y))])
+                z = x @ at[k]
+                if problem.kind == "logistic":
+                    weight = np.where(y == 1, problem.weights[1], problem.weights[0])
+                    p = 0.5 * (1 + np.tanh(z / 2))
+                    slope, bend = weight * (p - y), weight * p * (1 - p)
+                    loss = (weight * (np.logaddexp(0, z) - y * z)).sum()
+                else:
+                    slope, bend, loss = z - y, np.ones(len(y)), ((z - y) ** 2).sum() / 2
+                cells = np.concatenate([((x * bend[:, None]).T @ x).ravel(), x.T @ slope, [loss]])
+                sums[k] = sums[k] + cells if k in sums else cells
+        for k, cells in sums.items():
+            n = len(cells)
+            yield pa.RecordBatch.from_pydict(
+                {"problem": pa.array([k] * n, pa.int32()), "cell": pa.array(range(n), pa.int32()), "value": pa.array(cells)}
+            )
+
+    return run
+
+
+def fit_all(train: DataFrame, problems: dict[str, Problem], steps: int = 50, tolerance: float = 1e-10) -> dict[str, LinearModel]:
+    """Fit several models on the same rows, which every step reads once; write them first.
+
+    A step that raises the loss is halved. A problem ends when its next step is
+    below ``tolerance`` relative to its coefficients, or after ``steps`` passes.
+    """
+    labels = sorted({p.label for p in problems.values()})
+    inputs = sorted({f for p in problems.values() for f in p.features})
+    rows = train.select(*[F.col(c).cast("double").alias(c) for c in sorted({*labels, *inputs})])
+    if any(p.weights is None for p in problems.values()):
+        counted = [F.sum(F.when(F.col(c) == v, 1).otherwise(0)).alias(f"{c}_{v}") for c in labels for v in (0, 1)]
+        sizes = rows.agg(*counted).first()
+    ready: dict[int, Problem] = {}
+    for k, problem in enumerate(problems.values()):
+        weights = problem.weights
+        if weights is None:
+            n0, n1 = (sizes[f"{problem.label}_{v}"] or 0 for v in (0, 1))
+            weights = ((n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)) if n0 and n1 else (1.0, 1.0)
+        ready[k] = Problem(list(problem.features), problem.label, problem.kind, problem.penalty, weights)
+    at = {k: np.zeros(len(p.features) + 1) for k, p in ready.items()}
+    best = {k: (np.inf, at[k]) for k in ready}
+    still_open = set(ready)
+    for _ in range(steps):
+        if not still_open:
+            break
+        now = {k: ready[k] for k in still_open}
+        parts = rows.mapInArrow(_moments(now, {k: at[k] for k in now}), "problem int, cell int, value double")
+        sums: dict[int, dict[int, float]] = {k: {} for k in now}
+        for r in parts.groupBy("problem", "cell").agg(F.sum("value").alias("value")).collect():  # width^2 cells a problem
+            sums[r["problem"]][r["cell"]] = r["value"]
+        for k, problem in now.items():
+            w, width = at[k], len(at[k])
+            cells = np.array([sums[k].get(i, 0.0) for i in range(width * width + width + 1)])
+            penalty = np.append(np.full(width - 1, float(problem.penalty)), 0.0)
+            loss = cells[-1] + 0.5 * (penalty * w * w).sum()
+            if loss > best[k][0] + 1e-12 * (1 + abs(best[k][0])):
+                at[k] = (best[k][1] + w) / 2
+                continue
+            best[k] = (loss, w)
+            gram = cells[: width * width].reshape(width, width) + np.diag(penalty)
+            step = np.linalg.lstsq(gram, cells[width * width : -1] + penalty * w, rcond=None)[0]
+            if np.abs(step).max() <= tolerance * (1 + np.abs(w).max()):
+                still_open.discard(k)
+            elif problem.kind == "ridge":
+                best[k] = (-np.inf, w - step)  # quadratic: one step is exact
+                still_open.discard(k)
+            else:
+                at[k] = w - step
+    return {
+        name: LinearModel(problem.features, best[k][1][:-1], float(best[k][1][-1]))
+        for k, (name, problem) in enumerate(problems.items())
+    }
+
+
+def fit_logistic(train: DataFrame, features: list[str], y: str = "y", balanced: bool = False) -> LinearModel:
+    """L2 logistic regression with C = 1 on prepared features."""
+    return fit_all(train, {"one": Problem(features, y, weights=None if balanced else (1.0, 1.0))})["one"]
+
+
+def score_logistic(model: LinearModel, df: DataFrame) -> DataFrame:
+    """Probabilities to ten digits, so that no ranking hangs on the last bits of a fit."""
+    return df.withColumn("score", F.round(1.0 / (1.0 + F.exp(-model.margin())), 10))
 
 
 def evaluate(scored: DataFrame, y: str = "y") -> DataFrame:
@@ -95,22 +198,18 @@ def gate(metrics: DataFrame, window: str = "W24") -> DataFrame:
 def coefficients(spark, features: list[str], values: list[float]) -> DataFrame:
     """Coefficients by magnitude; as many rows as features."""
     rows = [(f, float(v)) for f, v in zip(features, values)]
-    return spark.createDataFrame(rows, "feature string, coef double").withColumn("abs_coef", F.abs("coef")).orderBy(
+    return literal_rows(spark, rows, "feature string, coef double").withColumn("abs_coef", F.abs("coef")).orderBy(
         F.desc("abs_coef")
     )
 
 
-def fit_ridge(train: DataFrame, features: list[str], target: str, alpha: float = 1.0):
-    """Ridge regression; Spark scales the penalty by n and the target deviation."""
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
-    rows = assemble(train, features).withColumn("label", F.col(target).cast("double"))
-    penalty = alpha / stats["n"] * (stats["s"] or 0.0)
-    model = LinearRegression(solver="normal", standardization=False, elasticNetParam=0.0, regParam=penalty)
-    return model.fit(rows.select("features", "label"))
+def fit_ridge(train: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> LinearModel:
+    """Ridge regression by its normal equations."""
+    return fit_all(train, {"one": Problem(features, target, "ridge", alpha)})["one"]
 
 
-def score_ridge(model, df: DataFrame, features: list[str]) -> DataFrame:
-    return model.transform(assemble(df, features)).withColumnRenamed("prediction", "pred").drop("features")
+def score_ridge(model: LinearModel, df: DataFrame) -> DataFrame:
+    return df.withColumn("pred", model.margin())
 
 
 def regression_report(scored: DataFrame, target: str, survivor: str) -> DataFrame:
@@ -127,12 +226,12 @@ def regression_report(scored: DataFrame, target: str, survivor: str) -> DataFram
 
 
 def ablation(prepared: DataFrame, subsets: dict[str, list[str]], y: str = "y") -> DataFrame:
-    """Refit on feature subsets and report validation metrics per subset."""
+    """Refit on feature subsets, all in the same passes, and report validation metrics per subset."""
     train, held = prepared.filter("split = 'train'"), prepared.filter("split <> 'train'")
+    models = fit_all(train, {name: Problem(features, y) for name, features in subsets.items()})
     out = None
     for name, features in subsets.items():
-        scored = score_logistic(fit_logistic(train, features, y), held, features)
-        row = evaluate(scored, y).select(
+        row = evaluate(score_logistic(models[name], held), y).select(
             F.lit(name).alias("subset"), F.lit(len(features)).alias("n_features"), "auroc", "auprc"
         )
         out = row if out is None else out.unionByName(row)
@@ -153,10 +252,14 @@ def shuffle_labels(train: DataFrame, key: str, y: str, seed: int) -> DataFrame:
 def negative_control(prepared: DataFrame, features: list[str], key: str, y: str = "y", draws: int = 5) -> DataFrame:
     """Models trained on shuffled labels must not rank held-out rows."""
     train, held = prepared.filter("split = 'train'"), prepared.filter("split <> 'train'")
+    drawn = train.select(key, *features)
+    for i in range(draws):
+        labels = shuffle_labels(train.select(key, y), key, y, MODEL_SEED + 10 * i)
+        drawn = drawn.join(labels.select(key, F.col(y).alias(f"_y{i}")), key)
+    models = fit_all(cut_lineage(drawn), {str(i): Problem(features, f"_y{i}") for i in range(draws)})
     out = None
     for i in range(draws):
-        model = fit_logistic(shuffle_labels(train, key, y, MODEL_SEED + 10 * i), features, y)
-        row = ranking.auroc(score_logistic(model, held, features), "score", y).select(F.lit(i).alias("draw"), "auroc")
+        row = ranking.auroc(score_logistic(models[str(i)], held), "score", y).select(F.lit(i).alias("draw"), "auroc")
         out = row if out is None else out.unionByName(row)
     return out
 

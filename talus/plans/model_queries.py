@@ -201,52 +201,159 @@ def single_feature_scan(spark, d):
     return mo.single_feature_scan(doc_features(spark, d), FEATURES, "y", min_rows=30)
 
 
-@query("logistic_metrics")
+STEPS = 15
+
+
+def _newton_sql(problems: str, rows: str, width: int, kind: str = "logistic") -> str:
+    """Newton steps for every problem: relations ``problems`` (problem) and ``fit_rows`` (problem, x, y, wt).
+
+    x ends in the constant, whose coefficient has no penalty.
+    """
+    p, bend, steps = ("1 / (1 + exp(-z))", "wt * p * (1 - p)", STEPS) if kind == "logistic" else ("z", "wt", 1)
+    cells = []
+    for i in range(1, width + 1):
+        row = [f"sum(h * x[{i}] * x[{j}])" + (" + 1" if i == j < width else "") for j in range(1, width + 1)]
+        row.append(f"sum(wt * (p - y) * x[{i}])" + (f" + w[{i}]" if i < width else ""))
+        cells.append(f"[{', '.join(row)}]")
+    system = f"SELECT problem, t, w, [{', '.join(cells)}] AS m FROM (SELECT *, {bend} AS h FROM (SELECT *, {p} AS p FROM (SELECT problem, t, w, x, y, wt, list_dot_product(w, x) AS z FROM newton JOIN fit_rows USING (problem) WHERE t < {steps}))) GROUP BY problem, t, w"
+    for k in range(1, width + 1):  # Gauss-Jordan on the positive definite system
+        system = f"""SELECT problem, t, w, list_transform(m, lambda r, i: list_transform(r, lambda v, j:
+          CASE WHEN i = {k} THEN v / m[{k}][{k}] ELSE v - r[{k}] * m[{k}][j] / m[{k}][{k}] END)) AS m FROM ({system})"""
+    zeros = ", ".join(["0.0::DOUBLE"] * width)
+    return f""", problems AS ({problems}), fit_rows AS MATERIALIZED ({rows}),
+newton AS (SELECT problem, 0 AS t, [{zeros}] AS w FROM problems
+  UNION ALL SELECT problem, t + 1, list_transform(w, lambda v, i: v - m[i][{width + 1}]) FROM ({system})),
+fitted AS (SELECT problem, w FROM newton WHERE t = {steps})"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH raw", "WITH RECURSIVE raw", 1)
+
+
+_X = "[" + ", ".join(FEATURES) + ", 1.0::DOUBLE]"
+_SCORED_SQL = f""",
+scored AS (SELECT problem, y, round(1 / (1 + exp(-list_dot_product(w, {_X}))), 10) AS score FROM prepared, fitted WHERE split <> 'train'),
+areas AS (SELECT problem, sum(y) AS n_pos, sum(1 - y) AS n_neg,
+    (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y)::DOUBLE * sum(1 - y), 0) AS auroc,
+    count(*) AS n, avg((score - y) * (score - y)) AS brier, avg(y) AS prevalence
+  FROM (SELECT *, rank() OVER (PARTITION BY problem ORDER BY score) + (count(*) OVER (PARTITION BY problem, score) - 1) / 2.0::DOUBLE AS r FROM scored) GROUP BY problem),
+precisions AS (SELECT problem, sum(pos * tp / m) / nullif(sum(pos), 0) AS auprc FROM (SELECT problem, pos, (sum(pos) OVER v)::DOUBLE AS tp, (sum(n) OVER v)::DOUBLE AS m
+  FROM (SELECT problem, score, sum(y) AS pos, count(*) AS n FROM scored GROUP BY problem, score) WINDOW v AS (PARTITION BY problem ORDER BY score DESC)) GROUP BY problem)"""
+_PLAIN_ROWS = f"SELECT problem, {_X} AS x, y, 1.0::DOUBLE AS wt FROM prepared, problems WHERE split = 'train'"
+_TWO_SQL = _recursive(_PREPARED_SQL) + _newton_sql(
+    "SELECT unnest(['plain', 'balanced']) AS problem",
+    f"""SELECT problem, {_X} AS x, y, CASE WHEN problem = 'plain' THEN 1.0::DOUBLE WHEN y = 1 THEN n / (2.0::DOUBLE * pos) ELSE n / (2.0::DOUBLE * (n - pos)) END AS wt
+        FROM prepared, problems, (SELECT count(*) AS n, sum(y) AS pos FROM prepared WHERE split = 'train') WHERE split = 'train'""",
+    len(FEATURES) + 1,
+)
+
+
+@query(
+    "logistic_metrics",
+    oracle=_TWO_SQL + _SCORED_SQL + " SELECT n_pos, n_neg, auroc, auprc, n, brier, prevalence, problem AS model FROM areas JOIN precisions USING (problem)",
+    doubles="auroc auprc brier prevalence",
+    ints="n_pos n_neg n",
+)
 def logistic_metrics(spark, d):
     """Plain and class-balanced logistic regression on held-out documents."""
     p = prepared(spark, d)
     train, held = p.filter("split = 'train'"), p.filter("split <> 'train'")
+    models = mo.fit_all(train, {"plain": mo.Problem(FEATURES), "balanced": mo.Problem(FEATURES, weights=None)})
     out = None
-    for name, balanced in (("plain", False), ("balanced", True)):
-        scored = mo.score_logistic(mo.fit_logistic(train, FEATURES, "y", balanced), held, FEATURES)
-        row = mo.evaluate(scored).withColumn("model", F.lit(name))
+    for name, model in models.items():
+        row = mo.evaluate(mo.score_logistic(model, held)).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-@query("logistic_coefficients")
+@query(
+    "logistic_coefficients",
+    oracle=_recursive(_PREPARED_SQL) + _newton_sql("SELECT 'plain' AS problem", _PLAIN_ROWS, len(FEATURES) + 1)
+    + f" SELECT feature, coef, abs(coef) AS abs_coef FROM (SELECT unnest({FEATURES}) AS feature, unnest(w[1:{len(FEATURES)}]) AS coef FROM fitted)",
+    doubles="coef abs_coef",
+)
 def logistic_coefficients(spark, d):
     model = mo.fit_logistic(prepared(spark, d).filter("split = 'train'"), FEATURES)
     return mo.coefficients(spark, FEATURES, list(model.coefficients))
 
 
-@query("ridge_report")
+_INPUTS = [f for f in FEATURES if f not in ("n_chars", "n_words")]
+_RIDGE_X = "[" + ", ".join(_INPUTS) + ", 1.0::DOUBLE]"
+_RIDGE_SQL = _recursive(_PREPARED_SQL) + ", goals AS (SELECT prepared.*, ln(1 + feats.n_chars) AS target FROM prepared JOIN feats USING (doc_id))" + _newton_sql(
+    "SELECT 'ridge' AS problem",
+    f"SELECT problem, {_RIDGE_X} AS x, target AS y, 1.0::DOUBLE AS wt FROM goals, problems WHERE split = 'train'",
+    len(_INPUTS) + 1,
+    "ridge",
+)
+
+
+@query(
+    "ridge_report",
+    oracle=_RIDGE_SQL + f""", predicted AS (SELECT y, target, list_dot_product(w, {_RIDGE_X}) AS pred FROM goals, fitted WHERE split <> 'train')
+      SELECT "group", count(*) AS n, avg(abs((exp(target) - 1) - (exp(pred) - 1))) AS mae,
+        1 - sum((target - pred) * (target - pred)) / nullif(var_pop(target) * count(*), 0) AS r2
+      FROM (SELECT *, unnest(CASE WHEN y = 1 THEN ['all', 'survivors'] ELSE ['all'] END) AS "group" FROM predicted) GROUP BY 1""",
+    doubles="mae r2",
+    ints="n",
+)
 def ridge_report(spark, d):
     """Log length from the other features; error in characters and R^2."""
-    inputs = [f for f in FEATURES if f not in ("n_chars", "n_words")]
     base = doc_features(spark, d).withColumn("target", F.log1p("n_chars"))
-    p = cut_lineage(mo.prepare(base, inputs))
-    model = mo.fit_ridge(p.filter("split = 'train'"), inputs, "target")
-    return mo.regression_report(mo.score_ridge(model, p.filter("split <> 'train'"), inputs), "target", "y")
+    p = cut_lineage(mo.prepare(base, _INPUTS))
+    model = mo.fit_ridge(p.filter("split = 'train'"), _INPUTS, "target")
+    return mo.regression_report(mo.score_ridge(model, p.filter("split <> 'train'")), "target", "y")
+
+
+SUBSETS = {
+    "all": FEATURES,
+    "sizes only": [f for f in FEATURES if f.startswith("n_")],
+    "no sizes": [f for f in FEATURES if not f.startswith("n_")],
+    **{f"without {left}": [f for f in FEATURES if f != left] for left in FEATURES[1:]},
+}
+_SUBSET_ROWS = " UNION ALL ".join(
+    f"SELECT '{name}' AS problem, {len(fs)} AS n_features, {[1 if f in fs else 0 for f in FEATURES]} AS mask" for name, fs in SUBSETS.items()
+)
+_MASKED = "[" + ", ".join(f"{f} * mask[{i}]" for i, f in enumerate(FEATURES, 1)) + ", 1.0::DOUBLE]"
 
 
-@query("feature_ablation")
+@query(
+    "feature_ablation",
+    oracle=_recursive(_PREPARED_SQL)
+    + _newton_sql(_SUBSET_ROWS, f"SELECT problem, {_MASKED} AS x, y, 1.0::DOUBLE AS wt FROM prepared, problems WHERE split = 'train'", len(FEATURES) + 1)
+    + _SCORED_SQL
+    + " SELECT problem AS subset, n_features, auroc, auprc FROM problems JOIN areas USING (problem) JOIN precisions USING (problem)",
+    doubles="auroc auprc",
+    ints="n_features",
+)
 def feature_ablation(spark, d):
-    subsets = {
-        "all": FEATURES,
-        "no sizes": [f for f in FEATURES if not f.startswith("n_")],
-        "sizes only": [f for f in FEATURES if f.startswith("n_")],
-        "no punctuation": [f for f in FEATURES if f != "punct_share"],
-    }
-    return mo.ablation(prepared(spark, d), subsets)
+    return mo.ablation(prepared(spark, d), SUBSETS)
+
+
+DRAWS = 5
+
 
+def _order(seed: int, draw: int) -> str:
+    return f"row_number() OVER (ORDER BY sha256(concat('{seed + 10 * draw}|', doc_id)))"
 
-@query("negative_control")
+
+_DEALT_SQL = " UNION ALL ".join(
+    f"""SELECT {i} AS problem, {_X} AS x, o.y, 1.0::DOUBLE AS wt
+  FROM (SELECT *, {_order(SEED, i)} AS place FROM prepared WHERE split = 'train') AS a
+  JOIN (SELECT y, {_order(SEED + 1, i)} AS place FROM prepared WHERE split = 'train') AS o USING (place)""" for i in range(DRAWS)
+)
+_CONTROL_SQL = _recursive(_PREPARED_SQL) + _newton_sql(f"SELECT unnest(range({DRAWS})) AS problem", _DEALT_SQL, len(FEATURES) + 1) + _SCORED_SQL
+
+
+@query("negative_control", oracle=_CONTROL_SQL + " SELECT problem AS draw, auroc FROM areas", doubles="auroc", ints="draw")
 def negative_control(spark, d):
-    return mo.negative_control(prepared(spark, d), FEATURES, "doc_id", draws=5)
+    return mo.negative_control(prepared(spark, d), FEATURES, "doc_id", draws=DRAWS)
 
 
-@query("negative_control_verdict")
+@query(
+    "negative_control_verdict",
+    oracle=_CONTROL_SQL + " SELECT avg(auroc) AS mean_auroc, abs(avg(auroc) - 0.5) < 0.03 AS ok FROM areas",
+    doubles="mean_auroc",
+)
 def negative_control_verdict(spark, d):
     """Whether models of shuffled labels rank held-out documents no better than chance."""
-    return mo.control_verdict(cut_lineage(mo.negative_control(prepared(spark, d), FEATURES, "doc_id", draws=5)))
+    return mo.control_verdict(cut_lineage(mo.negative_control(prepared(spark, d), FEATURES, "doc_id", draws=DRAWS)))

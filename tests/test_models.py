@@ -73,6 +73,31 @@ def test_ridge_equals_closed_form(data):
     assert model.intercept == pytest.approx(target.mean() - x.mean(0) @ w)
 
 
+def test_several_fits_equal_single_ones_and_skip_null_labels(spark, data):
+    """Subsets and weights in shared passes; rows spread over many tasks; a hot value; unlabelled rows."""
+    x, y, _, df = data
+    more = df.selectExpr("id + 1000 AS id", "a", "b", "c", "CAST(NULL AS INT) AS y", "target", "split")
+    rows = df.unionByName(more).repartition(13)
+    problems = {"all": mo.Problem(["a", "b", "c"]), "two": mo.Problem(["c", "a"]), "even": mo.Problem(["a"], weights=None)}
+    models = mo.fit_all(rows, problems)
+    for name, problem in problems.items():
+        m, pick = models[name], ["abc".index(f) for f in problem.features]
+        p = 1 / (1 + np.exp(-(x[:, pick] @ m.coefficients + m.intercept)))
+        weight = np.where(y == 1, 200 / y.sum(), 200 / (400 - y.sum())) if name == "even" else np.ones(400)
+        assert np.abs(m.coefficients + x[:, pick].T @ (weight * (p - y))).max() < 1e-7
+        assert abs((weight * (p - y)).sum()) < 1e-7
+    scored = mo.score_logistic(models["two"], df).collect()
+    assert all(0 <= r["score"] <= 1 for r in scored) and len(scored) == 400
+
+
+def test_separable_and_empty_fits_end(spark):
+    df = spark.range(60).selectExpr("CAST(id AS DOUBLE) * 1000 AS a", "CAST(id >= 30 AS INT) AS y")
+    model = mo.fit_logistic(df, ["a"])
+    assert np.isfinite(model.coefficients).all() and model.coefficients[0] > 0
+    empty = mo.fit_logistic(df.filter("a < 0"), ["a"], balanced=True)
+    assert list(empty.coefficients) == [0.0] and empty.intercept == 0.0
+
+
 def test_prepare_uses_training_rows_only(spark):
     rows = [("train", 1.0, None), ("train", 3.0, None), ("train", None, None), ("val", 100.0, 5.0), ("val", float("nan"), 7.0)]
     df = spark.createDataFrame(rows, "split string, a double, b double")
