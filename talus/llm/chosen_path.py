@@ -19,7 +19,14 @@ low that ``plan`` keeps the target recall with those it rejects counted in;
 a bucket reports, for each set, only its link to the first set of its candidate
 group there. Candidate groups are then compared exactly, block against block,
 on whole shingle sets: each task counts the links of its sets and reports one
-spanning link for each, so no list of all pairs is ever made.
+spanning link for each, so no list of all pairs is ever made. A candidate group
+of more than ``BLOCK`` sets may be a chain of texts of which few are alike; its
+sets go through the runs once more by themselves, and a pair is compared exactly
+where it meets first: a task tells from the tokens and from the depths at which
+the two sets' buckets closed whether they met in an earlier run. Each pair is
+counted once, and the work follows the buckets, not the square of the group. A
+large group of which nearly all sets are alike, whose links themselves are many,
+is compared block against block where that moves fewer sets.
 
 Sets are merged by a name of 128 bits, the first half of which numbers them.
 Rows with equal ids but different texts are told apart by the text. A class of
@@ -39,7 +46,7 @@ from pyspark.sql import functions as F
 from talus.llm.components import components
 from talus.llm.minhash import CACHE_BYTES, signature_of_sets
 from talus.llm.text import by_slices, mix64, shingle_hashes, slices, split_words
-from talus.session import cut_lineage
+from talus.session import broadcast_counted, cut_lineage
 
 THRESHOLD = 0.8
 TOKENS = 64
@@ -116,24 +123,35 @@ def _path_key(run: int, depth: int):
 
 
 def buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """(set, bucket) of all runs; buckets of one set are dropped, large ones split.
+    """(set, bucket, members, run, depth) of all runs; buckets of one set are dropped, large ones split.
 
-    Only (set, keys) rows travel; counts are pre-aggregated.
+    Only (set, keys) rows travel; counts are pre-aggregated. ``depth`` is the
+    number of splits after which the bucket was closed.
     """
     out = None
-    keys = sets.select("set", F.array(*[F.struct(*[_path_key(r, d).alias(f"k{d}") for d in range(1, DEPTH + 1)]) for r in range(runs)]).alias("paths"))
-    open_rows = keys.select("set", F.explode("paths").alias("path")).select("set", "path.*")
+    paths = [F.struct(F.lit(r).alias("run"), *[_path_key(r, d).alias(f"k{d}") for d in range(1, DEPTH + 1)]) for r in range(runs)]
+    open_rows = sets.select("set", F.explode(F.array(*paths)).alias("path")).select("set", "path.*")
     for depth in range(1, DEPTH + 1):
         key = f"k{depth}"
         counts = open_rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         found = cut_lineage(open_rows.join(counts, key))
         small = found if depth == DEPTH else found.where(F.col("members") <= BUCKET)
-        small = small.select("set", F.col(key).alias("bucket"), "members")
+        small = small.select("set", F.col(key).alias("bucket"), "members", "run", F.lit(depth).alias("depth"))
         out = small if out is None else out.unionByName(small)
         open_rows = found.where(F.col("members") > BUCKET).drop("members")
     return out
 
 
+def meetings(members: DataFrame) -> DataFrame:
+    """(set, run, block, low, high, meeting): what the last split leaves large is cut into blocks of which every two meet."""
+    parts = F.when(F.col("members") > BUCKET, F.ceil(F.col("members") / F.lit(BLOCK))).otherwise(F.lit(1)).cast("int")
+    cut = members.select("set", "run", "bucket", parts.alias("parts"), F.pmod(F.xxhash64("set"), parts).cast("int").alias("block"))
+    met = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    name = F.when(F.col("parts") > 1, F.xxhash64("bucket", low, high)).otherwise(F.col("bucket"))
+    return met.select("set", "run", "block", low.alias("low"), high.alias("high"), name.alias("meeting"))
+
+
 def _likeness_groups(tokens: np.ndarray, least: int) -> np.ndarray:
     """Index of the first member each member is linked to, directly or by others."""
     n = len(tokens)
@@ -184,21 +202,14 @@ def _compare(least: int, size: int):
 
 def candidate_links(sets: DataFrame, runs: int, size: int, least: int) -> DataFrame:
     """Links (a, b) of sets that may be similar: each to the first of its group in a bucket."""
-    members = buckets(sets, runs)
-    # What the last split leaves large is cut into blocks by set; every two blocks meet in a task.
-    parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    own = F.when(F.col("members") > BUCKET, F.pmod(F.xxhash64("set"), parts)).otherwise(F.lit(0)).cast("int")
-    parts = F.when(F.col("members") > BUCKET, parts).otherwise(F.lit(1))
-    meetings = F.transform(
-        F.sequence(F.lit(0), parts - 1),
-        lambda other: F.xxhash64("bucket", F.least(own, other.cast("int")), F.greatest(own, other.cast("int"))),
-    )
-    dealt = members.select("set", F.explode(F.when(parts > 1, meetings).otherwise(F.array("bucket"))).alias("bucket"))
+    dealt = meetings(buckets(sets, runs)).select("set", F.col("meeting").alias("bucket"))
     rows = dealt.join(sets.select("set", "tokens"), "set").repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(_compare(least, size), "a long, b long").distinct()
 
 
 EXACT = "set long, links long, near long"
+ASKED = ["set", "run", "block", "low", "high", "meeting"]
+ASKS = "set long, run int, block int, low int, high int, meeting long"
 
 
 def _shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -245,9 +256,14 @@ def links_in_task(sets: np.ndarray, copies: np.ndarray, block: np.ndarray, items
     """Exact links between two blocks (or inside one): (set, linked copies, first set of its component)."""
     kept = np.unique(sets, return_index=True)[1]  # rows with equal id and text come more than once
     sets, copies, block, items = sets[kept], copies[kept], block[kept], [items[i] for i in kept]
+    return links_among(sets, copies, items, in_pair(block, pair), threshold)
+
+
+def links_among(sets: np.ndarray, copies: np.ndarray, items: list[bytes], pairs: np.ndarray, threshold: float):
+    """Exact links among the marked pairs of different sets: (set, linked copies, first set of its component)."""
     n = len(sets)
     common, union = common_shingles(items)
-    like = (common >= threshold * union - 1e-9) & in_pair(block, pair)
+    like = (common >= threshold * union - 1e-9) & pairs
     np.fill_diagonal(like, False)
     links = like @ copies
     found = np.flatnonzero(links)
@@ -261,13 +277,16 @@ def links_in_task(sets: np.ndarray, copies: np.ndarray, block: np.ndarray, items
     return sets[found], links[found], sets[root[found]]
 
 
-def by_meeting(solve):
-    """Hand the rows of each meeting, which arrive together, to ``solve`` as one table."""
+def by_meeting(solve, wide: str = "items"):
+    """Hand the rows of each meeting, which arrive together, to ``solve`` as one table.
+
+    Batches are sliced by the bytes of the column ``wide``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            for part in slices(batch, "items", 8 << 20):
+            for part in slices(batch, wide, 8 << 20):
                 names = part.column("meeting").to_numpy()
                 cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), part.num_rows]
                 for a, b in zip(cuts, cuts[1:]):
@@ -291,6 +310,101 @@ def _exact(threshold: float):
     return by_meeting(solve)
 
 
+def first_met(tokens: np.ndarray, depths: np.ndarray, run: int, least: int) -> np.ndarray:
+    """Which two sets are candidates that met in no earlier run.
+
+    Two sets met in a run if both buckets closed there after equally many
+    splits (0: the set was alone) and the tokens of those splits are equal.
+    """
+    n = len(tokens)
+    equal = np.zeros((n, n), np.int16)
+    for position in range(tokens.shape[1]):
+        equal += tokens[:, position][:, None] == tokens[:, position][None, :]
+    new = equal >= least
+    np.fill_diagonal(new, False)
+    for earlier in range(run):
+        closed = depths[:, earlier]
+        met = (closed[:, None] == closed[None, :]) & (closed > 0)[:, None]
+        for level, position in enumerate(_positions(earlier)):
+            same = tokens[:, position][:, None] == tokens[:, position][None, :]
+            met &= same | (closed <= level)[:, None]
+        new &= ~met
+    return new
+
+
+def _meeting(t: pa.Table, size: int, runs: int, least: int) -> np.ndarray:
+    """Pairs to compare in a meeting of the second pass."""
+    raw = b"".join(t.column("tokens").to_pylist())
+    tokens = np.frombuffer(raw, np.uint32).reshape(t.num_rows, size)
+    depths = t.column("depths").combine_chunks().flatten().to_numpy().reshape(t.num_rows, runs)
+    pair = (t.column("low")[0].as_py(), t.column("high")[0].as_py())
+    new = first_met(tokens, depths, t.column("run")[0].as_py(), least)
+    return new & in_pair(t.column("block").to_numpy(), pair)
+
+
+def _asking(size: int, runs: int, least: int):
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        asks = np.flatnonzero(_meeting(t, size, runs, least).any(axis=1))
+        return pa.RecordBatch.from_pydict({c: t.column(c).combine_chunks().take(pa.array(asks)) for c in ASKED})
+
+    return by_meeting(solve, "tokens")
+
+
+def _verified(size: int, runs: int, least: int, threshold: float):
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        get = lambda c: t.column(c).to_numpy()
+        new = _meeting(t, size, runs, least)
+        a, n, b = links_among(get("set"), get("copies"), t.column("items").to_pylist(), new, threshold)
+        return pa.RecordBatch.from_pydict({"set": pa.array(a, pa.int64()), "links": pa.array(n, pa.int64()), "near": pa.array(b, pa.int64())})
+
+    return by_meeting(solve)
+
+
+def crowd_meetings(sets: DataFrame, runs: int, size: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(marked, asks) of the sets (set, tokens) of large candidate groups.
+
+    ``marked`` has (set, tokens, depths), ``asks`` (set, run, block, low, high,
+    meeting) for each set that has a new candidate in a meeting.
+    """
+    closed = cut_lineage(buckets(sets, runs))
+    by_run = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("depth"))), F.lit(0)).cast("int") for r in range(runs)]
+    depths = closed.groupBy("set").agg(F.array(*by_run).alias("depths"))
+    marked = cut_lineage(sets.select("set", "tokens").join(depths, "set"))
+    rows = meetings(closed).join(marked, "set").repartition("meeting").sortWithinPartitions("meeting")
+    return marked, cut_lineage(rows.mapInArrow(_asking(size, runs, least), ASKS))
+
+
+def links_where_met(texts: DataFrame, marked: DataFrame, asks: DataFrame, threshold: float, runs: int, size: int, least: int) -> DataFrame:
+    """(set, links, near) of large candidate groups: each pair is compared in the first bucket it shares.
+
+    texts has (set, copies, root, size, text); only sets that ask travel.
+    """
+    shingled = texts.mapInArrow(by_slices(_shingled), "set long, copies long, root long, size long, items binary")
+    # Repeated rows bring the same set more than once.
+    items = cut_lineage(shingled.groupBy("set").agg(F.first("copies").alias("copies"), F.first("items").alias("items")))
+    rows = asks.join(marked, "set").join(items, "set").repartition("meeting").sortWithinPartitions("meeting")
+    return rows.mapInArrow(_verified(size, runs, least, threshold), EXACT)
+
+
+def links_of_groups(texts: DataFrame, members: DataFrame, sets: DataFrame, threshold: float, runs: int, size: int, least: int) -> DataFrame:
+    """Exact links of all candidate groups; members has (set, root, size) with their text keys."""
+    crowd = members.where(F.col("size") > BLOCK).select("set", "root", "size")
+    chosen = texts.join(members, ["k1", "k2"]).select("set", "copies", "root", "size", "text")
+    if crowd.isEmpty():
+        return exact_links(chosen, threshold)
+    chosen = cut_lineage(chosen)
+    marked, asks = crowd_meetings(cut_lineage(sets.join(crowd.select("set"), "set")), runs, size, least)
+    # Sets moved by either way, for each group; there is at most one such group for BLOCK sets.
+    moved = asks.join(crowd, "set").groupBy("root", "size").agg(F.count(F.lit(1)).alias("asks"))
+    crowded = moved.where(F.col("asks") >= F.col("size") * F.ceil(F.col("size") / F.lit(BLOCK))).select("root", F.lit(True).alias("whole"))
+    crowded = broadcast_counted(cut_lineage(crowded))
+    flagged = chosen.join(crowded, "root", "left")
+    whole = (F.col("size") <= BLOCK) | F.col("whole").isNotNull()
+    sparse = crowd.join(crowded, "root", "left_anti").select("set")
+    met = links_where_met(flagged.where(~whole).drop("whole"), marked, asks.join(sparse, "set"), threshold, runs, size, least)
+    return exact_links(flagged.where(whole).drop("whole"), threshold).unionByName(met)
+
+
 def exact_links(texts: DataFrame, threshold: float) -> DataFrame:
     """(set, links, near) over candidate groups: texts has (set, copies, root, size, text).
 
@@ -351,6 +465,5 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     members_of = loose.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = loose.join(members_of, "root").withColumnRenamed("node", "set").join(sets.select("set", "copies", "head"), "set")
     members = members.select("set", "copies", "root", "size", "head.k1", "head.k2")
-    chosen = texts.drop("doc_id").join(members, ["k1", "k2"]).select("set", "copies", "root", "size", "text")
-    found = cut_lineage(exact_links(chosen, threshold))
+    found = cut_lineage(links_of_groups(texts.drop("doc_id"), cut_lineage(members), sets, threshold, runs, size, least))
     return classes_of(rows, sets, found)

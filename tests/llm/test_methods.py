@@ -236,6 +236,54 @@ def test_large_group_is_cut_into_blocks(spark, monkeypatch):
     assert all(got[100 + i] == (100 + i, 0) for i in range(20))
 
 
+def test_chains_of_loosely_alike_texts_cost_no_square(spark, monkeypatch):
+    """Each text is 0.77 alike to the next, none 0.8; beside them a chain of true links and a crowd of near copies."""
+    monkeypatch.setattr(chosen_path, "BUCKET", 32)
+    monkeypatch.setattr(chosen_path, "BLOCK", 32)
+
+    def chain(name: str, n: int, step: int, words: int = 104) -> list[str]:
+        return [" ".join(f"{name}{i * step + j}" for j in range(words)) for i in range(n)]
+
+    loose = chain("l", 1200, 13)  # 87 of 113 shingles
+    true = chain("t", 300, 6)  # 94 of 106, the next but one 88 of 112
+    crowd = [" ".join([*(f"c{j}" for j in range(199)), f"end{i}"]) for i in range(100)]
+    texts = loose + true + crowd
+    rows = list(enumerate(texts))
+    asked = []
+    seen = chosen_path.crowd_meetings
+
+    def watched(*args):
+        marked, asks = seen(*args)
+        asked.append((asks.count(), args[1]))
+        return marked, asks
+
+    monkeypatch.setattr(chosen_path, "crowd_meetings", watched)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(texts)
+    assert all(got[i] == (i, 0) for i in range(1200))
+    assert all(got[1200 + i] == (1200, 2 - (i in (0, 299))) for i in range(300))
+    assert all(got[1500 + i] == (1500, 99) for i in range(100))
+    # All against all would move each of the 1,200 sets 38 times.
+    [(n, runs)] = asked
+    assert 0 < n <= runs * 1500 + runs * 100 * 4
+
+
+def test_sets_that_met_before_are_told(spark):
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 2, (60, 12)).astype(np.uint32)
+    depths = np.repeat(rng.integers(0, 4, (1, 4)), 60, axis=0)
+    depths[::3] = rng.integers(0, 4, (20, 4))
+    for run in range(4):
+        new = chosen_path.first_met(tokens, depths, run, 7)
+        for a in range(60):
+            for b in range(60):
+                met = any(
+                    depths[a, r] == depths[b, r] > 0 and (tokens[a, 3 * r : 3 * r + depths[a, r]] == tokens[b, 3 * r : 3 * r + depths[a, r]]).all()
+                    for r in range(run)
+                )
+                assert new[a, b] == (a != b and (tokens[a] == tokens[b]).sum() >= 7 and not met)
+
+
 def test_runs_reach_the_recall():
     runs = chosen_path.runs_for(0.8, 0.99, 3)
     assert 1 - (1 - 0.8**3) ** runs >= 0.99 > 1 - (1 - 0.8**3) ** (runs - 1)
