@@ -386,23 +386,33 @@ def links_where_met(texts: DataFrame, marked: DataFrame, asks: DataFrame, thresh
     return rows.mapInArrow(_verified(size, runs, least, threshold), EXACT)
 
 
-def links_of_groups(texts: DataFrame, members: DataFrame, sets: DataFrame, threshold: float, runs: int, size: int, least: int) -> DataFrame:
-    """Exact links of all candidate groups; members has (set, root, size) with their text keys."""
-    crowd = members.where(F.col("size") > BLOCK).select("set", "root", "size")
+def sparse_groups(loose: DataFrame, large: DataFrame, asks: DataFrame) -> DataFrame:
+    """(root) of the groups of ``large`` (root, size) for which asking moves fewer sets than all blocks would."""
+    moved = asks.join(loose.withColumnRenamed("node", "set"), "set").groupBy("root").agg(F.count(F.lit(1)).alias("asks"))
+    whole = F.col("size") * F.ceil(F.col("size") / F.lit(BLOCK))
+    return large.join(moved, "root", "left").where(F.coalesce("asks", F.lit(0)) < whole).select("root")
+
+
+def links_of_groups(texts: DataFrame, loose: DataFrame, sets: DataFrame, threshold: float, runs: int, size: int, least: int) -> DataFrame:
+    """Exact links of all candidate groups; loose has (node, root), texts (k1, k2, text)."""
+    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    members = loose.join(sizes, "root").withColumnRenamed("node", "set").join(sets.select("set", "copies", "head"), "set")
+    members = members.select("set", "copies", "root", "size", "head.k1", "head.k2")
     chosen = texts.join(members, ["k1", "k2"]).select("set", "copies", "root", "size", "text")
-    if crowd.isEmpty():
+    large = cut_lineage(sizes.where(F.col("size") > BLOCK))
+    if large.isEmpty():
         return exact_links(chosen, threshold)
+    # At most one large group for every BLOCK sets.
+    crowd = loose.join(broadcast_counted(large), "root").select(F.col("node").alias("set"))
+    marked, asks = crowd_meetings(cut_lineage(sets.join(crowd, "set")), runs, size, least)
+    sparse = cut_lineage(sparse_groups(loose, large, asks))
+    if sparse.isEmpty():
+        return exact_links(chosen, threshold)
+    sparse = broadcast_counted(sparse)
     chosen = cut_lineage(chosen)
-    marked, asks = crowd_meetings(cut_lineage(sets.join(crowd.select("set"), "set")), runs, size, least)
-    # Sets moved by either way, for each group; there is at most one such group for BLOCK sets.
-    moved = asks.join(crowd, "set").groupBy("root", "size").agg(F.count(F.lit(1)).alias("asks"))
-    crowded = moved.where(F.col("asks") >= F.col("size") * F.ceil(F.col("size") / F.lit(BLOCK))).select("root", F.lit(True).alias("whole"))
-    crowded = broadcast_counted(cut_lineage(crowded))
-    flagged = chosen.join(crowded, "root", "left")
-    whole = (F.col("size") <= BLOCK) | F.col("whole").isNotNull()
-    sparse = crowd.join(crowded, "root", "left_anti").select("set")
-    met = links_where_met(flagged.where(~whole).drop("whole"), marked, asks.join(sparse, "set"), threshold, runs, size, least)
-    return exact_links(flagged.where(whole).drop("whole"), threshold).unionByName(met)
+    asking = asks.join(loose.join(sparse, "root").select(F.col("node").alias("set")), "set")
+    met = links_where_met(chosen.join(sparse, "root", "left_semi"), marked, asking, threshold, runs, size, least)
+    return exact_links(chosen.join(sparse, "root", "left_anti"), threshold).unionByName(met)
 
 
 def exact_links(texts: DataFrame, threshold: float) -> DataFrame:
@@ -462,8 +472,5 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     named = rows.groupBy("s1", "s2").agg(head, F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens"))
     sets = cut_lineage(named.select(F.col("s1").alias("set"), "s2", "head", "copies", "tokens"))
     loose = components(candidate_links(sets, runs, size, least))
-    members_of = loose.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = loose.join(members_of, "root").withColumnRenamed("node", "set").join(sets.select("set", "copies", "head"), "set")
-    members = members.select("set", "copies", "root", "size", "head.k1", "head.k2")
-    found = cut_lineage(links_of_groups(texts.drop("doc_id"), cut_lineage(members), sets, threshold, runs, size, least))
+    found = cut_lineage(links_of_groups(texts.drop("doc_id"), loose, sets, threshold, runs, size, least))
     return classes_of(rows, sets, found)
