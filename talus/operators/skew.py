@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.operators.prefix import dense_index
-from talus.session import BROADCAST_BYTES, cut_lineage, row_bytes
+from talus.operators.prefix import BLOCK_ROWS, dense_index
+from talus.session import BROADCAST_BYTES, broadcast_counted, cut_lineage, row_bytes
 
 SHARES = 2
 
@@ -57,10 +57,16 @@ def salted_join(
 def lag_within(df: DataFrame, key: str, order: str, column: str, name: str) -> DataFrame:
     """Previous value of ``column`` in ``order`` within ``key``; NULL keys form one group.
 
-    The rows are numbered by a range sort and each meets its predecessor by
-    number, so a key may hold any share of them.
+    The rows are numbered by a range sort and cut into blocks of BLOCK_ROWS, each
+    scanned on its own, so a key may hold any share of them. The first row of a
+    block meets the last one of the block before by number.
     """
-    numbered = dense_index(df, [F.col(key), F.col(order)], "_i")
-    before = numbered.select((F.col("_i") + 1).alias("_i"), F.col(key).alias("_k"), F.col(column).alias("_v"), F.lit(True).alias("_any"))
-    same = F.col("_any") & F.col("_k").eqNullSafe(F.col(key))
-    return numbered.join(before, "_i", "left").withColumn(name, F.when(same, F.col("_v"))).drop("_i", "_k", "_v", "_any")
+    row = F.struct(F.col(key).alias("k"), F.col(column).alias("v"))
+    numbered = dense_index(df, [F.col(key), F.col(order)], "_i").withColumn("_block", F.floor(F.col("_i") / BLOCK_ROWS))
+    last = F.pmod(F.col("_i"), F.lit(BLOCK_ROWS)) == BLOCK_ROWS - 1
+    ends = numbered.where(last).select((F.col("_block") + 1).alias("_block"), row.alias("_end"))
+    inside = numbered.withColumn("_before", F.lag(row).over(Window.partitionBy("_block").orderBy("_i")))
+    before = F.coalesce("_before", "_end")
+    same = before.isNotNull() & before["k"].eqNullSafe(F.col(key))
+    joined = inside.join(broadcast_counted(ends), "_block", "left")
+    return joined.withColumn(name, F.when(same, before["v"])).drop("_i", "_block", "_before", "_end")

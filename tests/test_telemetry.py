@@ -1,5 +1,6 @@
 import pytest
 
+from talus.operators.quantiles import medians
 from talus.operators import telemetry as te
 from talus.sources import files, schemas
 from talus.streaming.telemetry import append_stream, follow_runs
@@ -77,3 +78,12 @@ def test_paired_halves(spark):
     assert (row["half"], row["n_threads"], row["low_positive"], row["high_negative"], row["n_predicted"]) == (4, 8, 3, 3, 6)
     assert row["low_mean"] == pytest.approx(1.125) and row["high_mean"] == pytest.approx(-1.5)
     assert row["penalty_pct"] == pytest.approx(1.3125) and row["consistent"]
+
+
+def test_medians_read_their_rows_once_and_keep_groups_without_values(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id < 2500 THEN 'hot' WHEN id < 2900 THEN 'b' ELSE NULL END AS k", "CASE WHEN id < 2900 THEN CAST(id % 777 AS DOUBLE) END AS v")
+    out = medians(df, ["k"], {"m": "v"})
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    hot, other = (sorted(i % 777 for i in range(*r)) for r in ((0, 2500), (2500, 2900)))
+    middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+    assert {r["k"]: r["m"] for r in out.collect()} == {"hot": middle(hot), "b": middle(other), None: None}
