@@ -18,11 +18,15 @@ BYTES_PER_RECORD = 12
 
 
 def in_stay(source: DataFrame, cohort: DataFrame, key: str, name: str) -> DataFrame:
-    """Records of one source inside the stay interval, both ends included."""
+    """Records of one source inside the stay interval, both ends included.
+
+    A plain join, unless the stays are few, reads the source once: what follows
+    groups by other keys, so the skew split of the adaptive join spreads a stay with very many records.
+    """
     stays = cohort.select(key, "row_index", "intime", "outtime")
     rows = source.filter(F.col("valuenum").isNotNull()).select(key, "itemid", "charttime", "valuenum")
     return (
-        salted_join(rows, stays, key, ["charttime", "itemid", "valuenum"])
+        rows.join(broadcast_counted(stays), key)
         .filter(F.col("charttime").between(F.col("intime"), F.col("outtime")))
         .select(
             "row_index",

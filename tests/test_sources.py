@@ -233,3 +233,16 @@ def test_record_sink_keeps_order(spark, tmp_path):
     sink.write_records(records, str(tmp_path / "r"))
     assert files.footer_count(spark, str(tmp_path / "r")) == 3
     assert spark.read.parquet(str(tmp_path / "r")).schema["t"].dataType.simpleString() == "float"
+
+
+def test_spark_forms_give_the_rows_of_their_relations(spark, sf_dir, monkeypatch):
+    from talus.plans import adapters
+
+    assert set(adapters.SPARK_FORMS) == {"chartevents", "labevents"}
+    for name in list(adapters.SPARK_FORMS):
+        own = adapters.relation(spark, sf_dir, name)
+        with monkeypatch.context() as m:
+            m.delitem(adapters.SPARK_FORMS, name)
+            plain = adapters.relation(spark, sf_dir, name)
+        assert own.schema.simpleString() == plain.schema.simpleString()
+        assert own.exceptAll(plain).count() == 0 and plain.exceptAll(own).count() == 0
