@@ -59,12 +59,14 @@ def _precision_at(pos: Column, neg: Column, cum_pos: Column, cum_neg: Column, al
     return tp / F.nullif((tp + fp).cast("double"), F.lit(0.0))
 
 
-def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Step-wise average precision (no interpolation)."""
-    table = score_table(df, [], score, y)
-    sums = table.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+def average_precision(df: DataFrame, score: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """Step-wise average precision (no interpolation), per group of ``keys``."""
+    keys = keys or []
+    table = score_table(df, keys, score, y)
+    sums = table.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     precision = _precision_at(*[F.col(c) for c in ("pos", "neg", "cum_pos", "cum_neg", "all_pos", "all_neg")])
-    return table.crossJoin(F.broadcast(sums)).agg(  # one row of totals
+    met = table.join(sums, keys) if keys else table.crossJoin(F.broadcast(sums))  # one row of totals
+    return met.groupBy(*keys).agg(
         (F.sum(precision * F.col("pos")) / F.nullif(F.max("all_pos").cast("double"), F.lit(0.0))).alias("auprc")
     )
 
@@ -169,6 +171,33 @@ def _by_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "rank", "pos", "neg"])
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, block, rank, pos, neg), sorted by the first three -> one row for each of them, arrays added up."""
+    held = None
+    for batch in batches:
+        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            chunk, block, rank = (part.column(c).to_numpy() for c in ("chunk", "block", "rank"))
+            start = np.flatnonzero(np.append(True, (np.diff(rank) != 0) | (np.diff(chunk) != 0)))
+            sides = [np.add.reduceat(np.frombuffer(b"".join(part.column(c).to_pylist()), np.int64).reshape(-1, CHUNK), start, axis=0) for c in ("pos", "neg")]
+            keys = [chunk[start], block[start], rank[start]]
+            if held is not None:
+                if held[0][0] == keys[0][0] and held[2][0] == keys[2][0]:  # the key goes on from the rows before
+                    for side, earlier in zip(sides, held[3:]):
+                        side[0] += earlier[0]
+                else:
+                    yield _packed_ranks(*held)
+            held = tuple(c[-1:].copy() for c in (*keys, *sides))
+            if len(start) > 1:
+                yield _packed_ranks(*(c[:-1] for c in (*keys, *sides)))
+    if held is not None:
+        yield _packed_ranks(*held)
+
+
+def _packed_ranks(chunk: np.ndarray, block: np.ndarray, rank: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> pa.RecordBatch:
+    sides = (pa.array([r.tobytes() for r in side], pa.binary()) for side in (pos, neg))
+    return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(block), pa.array(rank), *sides], ["chunk", "block", "rank", "pos", "neg"])
+
+
 def _ranked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(positives, negatives) of a block's ranks in order, one line a rank."""
     rank = table.column("rank").to_numpy()
@@ -207,7 +236,8 @@ def bootstrap_metrics(df: DataFrame, score: str, y: str, subject: str, n_boot: i
 
     Rows are reduced to counts by subject and distinct score. Each meets its
     subject's weights, an array over the resamples of a chunk; arrays of one
-    score are added up by the tasks before they move. Blocks of RANK_BLOCK scores
+    score are added up by the tasks before they move and once more where they
+    meet, row by row. Blocks of RANK_BLOCK scores
     are scanned as arrays, first for their sums, then, with the sums of the
     scores below them, for both areas.
     """
@@ -227,7 +257,11 @@ def bootstrap_metrics(df: DataFrame, score: str, y: str, subject: str, n_boot: i
     packed = weights.select(F.struct("s", "chunk").alias("at"), "w")
     met = salted_join(spread, packed, "at", ["rank"], broadcast_bytes=BROADCAST_BYTES // 4)  # a row is four times its estimate
     summed = met.select("chunk", "rank", "pos", "neg", "w").mapInArrow(_by_rank, "chunk int, rank long, pos binary, neg binary")
-    table = cut_lineage(summed.withColumn("block", F.floor(F.col("rank") / RANK_BLOCK)))
+    keys = ["chunk", "block", "rank"]
+    spread_out = summed.withColumn("block", F.floor(F.col("rank") / RANK_BLOCK)).select(*keys, "pos", "neg")
+    gathered = spread_out.repartition("chunk", "block").sortWithinPartitions(*keys)
+    # one row a score, however many tasks met it: a block of scores is bounded
+    table = cut_lineage(gathered.mapInArrow(_merged, "chunk int, block long, rank long, pos binary, neg binary"))
     sums = cut_lineage(table.groupBy("chunk", "block").applyInArrow(_totals, "b int, block long, pos long, neg long"))
     totals = sums.groupBy("b").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     earlier = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
