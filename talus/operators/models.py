@@ -172,7 +172,11 @@ def fit_logistic(train: DataFrame, features: list[str], y: str = "y", balanced:
 
 def score_logistic(model: LinearModel, df: DataFrame) -> DataFrame:
     """Probabilities to ten digits, so that no ranking hangs on the last bits of a fit."""
-    return df.withColumn("score", F.round(1.0 / (1.0 + F.exp(-model.margin())), 10))
+    return df.withColumn("score", _probability(model))
+
+
+def _probability(model: LinearModel) -> Column:
+    return F.round(1.0 / (1.0 + F.exp(-model.margin())), 10)
 
 
 def evaluate(scored: DataFrame, y: str = "y") -> DataFrame:
@@ -226,16 +230,15 @@ def regression_report(scored: DataFrame, target: str, survivor: str) -> DataFram
 
 
 def ablation(prepared: DataFrame, subsets: dict[str, list[str]], y: str = "y") -> DataFrame:
-    """Refit on feature subsets, all in the same passes, and report validation metrics per subset."""
+    """Refit on feature subsets and report validation metrics per subset; all are fitted, and all ranked, in the same passes."""
     train, held = prepared.filter("split = 'train'"), prepared.filter("split <> 'train'")
     models = fit_all(train, {name: Problem(features, y) for name, features in subsets.items()})
-    out = None
-    for name, features in subsets.items():
-        row = evaluate(score_logistic(models[name], held), y).select(
-            F.lit(name).alias("subset"), F.lit(len(features)).alias("n_features"), "auroc", "auprc"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    scores = [F.struct(F.lit(name).alias("subset"), _probability(model).alias("score")) for name, model in models.items()]
+    scored = held.select(y, F.explode(F.array(*scores)).alias("_s")).select(y, "_s.*")
+    rows = [(name, len(features)) for name, features in subsets.items()]
+    listed = literal_rows(prepared.sparkSession, rows, "subset string, n_features int")
+    area, precision = ranking.auroc(scored, "score", y, ["subset"]), ranking.average_precision(scored, "score", y, ["subset"])
+    return listed.join(area, "subset", "left").join(precision, "subset", "left").select("subset", "n_features", "auroc", "auprc")
 
 
 def shuffle_labels(train: DataFrame, key: str, y: str, seed: int) -> DataFrame:
