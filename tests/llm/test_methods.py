@@ -612,3 +612,12 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 2048
     assert sum(r["piece"] == 0 for r in outputs[4]) == len(outputs[3])
+
+
+def test_brown_clusters_its_words_also_where_counts_tie(spark, monkeypatch):
+    """A band of equal counts larger than the head leaves no word out of the most frequent ones."""
+    monkeypatch.setattr(brown, "HEAD_WORDS", 1500)
+    words = [f"w{i:04d}" for i in range(2000)]
+    docs = spark.createDataFrame([(" ".join(words[i : i + 500]),) for i in range(0, 2000, 500)], "text string")
+    model, _ = brown.learn(docs)
+    assert sorted(model.head.unit[model.head.unit > 0]) == list(range(1, brown.UNIT_WORDS + 1))
