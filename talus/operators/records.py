@@ -38,11 +38,18 @@ def in_stay(source: DataFrame, cohort: DataFrame, key: str, name: str) -> DataFr
     )
 
 
-def extract(cohort: DataFrame, chartevents: DataFrame, labevents: DataFrame) -> DataFrame:
-    """Chart records by stay and lab records by admission, in one relation."""
-    return in_stay(chartevents, cohort, "stay_id", "chart").unionByName(
-        in_stay(labevents, cohort, "hadm_id", "lab")
-    )
+def extract(
+    cohort: DataFrame, chartevents: DataFrame, labevents: DataFrame, chart_items: DataFrame | None = None
+) -> DataFrame:
+    """Chart records by stay and lab records by admission, in one relation.
+
+    With ``chart_items`` (code, itemid) the chart's ``itemid`` holds a code, which
+    only the records inside a stay look up.
+    """
+    chart = in_stay(chartevents, cohort, "stay_id", "chart")
+    if chart_items is not None:
+        chart = chart.withColumnRenamed("itemid", "code").join(chart_items, "code").drop("code")
+    return chart.unionByName(in_stay(labevents, cohort, "hadm_id", "lab"))
 
 
 def dictionary(records: DataFrame, d_items: DataFrame, d_labitems: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from talus.operators.prefix import BLOCK_ROWS, dense_index
 from talus.session import BROADCAST_BYTES, broadcast_counted, cut_lineage, row_bytes
 
 SHARES = 2
+_WORDS = 512  # 64-bit words of a bitmap in one row
 
 
 def heavy_keys(big: DataFrame, key: str, parts: int) -> DataFrame:
@@ -54,6 +55,29 @@ def salted_join(
     return salted.join(copies(small, heavy, key), [key, "_salt"]).drop("_salt")
 
 
+def likely_members(big: DataFrame, key: str, members: DataFrame, bits: int = 8, few: int = BROADCAST_BYTES // 32) -> DataFrame:
+    """``big`` without most rows whose ``key`` is not among ``members`` (one column); every other row stays.
+
+    A hash of each member sets one of ``bits`` bits a member in a broadcast bitmap, so
+    about one in ``bits`` other keys passes too; the join that follows decides. That join
+    broadcasts ``few`` members itself, and a bitmap over the broadcast limit is not built.
+    """
+    rows = members.count()
+    words = -(-max(rows, 1) * bits // (64 * _WORDS)) * _WORDS
+    if rows <= few or words * 8 > BROADCAST_BYTES:
+        return big
+    (field,) = members.schema.fields
+    slot = lambda name: F.pmod(F.xxhash64(F.col(name).cast(field.dataType)), F.lit(words * 64))
+    place, bit = F.floor(F.col("_slot") / 64), F.pmod(F.col("_slot"), F.lit(64)).cast("int")
+    found = members.select(slot(field.name).alias("_slot")).select(place.alias("_w"), F.expr("shiftleft(1L, CAST(_slot % 64 AS INT))").alias("_b"))
+    every = members.sparkSession.range(words).select(F.col("id").alias("_w"), F.lit(0).cast("long").alias("_b"))
+    filled = found.unionByName(every).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+    held = filled.groupBy(F.floor(F.col("_w") / _WORDS).alias("_page")).agg(F.array_sort(F.collect_list(F.struct("_w", "_b")))["_b"].alias("_bits"))
+    paged = big.withColumn("_slot", slot(key)).withColumn("_page", F.floor(place / _WORDS))
+    word = F.element_at("_bits", (F.pmod(place, F.lit(_WORDS)) + 1).cast("int"))
+    return paged.join(F.broadcast(held), "_page").where(F.getbit(word, bit) == 1).select(*[F.col(f"`{c}`") for c in big.columns])
+
+
 def lag_within(df: DataFrame, key: str, order: str, column: str, name: str) -> DataFrame:
     """Previous value of ``column`` in ``order`` within ``key``; NULL keys form one group.
 

@@ -1,6 +1,6 @@
 import pytest
 
-from talus.operators.skew import copies, heavy_keys, lag_within, salted_join
+from talus.operators.skew import copies, heavy_keys, lag_within, likely_members, salted_join
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
@@ -51,3 +51,17 @@ def test_lag_with_null_keys(spark):
     for k, t, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
         assert got[(k, t)] == by.get(k)
         by[k] = v
+
+
+def test_likely_members_keep_every_member(spark):
+    """Keys of another width, null and repeated keys; most other rows go, none does where the members are few."""
+    big = spark.range(40_000).selectExpr("id", "CASE WHEN id % 100 = 0 THEN NULL ELSE CAST(id % 20000 - 500 AS INT) END AS k").repartition(4)
+    members = spark.range(0, 20_000, 3).selectExpr("id - 500 AS m").unionByName(spark.range(50).selectExpr("id AS m"))
+    kept = likely_members(big, "k", members, few=0)
+    assert kept.columns == big.columns
+    wanted = big.join(members.distinct(), big["k"] == members["m"], "left_semi")
+    assert wanted.exceptAll(kept).count() == 0 and kept.exceptAll(big).count() == 0
+    others = big.count() - wanted.count()
+    assert kept.count() - wanted.count() < others / 4
+    assert likely_members(big, "k", members) is big
+    assert likely_members(big, "k", members.where("m < -9999"), few=-1).count() == 0
