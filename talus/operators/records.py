@@ -48,7 +48,7 @@ def extract(
     """
     chart = in_stay(chartevents, cohort, "stay_id", "chart")
     if chart_items is not None:
-        chart = chart.withColumnRenamed("itemid", "code").join(chart_items, "code").drop("code")
+        chart = chart.withColumnRenamed("itemid", "code").join(chart_items, "code").select(chart.columns)
     return chart.unionByName(in_stay(labevents, cohort, "hadm_id", "lab"))
 
 
