@@ -621,3 +621,51 @@ def test_brown_clusters_its_words_also_where_counts_tie(spark, monkeypatch):
     docs = spark.createDataFrame([(" ".join(words[i : i + 500]),) for i in range(0, 2000, 500)], "text string")
     model, _ = brown.learn(docs)
     assert sorted(model.head.unit[model.head.unit > 0]) == list(range(1, brown.UNIT_WORDS + 1))
+
+
+def test_brown_words_beyond_the_units_take_classes_from_their_neighbours(spark, monkeypatch):
+    """600 words of one ending stand in the places of frequent words of two kinds; neighbours tell them apart, endings don't."""
+    rng = np.random.default_rng(5)
+    rare = {kind: [f"{kind}{i:03d}same" for i in range(300)] for kind in "pq"}
+    p, q = (rng.permutation(rare[kind] * 3 + [f"{kind}{i}" for i in range(10)] * 90) for kind in "pq")
+    a, b, c, d = (rng.choice([f"{k}{i}" for i in range(5)], 1800) for k in ("one", "two", "three", "four"))
+    lines = [" ".join(x) for x in zip(a, b, p, c, d, q)]
+    filler = [f"filler{i}" for i in range(984)] * 5
+    rng.shuffle(filler)
+    lines += [" ".join(filler[i : i + 100]) for i in range(0, len(filler), 100)]
+    docs = spark.createDataFrame([(i, " ".join(lines[i::30])) for i in range(30)], "doc_id long, text string")
+    scores = {}
+    for limit in (1100, brown.HEAD_WORDS):  # the 600 words' classes come by join, then from the head
+        monkeypatch.setattr(brown, "HEAD_WORDS", limit)
+        scores[limit] = {r["doc_id"]: (r["base_score"], r["score"]) for r in brown.score_documents(docs).collect()}
+    for doc_id, found in scores[1100].items():
+        assert found == pytest.approx(scores[limit][doc_id])
+    model, _, _ = brown.learn_classes(docs.select("text"))
+    kinds = collections.defaultdict(collections.Counter)
+    for kind, words in rare.items():
+        split = text.split_words(pa.array([" ".join(sorted(set(words)))]))
+        _, _, units = model.head.units(split.hashes(), brown._forms(split))
+        for k in model.unit_class[units]:
+            kinds[k][kind] += 1
+    assert len(kinds) > 1 and sum(max(c.values()) for c in kinds.values()) >= 0.95 * 600
+
+
+def test_brown_sweeps_end_when_no_word_moves(spark):
+    """Under the weights that are returned, sums of the words by their best class give the same weights again."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for w in range(3000):
+        slots, counts = np.unique(np.append(rng.integers(0, 64, 6) // (1 + w % 3), 64 + rng.integers(0, 64, 6) // (1 + w % 3)), return_counts=True)
+        rows.append((w, 6, bytearray(slots.astype(np.uint8).tobytes()), bytearray(counts.astype(np.int64).tobytes())))
+    vectors = spark.createDataFrame(rows, brown.VECTOR)
+    dense = np.zeros((len(rows), 2 * brown.CLASSES))
+    for w, _, slots, counts in rows:
+        dense[w, np.frombuffer(slots, np.uint8)] = np.frombuffer(counts, np.int64)
+    fixed = rng.integers(0, 5, (brown.CLASSES, 2 * brown.CLASSES))
+    start = fixed + rng.integers(0, 9, fixed.shape)
+    weights = brown.sweep_words(vectors, start, fixed)
+    best = brown._best(dense, weights)[0]
+    sums = fixed.astype(float)
+    np.add.at(sums, best, dense)
+    assert np.array_equal(brown._weights(sums), weights)
+    assert len(set(best)) > 10
